@@ -38,6 +38,15 @@ class EventIndex:
     max_rows: int
     max_span_us: int
 
+    @property
+    def split(self) -> list[str]:
+        """``["split"]`` when the events carry the split they belong to."""
+        return [c for c in self.table.columns if c == "split"]
+
+    @property
+    def code(self) -> list[str]:
+        return [c for c in self.table.columns if c == self.layout.code]
+
     def fits_broadcast(self, n_columns: int) -> bool:
         size = self.key_bytes + self.n_events * BYTES_PER_COLUMN * (n_columns + 1)
         return self.n_events <= BROADCAST_EVENTS and size <= BROADCAST_BYTES
@@ -91,7 +100,19 @@ def index_events(
         columns.append(F.min(col(layout.code)).alias(layout.code))
     if ranges is not None:
         columns.append(F.bool_and(valid_sample(layout, ranges)).alias("valid"))
-    table = cut_lineage(samples.groupBy(layout.key).agg(*columns, *(extra or [])))
+    return measured(samples.groupBy(layout.key).agg(*columns, *(extra or [])), layout)
+
+
+def index_catalog(catalog: DataFrame, layout: SeriesLayout) -> EventIndex:
+    """Index from a catalog whose ``num_timesteps`` is known, without touching the samples."""
+    unknown = F.lit(None).cast("long")
+    rows = F.coalesce("num_timesteps", F.lit(0))
+    return measured(catalog.withColumns({"t0": unknown, "t1": unknown, "n_rows": rows}), layout)
+
+
+def measured(events: DataFrame, layout: SeriesLayout) -> EventIndex:
+    """Write a per-event table and read off its bounds."""
+    table = cut_lineage(events)
     bounds = table.agg(
         F.count(F.lit(1)).alias("n_events"),
         F.coalesce(F.sum(F.octet_length(col(layout.key).cast("string"))), F.lit(0)).alias("key_bytes"),

@@ -91,6 +91,7 @@ def impute(
         *[filled(s).alias(s) for s in layout.sensors],
         label.alias(layout.label),
         col(layout.code),
+        *index.split,
     )
     dense = bin_start(dense, samples, index, seconds)
     return dense.drop("_seg") if halo == 0 else dense

@@ -32,13 +32,11 @@ def downsample(
     before the shuffle, so only about one row per bin and map task moves.
     """
     layout = index.layout
-    constants = ["t0"] + [c for c in index.table.columns if c == layout.code]
-    if markers is None:
-        binned = assign_bins(samples, index, seconds)
-    else:
-        constants.append("t1")
-        binned = assign_bins(samples, index, seconds, "t1")
+    attached = index.split if markers is None else ["t1", *index.split]
+    binned = assign_bins(samples, index, seconds, *attached)
+    if markers is not None:
         binned = binned.unionByName(markers, allowMissingColumns=True)
+    constants = ["t0", *attached, *index.code]
     return binned.groupBy(layout.key, "bin").agg(
         *[F.avg(col(s)).alias(s) for s in layout.sensors],
         F.min(col(layout.label)).alias(layout.label),

@@ -148,9 +148,9 @@ def segment_markers(index: EventIndex, seconds: int, size: int, halo: int) -> Da
     First and last position of every segment, and the position where the next one's halo starts.
     """
     steps = F.expr(f"(t1 - t0) div {seconds * 1_000_000}L + 1")
-    code = [c for c in index.table.columns if c == index.layout.code]
+    constants = [index.layout.key, "t0", "t1", *index.code, *index.split]
     long_events = index.table.select(
-        index.layout.key, "t0", "t1", *code, steps.alias("_steps")
+        *constants, steps.alias("_steps")
     ).filter(F.col("_steps") > size)
     segments = long_events.withColumn(
         "_seg", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_steps") - 1) / size)))
@@ -161,5 +161,5 @@ def segment_markers(index: EventIndex, seconds: int, size: int, halo: int) -> Da
     return (
         segments.withColumn("bin", F.explode(F.array_distinct(F.array(*wanted))))
         .filter(F.col("bin") < F.col("_steps"))
-        .select(index.layout.key, "t0", "t1", *code, "bin")
+        .select(*constants, "bin")
     )
