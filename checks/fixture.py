@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesprep.operators.event_index import attach_events, index_events
 from seriesprep.schema import SeriesLayout
 
 KINDS = ("click", "view", "error", "signup", "purchase")
@@ -46,19 +47,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples where some events have no value, or one value, of a sensor."""
     full = samples(spark, sf_dir)
+    has_error = F.when(F.col("`s-error`").isNotNull(), F.col("ts"))
+    index = index_events(full, LAYOUT, extra=[F.min_by("event_id", has_error).alias("_first")])
     once = F.col("instance_id") % 7 == 1
-    first = (
-        full.filter(once & F.col("`s-error`").isNotNull())
-        .groupBy("instance_id")
-        .agg(F.min_by("event_id", "ts").alias("_first"))
-    )
     view = F.when(F.col("instance_id") % 7 != 0, F.col("`s-view`"))
     error = F.when(~once | (F.col("event_id") == F.col("_first")), F.col("`s-error`"))
-    return (
-        full.join(first, "instance_id", "left")
-        .withColumns({"s-view": view, "s-error": error})
-        .drop("_first")
-    )
+    attached = attach_events(full, index, "_first")
+    return attached.withColumns({"s-view": view, "s-error": error}).drop("_first")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

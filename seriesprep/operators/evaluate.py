@@ -27,7 +27,8 @@ def confusion_matrix(scored: DataFrame, num_classes: int = NUM_CLASSES) -> DataF
     cells = scored.groupBy("label").agg(
         *[F.count_if(F.col("predicted") == p).alias(f"p{p}") for p in range(num_classes)]
     )
-    labels = scored.sparkSession.range(num_classes).select(F.col("id").cast("int").alias("label"))
+    every = scored.sparkSession.range(0, num_classes, 1, 1)
+    labels = every.select(F.col("id").cast("int").alias("label"))
     return (
         labels.join(cells, "label", "left")
         .fillna(0, [f"p{p}" for p in range(num_classes)])

@@ -20,10 +20,12 @@ from seriesprep.session import cut_lineage
 # A broadcast of event columns is allowed only below both bounds.
 BROADCAST_EVENTS = 1_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
-# Beyond them, this many of the longest events still go by broadcast; no other event can hold
-# more than 1 / HEAVY_EVENTS of all rows, so the rest is safe to shuffle on the event key.
+# Beyond them, events with more than 1 / HEAVY_EVENTS of all rows still go by broadcast: there
+# can be no more than HEAVY_EVENTS of them. The others are safe to shuffle on the event key.
 HEAVY_EVENTS = 100_000
 BYTES_PER_COLUMN = 24
+MIN_STEPS_PER_TASK = 4_000
+MAX_STEPS_PER_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,7 @@ class EventIndex:
     total_rows: int
     max_rows: int
     max_span_us: int
+    total_span_us: float
 
     @property
     def split(self) -> list[str]:
@@ -54,6 +57,17 @@ class EventIndex:
     def max_steps(self, seconds: int) -> int:
         return self.max_span_us // (seconds * 1_000_000) + 1
 
+    def step_partitions(self, seconds: int) -> int:
+        """Tasks for per-step work: first up to the configured parallelism, then by size.
+
+        Filling gaps and stacking windows multiply what was shuffled, so the shuffled bytes that
+        adaptive execution goes by say too little; the index knows the number of steps.
+        """
+        steps = int(self.total_span_us // (seconds * 1_000_000)) + self.n_events
+        parallelism = int(self.table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        by_parallelism = min(parallelism, -(-steps // MIN_STEPS_PER_TASK))
+        return max(1, by_parallelism, -(-steps // MAX_STEPS_PER_TASK))
+
     def keep(self, condition: Column) -> "EventIndex":
         """Subset of the events; the bounds stay valid as upper bounds."""
         return replace(self, table=self.table.filter(condition))
@@ -119,22 +133,26 @@ def measured(events: DataFrame, layout: SeriesLayout) -> EventIndex:
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.max("n_rows"), F.lit(0)).alias("max_rows"),
         F.coalesce(F.max(F.col("t1") - F.col("t0")), F.lit(0)).alias("max_span_us"),
+        F.coalesce(F.sum((F.col("t1") - F.col("t0")).cast("double")), F.lit(0.0)).alias("total_span_us"),
     ).first()
     return EventIndex(table, layout, **bounds.asDict())
 
 
 def attach_events(samples: DataFrame, index: EventIndex, *columns: str) -> DataFrame:
-    """Add per-event columns to every sample; samples of events not in the index drop out."""
+    """Add per-event columns to every sample; samples of events not in the index drop out.
+
+    While the index fits a broadcast the samples do not move. Otherwise only the samples of
+    light events are shuffled.
+    """
     key = index.layout.key
     side = index.table.select(key, *[col(c) for c in columns])
     if index.fits_broadcast(len(columns)):
         return samples.join(F.broadcast(side), key)
-    ranked = index.table.orderBy(F.desc("n_rows"), key).limit(HEAVY_EVENTS)
-    heavy = ranked.select(key, *[col(c) for c in columns])
-    heavy_keys = F.broadcast(heavy.select(key))
-    light_samples = samples.join(heavy_keys, key, "left_anti")
-    light_side = side.join(heavy_keys, key, "left_anti")
-    return samples.join(F.broadcast(heavy), key).unionByName(light_samples.join(light_side, key))
+    is_heavy = F.col("n_rows") > index.total_rows // HEAVY_EVENTS
+    heavy = index.table.filter(is_heavy).select(key, *[col(c) for c in columns])
+    light = index.table.filter(~is_heavy).select(key, *[col(c) for c in columns])
+    light_samples = samples.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return samples.join(F.broadcast(heavy), key).unionByName(light_samples.join(light, key))
 
 
 def keep_events(samples: DataFrame, index: EventIndex) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesprep.operators.event_index import EventIndex
+from seriesprep.operators.event_index import EventIndex, keep_events
 from seriesprep.operators.resample import bin_start, downsample
 from seriesprep.operators.segments import (
     SEGMENT_STEPS,
@@ -15,7 +15,7 @@ from seriesprep.operators.segments import (
     segment_markers,
     with_halo,
 )
-from seriesprep.schema import col
+from seriesprep.schema import SeriesLayout, col
 from seriesprep.session import cut_lineage
 
 # Raw rows of one event that may share a task before the event is range-partitioned.
@@ -68,6 +68,7 @@ def impute(
         )
         bins, partition = with_halo(sparse, "bin", size, halo), [layout.key, "_seg"]
 
+    bins = bins.repartition(index.step_partitions(seconds), *partition)
     # The following bin, read in descending order: shares its sort with the backward pass.
     following_bin = F.lag("bin").over(W.partitionBy(*partition).orderBy(F.desc("bin")))
     spans = bins.withColumn("_until", F.coalesce(following_bin - 1, F.col("bin")))
@@ -97,21 +98,13 @@ def impute(
     return dense.drop("_seg") if halo == 0 else dense
 
 
-def number_rows(
-    samples: DataFrame, index: EventIndex, limit: int = SEGMENT_ROWS
-) -> tuple[DataFrame, list[str]]:
-    """Add ``pos``, the 0-based row position of each sample within its event in time order.
+def number_long_events(samples: DataFrame, layout: SeriesLayout, parts: int) -> DataFrame:
+    """Add ``pos``, the row position within the event, and ``_seg``, a task-sized part of it.
 
-    Also returns the columns that split the rows into task-sized groups. Longer events are
-    range-partitioned by time; the partitioning is written out before partition numbers are
-    used, so a recomputed task cannot shift them.
+    Rows are range-partitioned by event and time, which splits an event wherever its rows are
+    dense. The result is written before partition numbers are read off it, so a recomputed task
+    cannot shift them.
     """
-    layout = index.layout
-    if index.max_rows <= limit:
-        window = W.partitionBy(layout.key).orderBy(layout.ts)
-        numbered = samples.withColumn("pos", F.row_number().over(window).cast("long") - 1)
-        return numbered, [layout.key]
-    parts = min(MAX_RANGE_PARTITIONS, -(-index.total_rows // limit))
     ranged = cut_lineage(samples.repartitionByRange(parts, layout.key, layout.ts))
     ranged = ranged.withColumn("_seg", F.spark_partition_id().cast("long"))
     # One row per event and range partition.
@@ -120,12 +113,11 @@ def number_rows(
     offsets = counts.select(
         layout.key, "_seg", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
     )
-    partition = [layout.key, "_seg"]
-    window = W.partitionBy(*partition).orderBy(layout.ts)
-    numbered = ranged.join(offsets, partition).withColumn(
-        "pos", F.col("_offset") + F.row_number().over(window) - 1
+    within = W.partitionBy(layout.key, "_seg").orderBy(layout.ts)
+    numbered = ranged.join(offsets, [layout.key, "_seg"]).withColumn(
+        "pos", F.col("_offset") + F.row_number().over(within) - 1
     )
-    return numbered.drop("_offset"), partition
+    return numbered.drop("_offset")
 
 
 def interpolation_overlay(
@@ -134,20 +126,31 @@ def interpolation_overlay(
     """Interpolated value (by row position) where a sensor is null, null everywhere else.
 
     Nothing is filled before a sensor's first known value; after its last one that value holds.
+    Events up to ``limit`` rows are handled as a whole, longer ones in parts.
     """
     layout = index.layout
     sensors = list(layout.sensors)
-    rows, partition = number_rows(samples, index, limit)
-    carry = None
-    if len(partition) > 1:
-        parts = min(MAX_RANGE_PARTITIONS, -(-index.total_rows // limit))
-        carry = segment_carry(rows, rows, layout.key, "pos", sensors, parts)
-    known = neighbours(rows, partition, "pos", sensors, carry)
+    kept = [c for c in samples.columns if c not in sensors]
 
     def overlay(name: str) -> Column:
         prev, following = col(f"prev:{name}"), col(f"next:{name}")
         value = F.coalesce(linear(F.col("pos"), prev, following), prev["val"])
         return F.when(col(name).isNull(), value).alias(name)
 
-    kept = [c for c in samples.columns if c not in sensors]
-    return known.select(*[col(c) for c in kept], "pos", *[overlay(s) for s in sensors])
+    def of(rows: DataFrame, partition: list[str], carry: DataFrame | None) -> DataFrame:
+        known = neighbours(rows, partition, "pos", sensors, carry)
+        return known.select(*[col(c) for c in kept], "pos", *[overlay(s) for s in sensors])
+
+    def whole(rows: DataFrame) -> DataFrame:
+        within = W.partitionBy(layout.key).orderBy(layout.ts)
+        numbered = rows.withColumn("pos", F.row_number().over(within).cast("long") - 1)
+        return of(numbered, [layout.key], None)
+
+    if index.max_rows <= limit:
+        return whole(samples)
+    is_long = F.col("n_rows") > limit
+    parts = min(MAX_RANGE_PARTITIONS, -(-index.total_rows // limit))
+    rows = number_long_events(keep_events(samples, index.keep(is_long)), layout, parts)
+    carry = segment_carry(rows, rows, layout.key, "pos", sensors, parts)
+    split = of(rows, [layout.key, "_seg"], carry)
+    return whole(keep_events(samples, index.keep(~is_long))).unionByName(split)

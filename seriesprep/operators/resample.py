@@ -71,10 +71,13 @@ def resample(
     """W1 and W2 together: one row per bin of each event, gaps included."""
     layout = index.layout
     values = [*layout.sensors, layout.label]
+    parts = index.step_partitions(seconds)
     if index.max_steps(seconds) <= size:
-        dense = gap_bins(downsample(samples, index, seconds), [layout.key], values)
+        bins = downsample(samples, index, seconds).repartition(parts, layout.key)
+        dense = gap_bins(bins, [layout.key], values)
     else:
         markers = segment_markers(index, seconds, size, halo=0)
         cut = with_halo(downsample(samples, index, seconds, markers), "bin", size, halo=0)
+        cut = cut.repartition(parts, layout.key, "_seg")
         dense = gap_bins(cut, [layout.key, "_seg"], values).drop("_seg")
     return bin_start(dense, samples, index, seconds)

@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesprep.schema import NUM_CLASSES, SeriesLayout
 
 
 def tensor_stats(windows: DataFrame, layout: SeriesLayout) -> DataFrame:
-    """Per event: min and max of each sensor over windows and steps, share of each class."""
-
-    def steps_of(position: int) -> Column:
-        return F.transform("X", lambda step: step[position])
+    """Per event: min and max of each sensor over windows and steps, share of each class.
 
+    Every window has the same number of steps, so a class has the same share of the unrolled
+    steps as of the windows.
+    """
+    steps = windows.select(layout.key, "label", F.explode("X").alias("step"))
     per_sensor = []
     for i, sensor in enumerate(layout.sensors):
-        per_sensor += [
-            F.min(F.array_min(steps_of(i))).alias(f"min:{sensor}"),
-            F.max(F.array_max(steps_of(i))).alias(f"max:{sensor}"),
-        ]
+        value = F.get("step", F.lit(i))
+        per_sensor += [F.min(value).alias(f"min:{sensor}"), F.max(value).alias(f"max:{sensor}")]
     shares = [
         F.avg((F.col("label") == c).cast("double")).alias(f"share:{c}") for c in range(NUM_CLASSES)
     ]
-    return windows.groupBy(layout.key).agg(*per_sensor, *shares)
+    return steps.groupBy(layout.key).agg(*per_sensor, *shares)
 
 
 def tensor_summary(stats: DataFrame, layout: SeriesLayout) -> DataFrame:

@@ -102,8 +102,9 @@ def col(name: str) -> Column:
 
 
 def class_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(enumerate(CLASS_NAMES)), "class_code int, class_type string"
+    code = F.col("id").cast("int")
+    return spark.range(0, NUM_CLASSES, 1, 1).select(
+        code.alias("class_code"), class_name(code).alias("class_type")
     )
 
 
