@@ -478,6 +478,8 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
   from samples s join anchors a using (instance_id)
   left join windows w on w.instance_id = s.instance_id
     and w.window_idx = (epoch_us(s.ts) - t0) // {WIDTH} - {WINDOW - 1}""",
+    "match_labels": PREPARED
+    + "select instance_id, window_idx, label % 3 as predicted, label from windows",
     "full_prepare": PREPARED
     + f"select instance_id, class_code, window_idx, {CHECKSUM}, label, y_text from windows",
     "split_prepare": with_(

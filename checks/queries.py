@@ -24,7 +24,7 @@ from seriesprep.operators.impute import impute, interpolation_overlay
 from seriesprep.operators.resample import bin_start, downsample, resample
 from seriesprep.plans import classify, prepare
 from seriesprep.schema import SeriesLayout, col
-from seriesprep.session import shared_folder
+from seriesprep.session import cut_lineage, shared_folder
 from seriesprep.sources import recordings as rec
 from seriesprep.sources import store
 
@@ -332,7 +332,8 @@ def filename_parse(spark, sf):
 
 
 def described(spark, sf):
-    return cat.describe_files(fx.files(spark, sf))
+    """The catalog, written once: later filters must not sink below its aggregation."""
+    return cut_lineage(cat.describe_files(fx.files(spark, sf)))
 
 
 def catalog_filter(spark, sf):
@@ -454,6 +455,15 @@ def align_predictions(spark, sf):
     return aligned.select("instance_id", time_text(), "bin", predicted)
 
 
+def match_labels(spark, sf):
+    """Windows of all events as predictions, those of the valid events as labels."""
+    predictions = imputed_windows(spark, sf).select(
+        "instance_id", "window_idx", (F.col("label") % 3).alias("predicted")
+    )
+    matched = ev.match_labels(predictions, prepared(spark, sf), "instance_id")
+    return matched.select("instance_id", "window_idx", "predicted", "label")
+
+
 # --- whole jobs -----------------------------------------------------------------------------
 
 
@@ -494,7 +504,7 @@ def trained(spark, sf, **parameters):
 def classifier_scores(spark, sf):
     train, _, stored = trained(spark, sf)
     model = classify.fit_window_classifier(train, WINDOW, LAYOUT, hidden=16, max_iter=15)
-    scored, _, _ = classify.evaluate_model(model, stored, LAYOUT)
+    scored, _, _ = classify.evaluate_model(model, stored)
     return scored.select("instance_id", "window_idx", "label", "predicted")
 
 
@@ -502,7 +512,7 @@ def classifier_search(spark, sf):
     train, validation, stored = trained(spark, sf)
     grid = [{"hidden": h, "max_iter": 10} for h in (8, 16)]
     model, _ = classify.search_classifier(train, validation, WINDOW, LAYOUT, grid)
-    return classify.evaluate_model(model, stored, LAYOUT)[1]
+    return classify.evaluate_model(model, stored)[1]
 
 
 QUERIES = {
@@ -556,6 +566,7 @@ QUERIES = {
     "confusion_matrix": confusion_matrix,
     "accuracy_logloss": accuracy_logloss,
     "align_predictions": align_predictions,
+    "match_labels": match_labels,
     "full_prepare": full_prepare,
     "split_prepare": split_prepare,
     "classifier_scores": classifier_scores,

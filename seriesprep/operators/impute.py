@@ -23,10 +23,11 @@ SEGMENT_ROWS = 1_000_000
 MAX_RANGE_PARTITIONS = 100_000
 
 
-def linear(at: Column, prev: Column, following: Column) -> Column:
-    """Value at position ``at`` on the line between two known points; null if one is missing."""
-    share = (at - prev["pos"]) / F.nullif(following["pos"] - prev["pos"], F.lit(0))
-    return prev["val"] + (following["val"] - prev["val"]) * share
+def on_line(at: Column, name: str) -> Column:
+    """Value at position ``at`` between the two known neighbours; null if one is missing."""
+    prev_pos, prev_val = col(f"prev_pos:{name}"), col(f"prev_val:{name}")
+    share = F.try_divide(at - prev_pos, col(f"next_pos:{name}") - prev_pos)
+    return prev_val + (col(f"next_val:{name}") - prev_val) * share
 
 
 def impute(
@@ -69,20 +70,18 @@ def impute(
         bins, partition = with_halo(sparse, "bin", size, halo), [layout.key, "_seg"]
 
     bins = bins.repartition(index.step_partitions(seconds), *partition)
-    # The following bin, read in descending order: shares its sort with the backward pass.
-    following_bin = F.lag("bin").over(W.partitionBy(*partition).orderBy(F.desc("bin")))
+    following_bin = F.lead("bin").over(W.partitionBy(*partition).orderBy("bin"))
     spans = bins.withColumn("_until", F.coalesce(following_bin - 1, F.col("bin")))
     known = neighbours(spans, partition, "bin", values, carry)
     at = known.withColumn("_at", F.explode(F.sequence("bin", "_until")))
 
     def filled(name: str) -> Column:
-        prev, following = col(f"prev:{name}"), col(f"next:{name}")
-        line = linear(F.col("_at"), prev, following)
-        return F.coalesce(line, prev["val"], following["val"], F.lit(0.0))
+        ends = (col(f"prev_val:{name}"), col(f"next_val:{name}"))
+        return F.coalesce(on_line(F.col("_at"), name), *ends, F.lit(0.0))
 
     label = F.coalesce(
-        col(f"prev:{layout.label}")["val"],
-        col(f"next:{layout.label}")["val"],
+        col(f"prev_val:{layout.label}"),
+        col(f"next_val:{layout.label}"),
         col(layout.code).cast("double"),
     )
     dense = at.select(
@@ -113,7 +112,7 @@ def number_long_events(samples: DataFrame, layout: SeriesLayout, parts: int) ->
     offsets = counts.select(
         layout.key, "_seg", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
     )
-    within = W.partitionBy(layout.key, "_seg").orderBy(layout.ts)
+    within = W.partitionBy(layout.key, "_seg").orderBy(layout.ts, "_tie")
     numbered = ranged.join(offsets, [layout.key, "_seg"]).withColumn(
         "pos", F.col("_offset") + F.row_number().over(within) - 1
     )
@@ -126,6 +125,7 @@ def interpolation_overlay(
     """Interpolated value (by row position) where a sensor is null, null everywhere else.
 
     Nothing is filled before a sensor's first known value; after its last one that value holds.
+    Rows of the same time are ordered by a hash of their content, so the result is repeatable.
     Events up to ``limit`` rows are handled as a whole, longer ones in parts.
     """
     layout = index.layout
@@ -133,19 +133,19 @@ def interpolation_overlay(
     kept = [c for c in samples.columns if c not in sensors]
 
     def overlay(name: str) -> Column:
-        prev, following = col(f"prev:{name}"), col(f"next:{name}")
-        value = F.coalesce(linear(F.col("pos"), prev, following), prev["val"])
+        value = F.coalesce(on_line(F.col("pos"), name), col(f"prev_val:{name}"))
         return F.when(col(name).isNull(), value).alias(name)
 
     def of(rows: DataFrame, partition: list[str], carry: DataFrame | None) -> DataFrame:
-        known = neighbours(rows, partition, "pos", sensors, carry)
+        known = neighbours(rows, partition, "pos", sensors, carry, [layout.ts, "_tie"])
         return known.select(*[col(c) for c in kept], "pos", *[overlay(s) for s in sensors])
 
     def whole(rows: DataFrame) -> DataFrame:
-        within = W.partitionBy(layout.key).orderBy(layout.ts)
+        within = W.partitionBy(layout.key).orderBy(layout.ts, "_tie")
         numbered = rows.withColumn("pos", F.row_number().over(within).cast("long") - 1)
         return of(numbered, [layout.key], None)
 
+    samples = samples.withColumn("_tie", F.xxhash64(*[col(c) for c in samples.columns]))
     if index.max_rows <= limit:
         return whole(samples)
     is_long = F.col("n_rows") > limit

@@ -111,6 +111,15 @@ def metric_table(index: EventIndex, k: int = 0, skip_empty: bool = False) -> Dat
     )
 
 
+def fitted_metrics(
+    index: EventIndex, k: int = 0
+) -> tuple[dict[str, float | None], dict[str, float | None]]:
+    """Both columns of the metric table as dicts, each trimmed mean computed once."""
+    means = as_mapping(trimmed_mean(indexed_means(index), index.layout, k))
+    stds = as_mapping(trimmed_mean(event_stds(index, means), index.layout, k))
+    return means, stds
+
+
 def scaler_of(metrics: DataFrame) -> dict[str, tuple[float | None, float | None]]:
     """Metric table as ``{sensor: (mean, std)}`` for the standardization."""
     return {

@@ -106,29 +106,45 @@ def segment_carry(
 
 
 def neighbours(
-    rows: DataFrame, partition: list[str], pos: str, columns: list[str], carry: DataFrame | None
+    rows: DataFrame,
+    partition: list[str],
+    pos: str,
+    columns: list[str],
+    carry: DataFrame | None,
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Add ``prev:<c>`` (known at or before the row) and ``next:<c>`` (known after it).
+    """Add the known value at or before each row and the one after it.
+
+    Per column: ``prev_pos:<c>``, ``prev_val:<c>``, ``next_pos:<c>``, ``next_val:<c>``. ``order``
+    names the columns that ``pos`` was numbered by, whose sort can then be used again.
 
     Both directions run over growing frames; a frame that shrinks towards the end would be
-    recomputed for every row. The backward pass goes first, so rows end in ascending order.
+    recomputed for every row.
     """
-    ahead = W.partitionBy(*partition).orderBy(F.desc(pos)).rowsBetween(W.unboundedPreceding, -1)
-    behind = W.partitionBy(*partition).orderBy(F.asc(pos)).rowsBetween(W.unboundedPreceding, 0)
-
-    def nearest(name, window):
-        state = F.struct(F.col(pos).cast("long").alias("pos"), col(name).alias("val"))
-        return F.last(F.when(col(name).isNotNull(), state), ignorenulls=True).over(window)
-
-    seen = rows.withColumns({f"_next:{c}": nearest(c, ahead) for c in columns})
-    seen = seen.withColumns({f"_prev:{c}": nearest(c, behind) for c in columns})
-    if carry is not None:
-        seen = seen.join(carry, partition, "left")
-        pick = lambda side, c: F.coalesce(col(f"_{side}:{c}"), col(f"{side}:{c}"))
-    else:
-        pick = lambda side, c: col(f"_{side}:{c}")
-    sides = [pick(side, c).alias(f"{side}:{c}") for side in ("prev", "next") for c in columns]
-    return seen.select(*[col(c) for c in rows.columns], *sides)
+    by_partition = W.partitionBy(*partition)
+    behind = by_partition.orderBy(*(order or [pos])).rowsBetween(W.unboundedPreceding, 0)
+    ahead = by_partition.orderBy(F.desc(pos)).rowsBetween(W.unboundedPreceding, -1)
+
+    def nearest(side, window):
+        states = {}
+        for c in columns:
+            known = F.when(col(c).isNotNull(), F.col(pos).cast("long"))
+            states[f"{side}_pos:{c}"] = F.last(known, ignorenulls=True).over(window)
+            states[f"{side}_val:{c}"] = F.last(col(c), ignorenulls=True).over(window)
+        return states
+
+    seen = rows.withColumns(nearest("prev", behind)).withColumns(nearest("next", ahead))
+    if carry is None:
+        return seen
+    seen = seen.join(carry, partition, "left")
+    entered = {
+        f"{side}_{part}:{c}": F.coalesce(col(f"{side}_{part}:{c}"), col(f"{side}:{c}")[part])
+        for side in ("prev", "next")
+        for part in ("pos", "val")
+        for c in columns
+    }
+    kept = [col(c) for c in rows.columns]
+    return seen.select(*kept, *[value.alias(name) for name, value in entered.items()])
 
 
 def with_halo(rows: DataFrame, pos: str, size: int, halo: int) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from seriesprep.operators.evaluate import (
     accuracy_and_loss,
     confusion_matrix,
-    match_labels,
     predicted_class,
 )
 from seriesprep.schema import NUM_CLASSES, SPLIT_SEED, SeriesLayout
@@ -89,10 +88,11 @@ def search_classifier(
     return best[0], sorted(results, key=lambda r: -r[1])
 
 
-def evaluate_model(
-    model, windows: DataFrame, layout: SeriesLayout
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores, confusion matrix, and accuracy with loss, for labelled windows."""
-    scores = score_windows(model, windows.drop("label"))
-    scored = match_labels(scores, windows, layout.key)
+def evaluate_model(model, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores, confusion matrix, and accuracy with loss, for labelled windows.
+
+    Scoring keeps the label on its row; predictions made elsewhere meet their labels through
+    ``match_labels``.
+    """
+    scored = score_windows(model, windows)
     return scored, confusion_matrix(scored), accuracy_and_loss(scored)

@@ -15,7 +15,7 @@ from seriesprep.operators.event_index import (
     moment_columns,
 )
 from seriesprep.operators.impute import impute
-from seriesprep.operators.metrics import metric_table, scaler_of
+from seriesprep.operators.metrics import fitted_metrics
 from seriesprep.operators.segments import SEGMENT_STEPS
 from seriesprep.operators.split import shuffled
 from seriesprep.operators.tensor_stats import tensor_stats, tensor_summary
@@ -27,7 +27,8 @@ Scaler = Mapping[str, tuple[float | None, float | None]]
 
 def fit_scaler(index: EventIndex, k: int = 0) -> dict[str, tuple[float | None, float | None]]:
     """Mean and deviation per sensor. The index must carry moments and hold train events only."""
-    return scaler_of(metric_table(index, k))
+    means, stds = fitted_metrics(index, k)
+    return {sensor: (means[sensor], stds[sensor]) for sensor in index.layout.sensors}
 
 
 def windows_of(

@@ -177,7 +177,7 @@ def labelled(spark):
 def test_classifier_beats_the_majority_class(spark, labelled):
     train = labelled.filter("event_id < 'e08'")
     model = classify.fit_window_classifier(train, 4, AB, hidden=4, max_iter=30)
-    scored, matrix, quality = classify.evaluate_model(model, labelled.filter("event_id >= 'e08'"), AB)
+    scored, matrix, quality = classify.evaluate_model(model, labelled.filter("event_id >= 'e08'"))
     assert quality.first()["accuracy"] > 0.9
     assert matrix.count() == 9 and scored.filter("size(probability) <> 9").isEmpty()
 
