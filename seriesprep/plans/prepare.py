@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesprep.functions.sensors import standardize
+from seriesprep.functions.sensors import standardize, valid_sample
 from seriesprep.operators.event_index import (
     EventIndex,
     index_events,
@@ -74,16 +74,20 @@ def prepare_split(
     ranges: Mapping[str, tuple[float, float]] = SENSOR_RANGES,
     k: int = 0,
     size: int = SEGMENT_STEPS,
+    train_layout: SeriesLayout | None = None,
 ) -> DataFrame:
     """Windows of all splits, standardized with the metrics of the valid train events.
 
     ``divided(key, split)`` has one row per event. Index and split meet event by event; the
-    split never has to be joined to the samples.
+    split never has to be joined to the windows. Every event must be valid in the layout's
+    sensors; with ``train_layout``, train events must be valid in those sensors too.
     """
-    events = index_events(samples, layout, ranges, moment_columns(layout)).table
+    strict = F.bool_and(valid_sample(train_layout or layout, ranges)).alias("strictly_valid")
+    events = index_events(samples, layout, ranges, [*moment_columns(layout), strict]).table
     events = events.join(divided.select(layout.key, "split"), layout.key)
-    index = measured(events.filter("valid"), layout)
-    scaler = fit_scaler(index.keep(F.col("split") == "train"), k)
+    is_train = F.col("split") == "train"
+    index = measured(events.filter(F.col("valid") & (~is_train | F.col("strictly_valid"))), layout)
+    scaler = fit_scaler(index.keep(is_train), k)
     return windows_of(samples, index, scaler, seconds, n, size)
 
 

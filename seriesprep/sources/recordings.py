@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,7 @@ from seriesprep.functions.naming import (
     version_number,
 )
 from seriesprep.functions.sensors import missing_to_null
+from seriesprep.operators.catalog import event_catalog
 from seriesprep.schema import RAW_CSV_SCHEMA, VERSION_PREFIX, SeriesLayout, col
 
 
@@ -27,22 +28,42 @@ def in_class_folder(path: Column) -> Column:
     return class_folder(path).isNotNull()
 
 
-def file_key(path: Column) -> Column:
-    """``<class folder>/<file>``: the same text however a reader spells the full path."""
-    return F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)
+def event_files(spark: SparkSession, suffix: str, schema: T.StructType) -> DataFrameReader:
+    """Reader for the files of one kind anywhere below a folder; the schema is never inferred."""
+    return (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"*.{suffix}")
+        .schema(schema)
+    )
 
 
 def parquet_row_counts(spark: SparkSession, root: str) -> DataFrame:
     """Rows per Parquet file below ``root``, read from no data column."""
-    rows = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .option("mergeSchema", False)
-        .parquet(root)
+    rows = event_files(spark, "parquet", T.StructType([T.StructField("timestamp", T.StringType())]))
+    return (
+        rows.parquet(root)
+        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.count(F.lit(1)).alias("n_rows")
+
+
+def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """Catalog of a dataset that keeps one file per event in numeric class folders."""
+    return event_catalog(list_dataset(spark, root), parquet_row_counts(spark, root))
+
+
+def as_samples(files: DataFrame, layout: SeriesLayout) -> DataFrame:
+    """Rows of event files as one long samples table keyed by class folder and file name.
+
+    Time is parsed and NaN turned to null here, once for all later jobs.
+    """
+    rows = files.select("*", F.col("_metadata.file_path").alias("_path")).filter(
+        in_class_folder(F.col("_path"))
     )
+    if "timestamp" in files.columns:
+        rows = rows.withColumn(layout.ts, F.try_to_timestamp("timestamp")).drop("timestamp")
+    keys = {layout.key: event_key(F.col("_path")), layout.code: class_folder(F.col("_path"))}
+    return missing_to_null(rows.withColumns(keys).drop("_path"), layout)
 
 
 def read_csv_recordings(
@@ -51,25 +72,19 @@ def read_csv_recordings(
     schema: T.StructType = RAW_CSV_SCHEMA,
     layout: SeriesLayout = SeriesLayout(),
 ) -> DataFrame:
-    """All ``.csv`` recordings in numeric class folders as one long samples table.
+    """All ``.csv`` recordings in numeric class folders; header names are checked."""
+    reader = event_files(spark, "csv", schema).option("header", True).option("enforceSchema", False)
+    return as_samples(reader.csv(root), layout)
 
-    Header names are checked against the schema; time is parsed and NaN turned to null here,
-    once for all later jobs.
-    """
-    rows = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .schema(schema)
-        .csv(root)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
-        .filter(in_class_folder(F.col("_path")))
-    )
-    if "timestamp" in schema.names:
-        rows = rows.withColumn(layout.ts, F.try_to_timestamp("timestamp")).drop("timestamp")
-    keys = {layout.key: event_key(F.col("_path")), layout.code: class_folder(F.col("_path"))}
-    return missing_to_null(rows.withColumns(keys).drop("_path"), layout)
+
+def read_parquet_recordings(
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType = RAW_CSV_SCHEMA,
+    layout: SeriesLayout = SeriesLayout(),
+) -> DataFrame:
+    """All per-event ``.parquet`` recordings in numeric class folders, time still being text."""
+    return as_samples(event_files(spark, "parquet", schema).parquet(root), layout)
 
 
 def convert_csv_dataset(

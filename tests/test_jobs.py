@@ -99,6 +99,17 @@ def test_prepare_split_fits_on_train_only(spark, size):
     assert labels == {e: split[e] for e in wanted}
 
 
+def test_train_events_may_be_checked_in_more_sensors(spark):
+    rows = [(e, s, float(s), 9.0 if e in "ab" and s == 2 else 0.0, 0.0, 0) for e in "abcd" for s in range(6)]
+    divided = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "train"), ("d", "train")], "event_id string, split string")
+    only_a, ranges = AB.select_sensors("P-A"), {"P-A": (-9, 9), "T-B": (-1, 1)}
+    samples = recording(spark, rows)
+    loose = prepare.prepare_split(samples, divided, only_a, 1, 3, ranges)
+    strict = prepare.prepare_split(samples, divided, only_a, 1, 3, ranges, train_layout=AB)
+    events = lambda w: {r["event_id"] for r in w.select("event_id").distinct().collect()}
+    assert events(loose) == set("abcd") and events(strict) == set("bcd")
+
+
 def test_tensor_stats_and_summary(spark):
     rows = job_rows()
     samples = recording(spark, rows)

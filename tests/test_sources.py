@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesprep.functions.naming import directory_version, version_number
-from seriesprep.operators.catalog import event_catalog
 from seriesprep.operators.event_index import index_events
 from seriesprep.operators.impute import impute
 from seriesprep.operators.windows import sliding_windows
@@ -76,10 +75,7 @@ def test_listing_counts_and_empty_file(spark, tmp_path):
     (folder / "DRAWN_2.npz").write_bytes(b"x" * 11)
 
     listing = rec.list_dataset(spark, str(tmp_path))
-    keyed = listing.withColumn("path", rec.file_key(F.col("path")))
-    counts = rec.parquet_row_counts(spark, str(tmp_path)).withColumn("path", rec.file_key(F.col("path")))
-    slashed = lambda df: df.withColumn("path", F.concat(F.lit("/"), "path"))
-    catalog = event_catalog(slashed(keyed), slashed(counts))
+    catalog = rec.dataset_catalog(spark, str(tmp_path))
     found = {r["source"]: r["num_timesteps"] for r in catalog.collect()}
     assert found == {"REAL": 3, "SIMULATED": 0, "HAND_DRAWN": None}
 
@@ -89,7 +85,23 @@ def test_listing_counts_and_empty_file(spark, tmp_path):
     assert rec.dataset_size(listing).first()[0] == wanted
 
 
+def test_per_event_parquet_equals_converted_csv(spark, raw, tmp_path):
+    root = tmp_path / "parquet"
+    for source in (tmp_path / "raw").glob("[0-9]*/*.csv"):
+        target = root / source.parent.name / f"{source.stem}.parquet"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        numbers = {n: float for n in RAW_CSV_SCHEMA.names[1:]}
+        pd.read_csv(source, dtype=numbers).to_parquet(target)
+    a = rec.read_parquet_recordings(spark, str(root))
+    b = rec.read_csv_recordings(spark, raw)
+    assert a.count() == 9 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    catalog = rec.dataset_catalog(spark, str(root))
+    joined = a.groupBy("event_id").count().join(catalog, "event_id")
+    assert joined.filter("count = num_timesteps").count() == 3
+
+
 def test_no_files(spark, tmp_path):
+    assert rec.dataset_catalog(spark, str(tmp_path)).isEmpty()
     listing = rec.list_dataset(spark, str(tmp_path))
     assert not rec.has_converted_data(listing)
     assert rec.dataset_size(listing).first()[0] == 0
