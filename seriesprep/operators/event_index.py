@@ -33,6 +33,7 @@ class EventIndex:
     """Per-event table with the upper bounds that physical choices rest on."""
 
     table: DataFrame
+    heavy_keys: DataFrame  # events with more than 1 / HEAVY_EVENTS of all rows
     layout: SeriesLayout
     n_events: int
     key_bytes: int
@@ -69,7 +70,11 @@ class EventIndex:
         return max(1, by_parallelism, -(-steps // MAX_STEPS_PER_TASK))
 
     def keep(self, condition: Column) -> "EventIndex":
-        """Subset of the events; the bounds stay valid as upper bounds."""
+        """Subset of the events; the bounds stay valid as upper bounds.
+
+        The heavy keys stay complete, so that samples of a dropped heavy event are set aside
+        before anything is shuffled.
+        """
         return replace(self, table=self.table.filter(condition))
 
 
@@ -135,7 +140,8 @@ def measured(events: DataFrame, layout: SeriesLayout) -> EventIndex:
         F.coalesce(F.max(F.col("t1") - F.col("t0")), F.lit(0)).alias("max_span_us"),
         F.coalesce(F.sum((F.col("t1") - F.col("t0")).cast("double")), F.lit(0.0)).alias("total_span_us"),
     ).first()
-    return EventIndex(table, layout, **bounds.asDict())
+    heavy_keys = table.filter(F.col("n_rows") > bounds["total_rows"] // HEAVY_EVENTS)
+    return EventIndex(table, heavy_keys.select(layout.key), layout, **bounds.asDict())
 
 
 def attach_events(samples: DataFrame, index: EventIndex, *columns: str) -> DataFrame:
@@ -148,10 +154,10 @@ def attach_events(samples: DataFrame, index: EventIndex, *columns: str) -> DataF
     side = index.table.select(key, *[col(c) for c in columns])
     if index.fits_broadcast(len(columns)):
         return samples.join(F.broadcast(side), key)
-    is_heavy = F.col("n_rows") > index.total_rows // HEAVY_EVENTS
-    heavy = index.table.filter(is_heavy).select(key, *[col(c) for c in columns])
-    light = index.table.filter(~is_heavy).select(key, *[col(c) for c in columns])
-    light_samples = samples.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    heavy_keys = F.broadcast(index.heavy_keys)
+    heavy = side.join(heavy_keys, key, "left_semi")
+    light = side.join(heavy_keys, key, "left_anti")
+    light_samples = samples.join(heavy_keys, key, "left_anti")
     return samples.join(F.broadcast(heavy), key).unionByName(light_samples.join(light, key))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from seriesprep.functions.sensors import standardize, valid_sample
 from seriesprep.operators.event_index import (
     EventIndex,
     index_events,
-    measured,
     moment_columns,
 )
 from seriesprep.operators.impute import impute
@@ -21,6 +21,7 @@ from seriesprep.operators.split import shuffled
 from seriesprep.operators.tensor_stats import tensor_stats, tensor_summary
 from seriesprep.operators.windows import sliding_windows
 from seriesprep.schema import SENSOR_RANGES, SPLIT_SEED, SeriesLayout
+from seriesprep.session import cut_lineage
 
 Scaler = Mapping[str, tuple[float | None, float | None]]
 
@@ -83,10 +84,11 @@ def prepare_split(
     sensors; with ``train_layout``, train events must be valid in those sensors too.
     """
     strict = F.bool_and(valid_sample(train_layout or layout, ranges)).alias("strictly_valid")
-    events = index_events(samples, layout, ranges, [*moment_columns(layout), strict]).table
-    events = events.join(divided.select(layout.key, "split"), layout.key)
+    index = index_events(samples, layout, ranges, [*moment_columns(layout), strict])
+    events = index.table.join(divided.select(layout.key, "split"), layout.key)
     is_train = F.col("split") == "train"
-    index = measured(events.filter(F.col("valid") & (~is_train | F.col("strictly_valid"))), layout)
+    usable = F.col("valid") & (~is_train | F.col("strictly_valid"))
+    index = replace(index, table=cut_lineage(events.filter(usable)))
     scaler = fit_scaler(index.keep(is_train), k)
     return windows_of(samples, index, scaler, seconds, n, size)
 

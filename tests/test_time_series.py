@@ -227,6 +227,20 @@ def test_attach_beyond_the_broadcast_bound(spark, monkeypatch):
     assert near.exceptAll(far).isEmpty() and far.exceptAll(near).isEmpty()
 
 
+def test_dropped_heavy_event_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ei, "BROADCAST_EVENTS", 10)
+    monkeypatch.setattr(ei, "HEAVY_EVENTS", 20)
+    rows = [("hot", s, 99.0, 1.0, 0.0, 0) for s in range(300)]
+    rows += [(f"e{s % 200}", s, 1.0, 1.0, 0.0, 0) for s in range(600)]
+    samples = recording(spark, rows)
+    index = ei.index_events(samples, AB, {"P-A": (-1, 5), "T-B": (-1, 5)})
+    kept = ei.keep_events(samples, index.keep(F.col("valid")))
+    assert [r[0] for r in index.heavy_keys.collect()] == ["hot"]
+    assert kept.count() == 600 and kept.filter("event_id = 'hot'").isEmpty()
+    shuffled = [line for line in plan_of(kept).splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and "LeftAnti" in plan_of(kept)
+
+
 def test_plan_moves_bins_and_not_samples(spark):
     samples = recording(spark, random_rows(8))
     index = ei.index_events(samples, AB)
