@@ -459,6 +459,9 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
   from events join divided on user_id = instance_id where split = 'test'""",
     "csv_conversion": with_(SAMPLES)
     + f"""select class_code, count(*)::bigint as n_rows, count(ts)::bigint as n_times,
+  {each("round(sum({s}) + 1e-7, 4) + 0.0 as {s}", ", ")} from samples group by 1""",
+    "dataset_scan": with_(SAMPLES)
+    + f"""select class_code, count(*)::bigint as n_rows, count(ts)::bigint as n_times, true as has_data,
   {each("round(sum({s}) + 1e-7, 4) + 0.0 as {s}", ", ")} from samples group by 1""",
     "argmax_scores": with_(SCORES)
     + "select vec_id, label, predicted::int as predicted from guessed",

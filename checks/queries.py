@@ -402,20 +402,24 @@ def split_store(spark, sf):
     return stored.select("instance_id", "event_id", "class_code", "split")
 
 
-def csv_conversion(spark, sf):
-    """Recordings written as CSV in class folders, converted, and counted from the result."""
-    raw, converted = scratch(spark), scratch(spark)
-    layout = SeriesLayout(SENSORS)
+def class_folders(spark, sf, file_format, **options) -> tuple[str, SeriesLayout, object]:
+    """The samples written the way raw recordings lie: files in numeric class folders."""
+    root = scratch(spark)
     rows = fx.samples(spark, sf).select(
         F.col("ts").alias("timestamp"), *[col(s) for s in SENSORS], "class", "class_code"
     )
-    rows = rows.withColumn("timestamp", time_text("timestamp")).persist()
-    schema = rows.drop("class_code").schema
+    rows = cut_lineage(rows.withColumn("timestamp", time_text("timestamp")))
     for code in range(9):
         part = rows.filter(F.col("class_code") == code).drop("class_code")
-        part.write.option("header", True).csv(f"{raw}/{code}")
-    rows.unpersist()
-    rec.convert_csv_dataset(spark, raw, converted, schema, layout)
+        part.write.format(file_format).options(**options).save(f"{root}/{code}")
+    return root, SeriesLayout(SENSORS), rows.drop("class_code").schema
+
+
+def csv_conversion(spark, sf):
+    """CSV recordings converted, and counted from the result."""
+    root, layout, schema = class_folders(spark, sf, "csv", header=True)
+    converted = scratch(spark)
+    rec.convert_csv_dataset(spark, root, converted, schema, layout)
     samples = rec.read_samples(spark, converted, layout)
     return samples.groupBy("class_code").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -424,6 +428,20 @@ def csv_conversion(spark, sf):
     )
 
 
+def dataset_scan(spark, sf):
+    """Parquet recordings scanned in place, next to what their listing and catalog say."""
+    root, layout, schema = class_folders(spark, sf, "parquet")
+    samples = rec.read_parquet_recordings(spark, root, schema, layout)
+    scanned = samples.groupBy("class_code").agg(
+        F.count("ts").alias("n_times"),
+        *[off_tie(F.sum(col(s)), 4).alias(s) for s in SENSORS],
+    )
+    files = rec.dataset_catalog(spark, root)
+    listed = files.groupBy("class_code").agg(F.sum("num_timesteps").alias("n_rows"))
+    present = rec.has_converted_data(rec.list_dataset(spark, root))
+    return scanned.join(listed, "class_code").withColumn("has_data", F.lit(present))
+
+
 # --- scoring --------------------------------------------------------------------------------
 
 
@@ -562,6 +580,7 @@ QUERIES = {
     "shuffled": shuffled,
     "split_store": split_store,
     "csv_conversion": csv_conversion,
+    "dataset_scan": dataset_scan,
     "argmax_scores": argmax_scores,
     "confusion_matrix": confusion_matrix,
     "accuracy_logloss": accuracy_logloss,

@@ -42,10 +42,11 @@ def stratum_quotas(counts: DataFrame, validation_size: float, test_size: float)
         usable = F.when(F.col(pool) >= 2, F.col(pool)).otherwise(F.lit(0))
         table = table.withColumn("_c", usable).withColumn("_all", F.sum("_c").over(everything))
         target = F.ceil(F.lit(share) * F.col("_all")).cast("long")
-        table = (
-            table.withColumn("_target", target)
-            .withColumn("_floor", F.expr("coalesce(try_divide(_target * _c - pmod(_target * _c, nullif(_all, 0)), _all), 0)").cast("long"))
-            .withColumn("_rest", F.expr("coalesce(pmod(_target * _c, nullif(_all, 0)), 0)"))
+        table = table.withColumn("_target", target).withColumns(
+            {
+                "_floor": F.expr("coalesce((_target * _c) div nullif(_all, 0), 0)"),
+                "_rest": F.expr("coalesce((_target * _c) % nullif(_all, 0), 0)"),
+            }
         )
         rank = F.row_number().over(W.orderBy(F.desc("_rest"), *by_code))
         missing = F.col("_target") - F.sum("_floor").over(everything)

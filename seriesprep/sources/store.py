@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesprep.operators.event_index import EventIndex, attach_events, index_catalog
+from seriesprep.operators.event_index import attach_events, index_catalog
 from seriesprep.schema import SeriesLayout
 
 NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
