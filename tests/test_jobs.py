@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from seriesprep.functions.labels import softmax
 from seriesprep.operators import evaluate as ev
 from seriesprep.operators.event_index import index_events
-from seriesprep.operators.tensor_stats import tensor_stats
 from seriesprep.plans import classify, prepare
 from tests.support import (
     AB,
