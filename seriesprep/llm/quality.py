@@ -6,8 +6,8 @@ bin. The references are the mean histograms of all documents of the language tha
 enough. A document shorter than ``least_words`` is not judged by divergence, as its histograms
 are noise.
 
-Native: DataFrame functions only, one narrow pass over the text for the references and one for
-the verdicts; nothing but one row per language is shuffled.
+Native: DataFrame functions only, one narrow pass over the text; nothing but one row per language
+is shuffled.
 
 Defined results: a null or empty text has no words, so it fails the base rule. A null language is
 a language of its own. A language with no document that is long enough judges nobody. Repeated
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesprep.llm.shared import checked_broadcast, fresh, let
+from seriesprep.llm.shared import checked_broadcast, fresh, let, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -52,10 +52,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
 
 
-def _count(text: Column, others: str) -> Column:
-    return F.length(F.regexp_replace(text, others, "")).cast("long")
-
-
 def repeated_words(words: Column) -> Column:
     """Words inside windows that occur twice or more. Windows are compared by 64-bit hash; only
     texts with a repeated hash pay for sorting."""
@@ -84,18 +80,24 @@ def repeated_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) > WINDOW, let(windows(w), repeats)).otherwise(few)).cast("long")
 
 
-def class_shares(text: Column) -> Column:
-    """Shares of A-Z, digits, symbols, white space and all else."""
-    others = ("[^A-Z]+", "[^0-9]+", f"[^{SYMBOLS}]+")
-    spaces = F.length(text) - _count(text, SPACE)
-    counts = F.array(*[_count(text, o) for o in others], spaces, F.length(text).cast("long"))
+def text_counts(text: Column) -> Column:
+    """A-Z, digits, symbols, characters in words, and all characters."""
+    found = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    return F.struct(
+        found("[A-Z]").alias("upper"),
+        found("[0-9]").alias("digits"),
+        found(f"[{SYMBOLS}]").alias("symbols"),
+        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        F.length(text).cast("long").alias("chars"),
+    )
 
-    def shares(c: Column) -> Column:
-        total = F.greatest(F.get(c, F.lit(N_CLASSES - 1)), F.lit(1))
-        parts = F.transform(F.slice(c, 1, N_CLASSES - 1), lambda x: x / total)
-        return _with_rest(parts)
 
-    return let(counts, shares)
+def class_shares(counts: Column) -> Column:
+    """Shares of A-Z, digits, symbols, white space and all else, from ``text_counts``."""
+    total = F.greatest(counts["chars"], F.lit(1))
+    spaces = counts["chars"] - counts["word_chars"]
+    parts = [counts["upper"], counts["digits"], counts["symbols"], spaces]
+    return _with_rest(F.array(*[p / total for p in parts]))
 
 
 def _with_rest(shares: Column) -> Column:
@@ -135,67 +137,83 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, b: a + b)))
 
 
-def language_references(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """``ref_lang, ref_class, ref_words``: mean histograms over all long enough documents."""
+def text_features(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``keep`` and a struct of counts and histograms, from one pass over the text."""
     text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
-    narrow = docs.select(text.alias("text"), lang.alias("lang")).withColumn("words", words_of(F.col("text")))
-    judged = narrow.filter(F.size("words") >= limits.judged_words)
-    shares = judged.select(
-        "lang",
-        class_shares(F.col("text")).alias("c"),
-        word_shares(F.col("words"), F.col("lang")).alias("w"),
+    words, counts, out = (fresh(docs, n) for n in ("_words", "_counts", "_features"))
+    split = docs.withColumns({words: words_of(text), counts: text_counts(text)})
+    w, c = F.col(words), F.col(counts)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    features = F.struct(
+        lang.alias("lang"),
+        F.size(w).cast("long").alias("n_words"),
+        c["word_chars"].alias("word_chars"),
+        c["symbols"].alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(w).alias("n_repeat_words"),
+        class_shares(c).alias("classes"),
+        word_shares(w, lang).alias("words"),
     )
-    means = lambda name, n: [F.avg(F.get(F.col(name), F.lit(i))).alias(f"{name}{i}") for i in range(n)]
-    rows = shares.groupBy("lang").agg(*means("c", N_CLASSES), *means("w", N_COMMON + 1))
+    return split.select(*[F.col(f"`{k}`") for k in keep], features.alias(out)), out
+
+
+def language_references(features: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
+    """``ref_lang, ref_class, ref_words``: mean histograms over all long enough documents."""
+    judged = features.filter(F.col("n_words") >= limits.judged_words)
+    means = lambda name, n: [
+        F.avg(F.get(F.col(name), F.lit(i))).alias(f"{name}{i}") for i in range(n)
+    ]
+    rows = judged.groupBy("lang").agg(*means("classes", N_CLASSES), *means("words", N_COMMON + 1))
     pack = lambda name, n: F.array(*[F.col(f"{name}{i}") for i in range(n)])
     # A language without list has one bin, so only the first mean is there.
     return rows.select(
         F.col("lang").alias("ref_lang"),
-        pack("c", N_CLASSES).alias("ref_class"),
-        F.filter(pack("w", N_COMMON + 1), lambda x: x.isNotNull()).alias("ref_words"),
+        pack("classes", N_CLASSES).alias("ref_class"),
+        F.filter(pack("words", N_COMMON + 1), lambda x: x.isNotNull()).alias("ref_words"),
     )
 
 
-def judge_quality(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> tuple[DataFrame, str]:
-    """``docs`` with one struct column of counts, distances and ``kept``, and that column's name."""
-    references = checked_broadcast(language_references(docs, limits).persist(), 10_000)
-    text, words, ref, out = (fresh(docs, n) for n in ("_text", "_words", "_ref", "_quality"))
+def judge_quality(
+    docs: DataFrame, keep: list[str] | None = None, limits: QualityLimits = QualityLimits()
+) -> tuple[DataFrame, str]:
+    """The columns ``keep`` (default all) of every row with one struct column of counts, distances
+    and ``kept``, and that column's name.
+
+    The features are written to the shared folder, so that the text is read and cut once though
+    the references need a first look at all documents.
+    """
+    kept = docs.columns if keep is None else keep
+    features, name = text_features(docs, kept)
+    features = stored(features, "quality")
+    references = stored(language_references(features.select(f"{name}.*"), limits), "references")
+    references = checked_broadcast(references, 10_000)
+    ref = fresh(docs, "_ref")
     referenced = references.select(
         F.col("ref_lang").alias(ref), F.struct("ref_class", "ref_words").alias(f"{ref}_h")
     )
-    split = docs.withColumns({text: F.coalesce("text", F.lit("")), words: words_of(F.col("text"))})
-    joined = split.join(referenced, F.coalesce(split["lang"], F.lit("")) == F.col(ref), "left")
-    t, w = F.col(text), F.col(words)
-    n = F.size(w).cast("long")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    repeats = repeated_words(w)
-    judged = (n >= limits.judged_words) & F.col(f"{ref}_h").isNotNull()
-    base = F.struct(
-        n.alias("n_words"),
-        _count(t, SPACE).alias("word_chars"),
-        _count(t, f"[^{SYMBOLS}]+").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"),
-        F.when(judged, js_distance(class_shares(t), F.col(f"{ref}_h.ref_class"))).alias("class_distance"),
-        F.when(judged, js_distance(word_shares(w, F.coalesce("lang", F.lit(""))), F.col(f"{ref}_h.ref_words"))).alias(
-            "word_distance"
-        ),
+    f, h = F.col(name), F.col(f"{ref}_h")
+    judged = (f["n_words"] >= limits.judged_words) & h.isNotNull()
+    distances = F.struct(
+        F.when(judged, js_distance(f["classes"], h["ref_class"])).alias("c"),
+        F.when(judged, js_distance(f["words"], h["ref_words"])).alias("w"),
     )
+    failed = (f["n_words"] < limits.least_words) | (
+        100 * f["n_repeat_words"] > limits.repeat_percent * f["n_words"]
+    )
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    def verdict(b: Column) -> Column:
-        failed = (b["n_words"] < limits.least_words) | (
-            100 * b["n_repeat_words"] > limits.repeat_percent * b["n_words"]
-        )
-        far = F.coalesce(b["class_distance"] > limits.class_distance, F.lit(False)) | F.coalesce(
-            b["word_distance"] > limits.word_distance, F.lit(False)
+    def verdict(d: Column) -> Column:
+        far = (F.coalesce(d["c"], F.lit(0.0)) > limits.class_distance) | (
+            F.coalesce(d["w"], F.lit(0.0)) > limits.word_distance
         )
-        fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         return F.struct(
-            *[b[f].alias(f) for f in fields],
+            *[f[k].alias(k) for k in counts],
             failed.alias("base_failed"),
             (~failed & ~far).alias("kept"),
-            b["class_distance"].alias("class_distance"),
-            b["word_distance"].alias("word_distance"),
+            d["c"].alias("class_distance"),
+            d["w"].alias("word_distance"),
         )
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], let(base, verdict).alias(out)), out
+    out = fresh(docs, "_quality")
+    joined = features.join(referenced, f["lang"] == F.col(ref), "left")
+    return joined.select(*[F.col(f"`{k}`") for k in kept], let(distances, verdict).alias(out)), out

@@ -16,7 +16,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged, out = quality.judge_quality(docs)
+    judged, out = quality.judge_quality(docs, keep=["doc_id"])
     return judged.select("doc_id", f"{out}.*")
 
 
