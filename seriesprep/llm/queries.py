@@ -5,15 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesprep.llm import quality, urls
+from seriesprep.llm import decontaminate, packing, quality, token_files, toxicity, urls
 from seriesprep.llm.shared import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select(
+        "doc_id", "held_out", "score", predicted.alias("predicted"), F.size("starts").cast("long").alias("n_offending")
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    found = decontaminate.phrase_matches(index, table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(names.cast("binary"), 256).alias("items_sha256"),
+        (F.size("starts") > 0).alias("contaminated"),
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies are the duplicate clusters."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.document_sizes(docs, cluster=F.xxhash64("text")))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = urls.page_outcomes(table(spark, sf_dir, "labels"))
     return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.read_digests(*token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged, out = quality.judge_quality(docs, keep=["doc_id"])
@@ -21,6 +54,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op5_url_filter": op5_url_filter,
-    "op9_quality_rules": op9_quality_rules,
+    q.__name__: q
+    for q in (
+        op2_toxicity,
+        op3_decontamination,
+        op4_best_fit_packing,
+        op5_url_filter,
+        op8_token_files,
+        op9_quality_rules,
+    )
 }
