@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesprep.llm.shared import stored
+from seriesprep.llm.shared import checked_broadcast, fresh, stored
 from seriesprep.llm.wordhash import SPACED, mix, word_hashes
 
 PERCENT = 80
@@ -153,3 +153,156 @@ def estimated(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     estimate = (share - chance) / (1 - chance)
     fits = (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (estimate >= PERCENT / 100 - ESTIMATE_MARGIN)
     return joined.filter(fits).select("a", "b")
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "shingles"])
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, shingles`` (sorted 64-bit hashes) of some classes, from the text of their lead row."""
+    wanted = classes.join(nodes, "node").select("node", F.col("lead.doc_id").alias("id"), F.col("lead.mark").alias("m"))
+    wanted = checked_broadcast(stored(wanted, "leads"), 1_000_000)
+    rows = _marked(docs)
+    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["mark"] == wanted["m"]))
+    sets = rows.select("node", "text").mapInArrow(_set_rows, "node long, shingles binary")
+    return stored(sets.dropDuplicates(["node"]), "sets")
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            at = np.searchsorted(y, x)
+            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        kept = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the limit. A hub may stand in many pairs; the joins are
+    plain, so the adaptive skew join splits it."""
+    one = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    joined = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb")
+    return stored(joined.mapInArrow(_confirm, "a long, b long"), "links")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, comp`` of every linked node. Each round every vertex goes to its least neighbour
+    and links are redrawn between the vertices that are left; ids are hashes, so the number of
+    rounds grows with the logarithm of a component's width."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    labels, live = ends.withColumn("comp", F.col("node")), links
+    while not live.isEmpty():
+        both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "step")
+        moved = labels.join(step, labels["comp"] == step["a"], "left")
+        labels = stored(moved.select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        one = lambda x: step.select(F.col("a").alias(x), F.col("to").alias(f"to_{x}"))  # noqa: E731,B023
+        redrawn = live.join(one("a"), "a").join(one("b"), "b").filter("to_a <> to_b")
+        live = stored(redrawn.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "live")
+    return labels
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's hub, once over all buckets."""
+    return (
+        members.filter("node <> hub")
+        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .distinct()
+    )
+
+
+def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, comp`` of members of buckets of three or more that hold several components."""
+    placed = members.filter("size > 2").join(labels, "node", "left")
+    placed = placed.select("band", "key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    return stored(placed.join(mixed, ["band", "key"], "left_semi").select("node", "comp").distinct(), "open")
+
+
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, comp, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "shingles"))):
+            s = np.frombuffer(packed, np.int64)
+            n = len(s)
+            fixed = [pa.array(np.full(n, v, np.int64)) for v in (node, comp, n)]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(s)], names=["node", "comp", "n", "shingle"])
+
+
+def prefix_pairs(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ``opened`` nodes of different components that share one of their rarest shingles.
+
+    In any common order of shingles, two sets of similarity t share an element among the first
+    ``n - ceil(t*n) + 1`` of each. With the rarest first, a passage that many texts share is not
+    among them unless it is most of the text."""
+    rows = stored(
+        opened.join(sets, "node").mapInArrow(_explode_sets, "node long, comp long, n long, shingle long"), "shingles"
+    )
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
+    needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    # Shingles of one node alone come first in the order; they take places but make no pairs.
+    shared = rows.join(counts, "shingle").withColumn("rank", rank)
+    n_shared = F.count("*").over(Window.partitionBy("node"))
+    heads = shared.withColumn("alone", F.col("n") - n_shared).filter(F.col("rank") + F.col("alone") <= needed)
+    heads = stored(heads.select("shingle", "node", "comp", "n"), "heads")
+    one = lambda x: heads.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n")])
+    fits = (
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("comp_a") != F.col("comp_b"))
+        & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    )
+    return one("a").join(one("b"), "shingle").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, n_shingles, component_id, kept`` of every row of ``doc_id, text``.
+
+    ``mark`` is a hash of the text that tells rows with one id apart. ``component_id`` is the
+    least id of the component, and the row's own id where the set is empty.
+    """
+    sketched = sketches(docs)
+    classes = set_classes(sketched)
+    members, _ = shared_buckets(classes)
+    pairs = stored(estimated(classes, hub_pairs(members)), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    links = confirmed(pairs, full_sets(docs, classes, nodes))
+    labels = components(links)
+    opened = open_nodes(members, labels)
+    if not opened.isEmpty():
+        sets = full_sets(docs, classes, opened.select("node"))
+        more = stored(estimated(classes, prefix_pairs(opened, sets)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = stored(links.union(confirmed(more, sets)), "links")
+        labels = components(links)
+    placed = classes.join(labels, "node", "left").select("node", "lead.doc_id", F.coalesce("comp", "node").alias("comp"))
+    names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    names = stored(placed.join(names, "comp").select("node", "component_id"), "names")
+    rows = sketched.join(names, "node", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select(
+        "doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` of each group of near-duplicates, whole; rows that repeat the kept
+    row's id and set are dropped too."""
+    mark, drop_id, drop_mark = (fresh(docs, n) for n in ("_mark", "_drop_id", "_drop_mark"))
+    found = near_duplicates(docs)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(drop_id), F.col("mark").alias(drop_mark))
+    gone = checked_broadcast(stored(gone.distinct(), "dropped"), 1_000_000)
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(drop_id)) & (F.col(mark) == F.col(drop_mark))
+    left = marked.join(gone, same, "left_anti")
+    again = stored(left.groupBy("doc_id", mark).count().filter("count > 1").drop("count"), "repeated")
+    if again.isEmpty():
+        return left.drop(mark)
+    twin = again.select(F.col("doc_id").alias(drop_id), F.col(mark).alias(drop_mark))
+    single = left.join(twin, same, "left_anti")
+    repeated = left.join(twin, same, "left_semi").dropDuplicates(["doc_id", mark])
+    return single.unionByName(repeated).drop(mark)

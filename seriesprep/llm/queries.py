@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesprep.llm import decontaminate, packing, quality, token_files, toxicity, urls
+from seriesprep.llm import decontaminate, html_text, licenses, near_dup, packing, pii, quality, token_files, toxicity, urls
 from seriesprep.llm.shared import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -40,6 +44,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found, out = pii.find_spans(docs, pii.train(docs), keep=["doc_id"])
+    named = lambda c: F.array_join(
+        F.transform(f"{out}.{c}", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter(f"{out}.base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(named("base").cast("binary"), 256).alias("base_sha256"),
+        named("spans").alias("spans"),
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,14 +76,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", f"{out}.*")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
+        op1_license_scan,
         op2_toxicity,
         op3_decontamination,
         op4_best_fit_packing,
         op5_url_filter,
+        op6_near_dedup,
+        op7_pii,
         op8_token_files,
         op9_quality_rules,
+        op10_html_text,
     )
 }

@@ -10,10 +10,10 @@ index, one row per document, is a Parquet table beside the files: file, start in
 A task writes its file under a name of its own attempt and only a finished task's rows reach the
 index, so a lost executor leaves at most a file nobody names.
 
-Encoding cuts a text at single spaces between other characters. Byte-level BPE never joins tokens
-across them, as its pattern takes such a space into the word behind it, so the ids of a part are
-the same wherever it stands and are looked up once per task. A text where the cut is not that
-simple (white space beside white space, special-token brackets) is encoded whole.
+Encoding cuts a text at single spaces. Byte-level BPE takes such a space into the word behind it and
+joins nothing across, so the ids of a part are the same wherever it stands and are looked up in
+a bounded table of the worker. A text with white space beside white space, or with the brackets
+of special tokens, is encoded whole.
 
 Defined results: a null or empty text is only the end id. Rows that repeat are written each, in
 order of their text's hash. Empty tables give no files and no rows.
@@ -24,7 +24,9 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,42 +41,77 @@ SEQUENCE = 2_048
 BATCH_SEQUENCES = 256
 END_ID = 0
 ROWS_PER_FILE = 16_384
-CACHE_ENTRIES = 400_000
-BESIDE = re.compile(r"\s\s|<\|")
+CACHE_ENTRIES = 500_000
 INDEX_SCHEMA = "doc_id long, path string, start long, n_tokens long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters that byte-level vocabularies write for bytes: printable ones stand for themselves,
+    the others follow from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + others.index(b)) if b in others else chr(b) for b in range(256)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian bytes, with looked-up parts."""
+    """Ids of whole texts as bytes (of the machine's order, little-endian on all that Arrow files
+    are written for here), with looked-up parts."""
 
     def __init__(self, vocabulary: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 65_536 else ("<u4", "I")
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        #: Ids of a part behind a space; None if the text cannot be cut there.
+        self.parts: dict[str, bytes | None] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            found = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
+    def _part(self, part: str, space: str = " ") -> bytes | None:
+        if not part or part[0].isspace() or part[-1].isspace() or "<|" in part:
+            return None
+        if part.isalpha():  # one run of letters
+            return self._piece(space + part)
+        if part[-1] in ",." and part[:-1].isalpha():
+            return self._piece(space + part[:-1]) + self._piece(part[-1])
+        return b"".join(map(self._piece, self.pattern.findall(space + part)))
+
+    def encode(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        head = self._part(first, "")
+        if head is None:
+            return self._whole(text)
+        if len(self.parts) >= CACHE_ENTRIES:
+            self.parts.clear()
+        for part in set(rest).difference(self.parts):
+            self.parts[part] = self._part(part)
+        try:
+            return head + b"".join(map(self.parts.__getitem__, rest))
+        except TypeError:
+            return self._whole(text)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        unknown: dict[str, None] = {}
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts.clear()
-        for text in texts:
-            if BESIDE.search(text):
-                cut.append(None)
-                continue
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            cut.append(parts)
-            unknown.update((p, None) for p in parts if p not in self.parts)
-        new = list(unknown)
-        self.parts.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
-        get = self.parts.__getitem__
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    return Encoder(vocabulary)
 
 
 class SequenceWriter:
@@ -145,13 +182,13 @@ class SequenceReader:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, length: int) -> Iterator[pa.RecordBatch]:
-    writer, encoder = None, Encoder(vocabulary)
+    writer, coder = None, encoder(vocabulary)
     for batch in batches:
         texts, ids = batch.column("text"), batch.column("doc_id")
         for at in range(0, len(texts), 256):
-            encoded = encoder.encode(["" if t is None else t for t in texts.slice(at, 256).to_pylist()])
-            writer = writer or SequenceWriter(folder, encoder.kind, length)
-            end = np.array([END_ID], encoder.kind).tobytes()
+            encoded = [coder.encode(t or "") for t in texts.slice(at, 256).to_pylist()]
+            writer = writer or SequenceWriter(folder, coder.kind, length)
+            end = np.array([END_ID], coder.kind).tobytes()
             starts = [writer.add(e + end) for e in encoded]
             counts = [len(e) // writer.kind.itemsize + 1 for e in encoded]
             yield pa.RecordBatch.from_arrays(
