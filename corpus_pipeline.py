@@ -1,11 +1,14 @@
-"""Cleaning and packing of a training corpus as a chain of stages over ``documents``."""
+"""Cleaning and packing of a training corpus as a chain of stages over ``documents``.
+
+Each stage works on all that its predecessor kept and is written before the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesprep.llm import quality
+from seriesprep.llm import decontaminate, near_dup, packing, pii, quality
 from seriesprep.llm.shared import stored, table
 
 
@@ -15,9 +18,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter(F.col(f"{out}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-STAGES = [("quality", quality_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near-duplicates."""
+    return near_dup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.mask(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their bins; texts that masking made equal are clusters."""
+    return packing.pack(packing.document_sizes(docs, cluster=F.xxhash64("text")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
-#: Models and connected components are not expressible in SQL.
+#: Sketches, trained models and best-fit bins are not expressible in SQL.
 ORACLE_SQL = None
 
 
