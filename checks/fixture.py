@@ -95,10 +95,13 @@ def versioned_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as raw class scores of nine classes."""
-    raw = F.transform(F.slice("embedding", 1, 9), lambda v: v.cast("double"))
-    return (
-        table(spark, sf_dir, "embeddings")
-        .filter(F.col("label") < 9)
-        .select("vec_id", "label", raw.alias("scores"))
+    """Embeddings as raw scores of nine classes: every ninth dimension adds to one class."""
+
+    def score(c):
+        own = F.filter("embedding", lambda v, i: i % 9 == c)
+        return F.aggregate(own, F.lit(0.0), lambda a, v: a + v.cast("double"))
+
+    raw = F.transform(F.sequence(F.lit(0), F.lit(8)), score)
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("label") % 9).cast("int").alias("label"), raw.alias("scores")
     )

@@ -309,8 +309,9 @@ STAT_NAMES = [f"{end}:{s}" for s in SENSORS for end in ("min", "max")] + [
 ]
 
 SCORES = """scores as (
-  select vec_id, label, list_transform(embedding[1:9], lambda v: v::double) as s
-  from embeddings where label < 9),
+  select vec_id, label % 9 as label, list_transform(range(0, 9),
+    lambda c: list_sum(list_transform(embedding, lambda v, i: case when (i - 1) % 9 = c then v::double else 0 end))) as s
+  from embeddings),
 guessed as (select *, list_position(s, list_max(s)) - 1 as predicted from scores)"""
 
 TRIMMED = with_(SPARSE, metrics("sparse", TRIM))
@@ -319,6 +320,17 @@ PLAIN_METRICS = (
     " round(sigma.value + 1e-9, 6) + 0.0 as mean_of_stds from mu full join sigma using (variable)"
 )
 
+SPLIT_WINDOWS = with_(
+        VALID_SAMPLES,
+        FILLED,
+        DIVIDED,
+        metrics(
+            "samples", 0, "instance_id in (select instance_id from divided where split = 'train')"
+        ),
+        SCALED,
+        windows("scaled"),
+    )
+
 ORACLES = {
     "downsample": with_(SAMPLES, BINS)
     + f"""select instance_id, bin, strftime(make_timestamp(t0 + bin * {WIDTH}), '%Y-%m-%d %H:%M:%S.%f') as ts,
@@ -391,11 +403,10 @@ from long group by 1""",
     + f""",
 {STATS}
 select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))) as order_hash,
-  {rounded("max:s-click")}, {rounded("share:0")} from stats""",
+  {', '.join(rounded(n) for n in STAT_NAMES)} from stats""",
     "tensor_store": with_(SAMPLES, FILLED, windows("filled"))
     + """select instance_id, class_code, window_idx,
-  round(list_sum(list_transform(flat, lambda v, i: v * i)) + 1e-7, 4) + 0.0 as x_sum, label, y_text
-  from windows where class_code = 4""",
+  round(list_sum(list_transform(flat, lambda v, i: v * i)) + 1e-7, 4) + 0.0 as x_sum, label, y_text from windows""",
     "event_batches": with_(SAMPLES, FILLED, windows("filled"))
     + """select instance_id, count(*)::bigint as n_windows, sum(label)::bigint as label_sum
   from windows group by 1""",
@@ -403,10 +414,10 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     + """select event_key as event_id, substr(event_key, 1, 7) as hash_id, class_type, class_code, source,
   well_id::double as well_id, path, strftime(recorded, '%Y-%m-%d %H:%M:%S.%f') as timestamp,
   num_timesteps * 100 as file_size,
-  case when instance_id % 10 <> 0 then num_timesteps else 0 end as num_timesteps from described""",
+  num_timesteps from described""",
     "cached_catalog": with_(DESCRIBED)
     + """select event_key as event_id, path,
-  case when instance_id % 10 <> 0 then num_timesteps else 0 end as num_timesteps from described""",
+  num_timesteps from described""",
     "hash_ids": with_(DESCRIBED)
     + "select instance_id, event_key, substr(event_key, 1, 7) as hash_id from described",
     "filename_parse": with_(DESCRIBED)
@@ -425,7 +436,7 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
         "cells as (select c.class_type, "
         + ", ".join(f"coalesce(count_if(source = '{s}'), 0)::bigint as {s}" for s in SOURCE_NAMES)
         + """, count(d.path)::bigint as total
-  from classes c left join (select * from described where class_code <> 3) d using (class_code)
+  from classes c left join described d using (class_code)
   group by 1)""",
     )
     + "select * from cells union all select 'Total', "
@@ -456,7 +467,7 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
   sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))) as order_hash from files""",
     "split_store": with_(DIVIDED)
     + """select user_id as instance_id, event_id, cast(user_id % 9 as int) as class_code, split
-  from events join divided on user_id = instance_id where split = 'test'""",
+  from events join divided on user_id = instance_id""",
     "csv_conversion": with_(SAMPLES)
     + f"""select class_code, count(*)::bigint as n_rows, count(ts)::bigint as n_times,
   {each("round(sum({s}) + 1e-7, 4) + 0.0 as {s}", ", ")} from samples group by 1""",
@@ -464,7 +475,7 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     + f"""select class_code, count(*)::bigint as n_rows, count(ts)::bigint as n_times, true as has_data,
   {each("round(sum({s}) + 1e-7, 4) + 0.0 as {s}", ", ")} from samples group by 1""",
     "argmax_scores": with_(SCORES)
-    + "select vec_id, label, predicted::int as predicted from guessed",
+    + "select vec_id, label::int as label, predicted::int as predicted from guessed",
     "confusion_matrix": with_(SCORES)
     + "select l.label::int as label, "
     + ", ".join(f"coalesce(count_if(g.predicted = {p}), 0)::bigint as p{p}" for p in range(9))
@@ -485,18 +496,26 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     + "select instance_id, window_idx, label % 3 as predicted, label from windows",
     "full_prepare": PREPARED
     + f"select instance_id, class_code, window_idx, {CHECKSUM}, label, y_text from windows",
-    "split_prepare": with_(
-        VALID_SAMPLES,
-        FILLED,
-        DIVIDED,
-        metrics(
-            "samples", 0, "instance_id in (select instance_id from divided where split = 'train')"
-        ),
-        SCALED,
-        windows("scaled"),
-    )
+    "split_prepare": SPLIT_WINDOWS
     + """select instance_id, split, window_idx,
   round(list_sum(list_transform(flat, lambda v, i: v * i)) + 1e-7, 4) + 0.0 as x_sum,
   round(flat[len(flat)] + 1e-9, 6) + 0.0 as x_last, label
   from windows join divided using (instance_id)""",
+    "invalid_event_samples": with_(SAMPLES, VALID)
+    + "select instance_id, event_id from samples join validity using (instance_id) where not valid",
+    "attach_shuffled": with_(SAMPLES)
+    + """select instance_id, event_id, epoch_us(min(ts) over (partition by instance_id)) as t0
+  from samples""",
+    "user_model_scores": PREPARED
+    + """select instance_id, window_idx, round(list_max(list_transform(range(0, 9), lambda c: list_sum(
+  list_transform(flat, lambda v, i: coalesce(v, 0) * (((i - 1) * 7 + c * 3) % 11 - 5) / 100.0)))) + 1e-8, 5) + 0.0 as top
+  from windows""",
+    "classifier_scores": SPLIT_WINDOWS
+    + """select instance_id, split, window_idx, label, true as sums_to_one, true as is_argmax
+  from windows join divided using (instance_id)""",
+    "classifier_search": SPLIT_WINDOWS
+    + """select c::int as label, coalesce(n, 0)::bigint as n_windows, 0 as n_better
+  from (select unnest(range(0, 9)) as c) left join (select label, count(*) as n
+    from windows join divided using (instance_id) where split = 'test' group by label) on label = c""",
 }
+ORACLES |= {"windows_segmented": ORACLES["windows"], "overlay_segmented": ORACLES["interp_overlay"]}

@@ -19,7 +19,7 @@ from seriesprep.operators import quality as ql
 from seriesprep.operators import split as sp
 from seriesprep.operators import tensor_stats as ts
 from seriesprep.operators import windows as wd
-from seriesprep.operators.event_index import index_events, minimum_columns, moment_columns
+from seriesprep.operators.event_index import attach_events, index_events, minimum_columns, moment_columns
 from seriesprep.operators.impute import impute, interpolation_overlay
 from seriesprep.operators.resample import bin_start, downsample, resample
 from seriesprep.plans import classify, prepare
@@ -80,12 +80,17 @@ def class_fill(spark, sf):
     return imputed(spark, sf).select("instance_id", "bin", "class")
 
 
-def interp_overlay(spark, sf):
+def interp_overlay(spark, sf, **limits):
     samples = fx.samples(spark, sf)
-    overlay = interpolation_overlay(samples, index_events(samples, LAYOUT))
+    overlay = interpolation_overlay(samples, index_events(samples, LAYOUT), **limits)
     return overlay.select("instance_id", "event_id", "pos", *sensor_columns())
 
 
+def overlay_segmented(spark, sf):
+    """The overlay with every event of over 20 rows cut into parts."""
+    return interp_overlay(spark, sf, limit=20)
+
+
 # --- quality --------------------------------------------------------------------------------
 
 
@@ -106,6 +111,19 @@ def invalid_events(spark, sf):
     return counts.filter("n_bad > 0")
 
 
+def invalid_event_samples(spark, sf):
+    samples = fx.samples(spark, sf)
+    bad = ql.samples_of_invalid_events(samples, index_events(samples, LAYOUT, RANGES))
+    return bad.select("instance_id", "event_id")
+
+
+def attach_shuffled(spark, sf):
+    """First time of the event on each sample, by the path for an index too large to broadcast."""
+    samples = fx.samples(spark, sf)
+    attached = attach_events(samples, index_events(samples, LAYOUT), "t0", broadcast=False)
+    return attached.select("instance_id", "event_id", "t0")
+
+
 def flow_state(spark, sf):
     samples = fx.samples(spark, sf)
     index = index_events(samples, LAYOUT, extra=minimum_columns(LAYOUT))
@@ -171,7 +189,7 @@ def trimmed_means(spark, sf):
 def sparse_stds(spark, sf):
     index = moments(fx.sparse_samples(spark, sf))
     means = mt.trimmed_mean(mt.indexed_means(index), LAYOUT, TRIM)
-    return mt.event_stds(index, mt.as_mapping(means))
+    return mt.event_stds(index, mt.as_mapping(means, LAYOUT))
 
 
 def event_stds(spark, sf):
@@ -223,16 +241,22 @@ def checksum(windows: DataFrame) -> DataFrame:
     ).drop("X", "y")
 
 
-def imputed_windows(spark, sf):
-    return wd.sliding_windows(imputed(spark, sf), LAYOUT, WINDOW)
+def imputed_windows(spark, sf, **segments):
+    samples = fx.samples(spark, sf)
+    return wd.event_windows(samples, index_events(samples, LAYOUT), SECONDS, WINDOW, **segments)
 
 
-def windows(spark, sf):
-    return checksum(imputed_windows(spark, sf)).select(
+def windows(spark, sf, **segments):
+    return checksum(imputed_windows(spark, sf, **segments)).select(
         "instance_id", "window_idx", "x_sum", "x_first", "x_last"
     )
 
 
+def windows_segmented(spark, sf):
+    """The same windows with every event of over 64 bins cut into segments."""
+    return windows(spark, sf, size=64)
+
+
 def window_labels(spark, sf):
     return imputed_windows(spark, sf).select(
         "instance_id", "window_idx", "label", F.array_join("y", "").alias("y_text")
@@ -254,15 +278,18 @@ def tensor_summary(spark, sf):
 
 
 def verification(spark, sf):
-    stats, _ = prepare.verify_windows(prepared(spark, sf), LAYOUT)
-    return stats.select("instance_id", "order_hash", rounded("max:s-click"), rounded("share:0"))
+    """Statistics of the stored tensors."""
+    path = scratch(spark)
+    store.write_windows(prepared(spark, sf), LAYOUT, path)
+    stats, _ = prepare.verify_windows(store.read_windows(spark, path), LAYOUT)
+    named = [c for c in stats.columns if ":" in c]
+    return stats.select("instance_id", "order_hash", *[rounded(c) for c in named])
 
 
 def tensor_store(spark, sf):
     path = scratch(spark)
     store.write_windows(imputed_windows(spark, sf), LAYOUT, path)
-    stored = store.read_windows(spark, path).filter("class_code = 4")
-    return checksum(stored).select(
+    return checksum(store.read_windows(spark, path)).select(
         "instance_id", "class_code", "window_idx", "x_sum", "label", "y_text"
     )
 
@@ -284,6 +311,9 @@ def event_batches(spark, sf):
         LAYOUT,
         count_batch,
         "instance_id long, n_windows long, label_sum long",
+        max_windows=5,
+        columns=["label"],
+        merge=[F.sum(c).alias(c) for c in ("n_windows", "label_sum")],
     )
 
 
@@ -295,8 +325,7 @@ def listing(spark, sf):
 
 
 def catalog(spark, sf):
-    counted = fx.files(spark, sf).filter("instance_id % 10 <> 0")
-    rows = counted.select("path", F.col("num_timesteps").alias("n_rows"))
+    rows = fx.files(spark, sf).select("path", F.col("num_timesteps").alias("n_rows"))
     return cat.event_catalog(listing(spark, sf), rows)
 
 
@@ -349,7 +378,7 @@ def well_filter(spark, sf):
 
 
 def class_source_counts(spark, sf):
-    return cat.class_source_counts(described(spark, sf).filter("class_code <> 3"))
+    return cat.class_source_counts(described(spark, sf))
 
 
 def class_counts(spark, sf):
@@ -398,7 +427,8 @@ def shuffled(spark, sf):
 def split_store(spark, sf):
     path = scratch(spark)
     store.write_split(fx.samples(spark, sf), divided(spark, sf), LAYOUT, path)
-    stored = store.read_split(spark, path, "test")
+    parts = [store.read_split(spark, path, s) for s in ("train", "validation", "test")]
+    stored = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return stored.select("instance_id", "event_id", "class_code", "split")
 
 
@@ -466,8 +496,8 @@ def accuracy_logloss(spark, sf):
 def align_predictions(spark, sf):
     samples = fx.samples(spark, sf)
     index = index_events(samples, LAYOUT)
-    dense = impute(samples, index, SECONDS)
-    predictions = wd.sliding_windows(dense, LAYOUT, WINDOW).withColumnRenamed("label", "predicted")
+    windows = wd.event_windows(samples, index, SECONDS, WINDOW)
+    predictions = windows.withColumnRenamed("label", "predicted")
     aligned = ev.align_predictions(samples, index, predictions, SECONDS, WINDOW, ["predicted"])
     predicted = F.col("predicted").cast("double").alias("predicted")
     return aligned.select("instance_id", time_text(), "bin", predicted)
@@ -509,28 +539,64 @@ def split_prepare(spark, sf):
     )
 
 
-def trained(spark, sf, **parameters):
+def stored_windows(spark, sf):
     """Windows of all splits, written once since training passes over them many times."""
     path = scratch(spark)
     store.write_windows(prepared_split(spark, sf), LAYOUT, path)
-    stored = store.read_windows(spark, path)
-    train = stored.filter("split = 'train'")
-    held_out = "validation" if not stored.filter("split = 'validation'").isEmpty() else "train"
-    return train, stored.filter(F.col("split") == held_out), stored
+    return store.read_windows(spark, path)
+
+
+def fixed_linear_model():
+    """A model of the user's own: class scores are fixed linear functions of the window."""
+    import numpy as np
+
+    places = np.arange(WINDOW * len(SENSORS))
+    weights = ((places[:, None] * 7 + np.arange(9) * 3) % 11 - 5) / 100.0
+    return lambda x: np.nan_to_num(x.reshape(len(x), -1)) @ weights
+
+
+def user_model_scores(spark, sf):
+    scored = classify.score_with(
+        prepared(spark, sf), fixed_linear_model, [WINDOW * len(SENSORS)]
+    )
+    top = off_tie(F.array_max("probability"), 5)
+    return scored.select("instance_id", "window_idx", top.alias("top"))
 
 
 def classifier_scores(spark, sf):
-    train, _, stored = trained(spark, sf)
+    """Every window scored by a trained model, and whether its scores are a distribution."""
+    stored = stored_windows(spark, sf)
+    train = stored.filter("split = 'train'")
     model = classify.fit_window_classifier(train, WINDOW, LAYOUT, hidden=16, max_iter=15)
     scored, _, _ = classify.evaluate_model(model, stored)
-    return scored.select("instance_id", "window_idx", "label", "predicted")
+    p = F.col("probability")
+    total = F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
+    return scored.select(
+        "instance_id",
+        "split",
+        "window_idx",
+        "label",
+        ((F.size(p) == 9) & (F.abs(total - 1) < 1e-9)).alias("sums_to_one"),
+        (F.get(p, F.col("predicted")) == F.array_max(p)).alias("is_argmax"),
+    )
 
 
 def classifier_search(spark, sf):
-    train, validation, stored = trained(spark, sf)
+    """Real labels of the test split, as the chosen model's confusion matrix counts them, and how
+    many candidates would have been better on the validation split."""
+    stored = stored_windows(spark, sf)
+    train, validation, test = (stored.filter(F.col("split") == s) for s in ("train", "validation", "test"))
     grid = [{"hidden": h, "max_iter": 10} for h in (8, 16)]
-    model, _ = classify.search_classifier(train, validation, WINDOW, LAYOUT, grid)
-    return classify.evaluate_model(model, stored)[1]
+    if validation.isEmpty():  # nothing to choose by, so nothing is ranked
+        model = classify.fit_window_classifier(train, WINDOW, LAYOUT, **grid[0])
+        n_better = 0
+    else:
+        model, ranking = classify.search_classifier(train, validation, WINDOW, LAYOUT, grid)
+        chosen = ev.accuracy_and_loss(classify.score_windows(model, validation)).first()["accuracy"]
+        n_better = sum(accuracy > chosen for _, accuracy in ranking)
+    cells = classify.evaluate_model(model, test)[1]
+    total = sum((F.col(f"p{c}") for c in range(1, 9)), F.col("p0"))
+    return cells.select("label", total.alias("n_windows"), F.lit(n_better).alias("n_better"))
 
 
 QUERIES = {
@@ -539,9 +605,12 @@ QUERIES = {
     "impute": imputed_sensors,
     "class_fill": class_fill,
     "interp_overlay": interp_overlay,
+    "overlay_segmented": overlay_segmented,
     "valid_events": valid_events,
     "valid_samples": valid_samples,
     "invalid_events": invalid_events,
+    "invalid_event_samples": invalid_event_samples,
+    "attach_shuffled": attach_shuffled,
     "flow_state": flow_state,
     "sensor_units": sensor_units,
     "variable_selection": variable_selection,
@@ -556,6 +625,7 @@ QUERIES = {
     "metric_memo": metric_memo,
     "standardize": standardized,
     "windows": windows,
+    "windows_segmented": windows_segmented,
     "window_labels": window_labels,
     "window_counts": window_counts,
     "tensor_stats": tensor_stats,
@@ -588,6 +658,7 @@ QUERIES = {
     "match_labels": match_labels,
     "full_prepare": full_prepare,
     "split_prepare": split_prepare,
+    "user_model_scores": user_model_scores,
     "classifier_scores": classifier_scores,
     "classifier_search": classifier_search,
 }

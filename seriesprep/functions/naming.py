@@ -18,17 +18,22 @@ from seriesprep.schema import (
 HASH_ID_LENGTH = 7
 
 
+def decoded_path(path: Column) -> Column:
+    """A path as it is named, from the URL-encoded form of ``_metadata.file_path``."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def plain_path(path: Column) -> Column:
+    """Whole path without scheme: the same text however a reader spells it."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+
+
 def class_folder(path: Column) -> Column:
     """Numeric class folder right above the file, null when it is not a number."""
     digits = F.regexp_extract(path, r"/([0-9]+)/[^/]+$", 1)
     return F.nullif(digits, F.lit("")).try_cast("int")
 
 
-def file_key(path: Column) -> Column:
-    """``<class folder>/<file>``: the same text however a reader spells the full path."""
-    return F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)
-
-
 def file_stem(path: Column) -> Column:
     """File name without its last suffix."""
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)

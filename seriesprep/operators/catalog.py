@@ -46,9 +46,9 @@ def event_catalog(listing: DataFrame, row_counts: DataFrame) -> DataFrame:
 
     ``listing(path, length)`` drives it, so a file without rows is kept with 0 timesteps; files
     without countable rows (tensors) have a null count. Both sides hold one row per file of one
-    dataset and meet on class folder and file name, which is unique in it.
+    dataset and meet on the whole path.
     """
-    key = naming.file_key(F.col("path")).alias("_key")
+    key = naming.plain_path(F.col("path")).alias("_key")
     counts = row_counts.select(key, F.col("n_rows").alias("_n"))
     described = describe_files(listing).select("*", key).join(counts, "_key", "left")
     counted = F.when(F.col("path").endswith(".parquet"), F.coalesce("_n", F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesprep.functions.labels import arg_max
@@ -22,9 +22,21 @@ def match_labels(predictions: DataFrame, labels: DataFrame, key: str) -> DataFra
     return predictions.join(labels.select(key, "window_idx", "label"), [key, "window_idx"])
 
 
+def checked_class(name: str, num_classes: int) -> Column:
+    """A class column; a null or a value that is no class fails the job."""
+    value = F.col(name)
+    known = F.coalesce(value.between(0, num_classes - 1), F.lit(False))
+    told = F.concat(F.lit(f"no class in {name}: "), F.coalesce(value.cast("string"), F.lit("null")))
+    return F.when(known, value).otherwise(F.raise_error(told))
+
+
+def checked_scores(scored: DataFrame, num_classes: int = NUM_CLASSES) -> DataFrame:
+    return scored.withColumns({c: checked_class(c, num_classes) for c in ("label", "predicted")})
+
+
 def confusion_matrix(scored: DataFrame, num_classes: int = NUM_CLASSES) -> DataFrame:
     """Counts by real label (rows) and predicted class (columns ``p0`` ...), zeros included."""
-    cells = scored.groupBy("label").agg(
+    cells = checked_scores(scored, num_classes).groupBy("label").agg(
         *[F.count_if(F.col("predicted") == p).alias(f"p{p}") for p in range(num_classes)]
     )
     every = scored.sparkSession.range(0, num_classes, 1, 1)
@@ -39,7 +51,7 @@ def confusion_matrix(scored: DataFrame, num_classes: int = NUM_CLASSES) -> DataF
 def accuracy_and_loss(scored: DataFrame, column: str = "probability") -> DataFrame:
     """Share of right predictions and mean categorical cross-entropy."""
     own = F.get(F.col(column), F.col("label"))
-    return scored.agg(
+    return checked_scores(scored).agg(
         F.count(F.lit(1)).alias("n_windows"),
         F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"),
         F.avg(-F.ln(F.greatest(own, F.lit(PROBABILITY_FLOOR)))).alias("loss"),

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesprep.functions.sensors import valid_sample
 from seriesprep.schema import SeriesLayout, col
@@ -78,8 +79,26 @@ class EventIndex:
         return replace(self, table=self.table.filter(condition))
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def micros(frame: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a time column of ``frame``.
+
+    Wall-clock times (``timestamp_ntz``) are counted as they read, so no session zone and no
+    daylight saving moves them; ``timestamp`` columns are instants.
+    """
+    ts = col(name)
+    if not isinstance(frame.schema[name].dataType, T.TimestampNTZType):
+        return F.unix_micros(ts.cast("timestamp"))
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + second
+
+
+def time_at(us: Column, kind: T.DataType) -> Column:
+    """The time of type ``kind`` at ``us`` microseconds, as counted by :func:`micros`."""
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_micros(us).cast(kind)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", us, epoch)
 
 
 def moment_columns(layout: SeriesLayout) -> list[Column]:
@@ -109,7 +128,7 @@ def index_events(
 
     ``ranges`` adds the column ``valid``; ``extra`` adds further aggregates.
     """
-    us = micros(col(layout.ts))
+    us = micros(samples, layout.ts)
     columns = [
         F.min(us).alias("t0"),
         F.max(us).alias("t1"),
@@ -144,15 +163,17 @@ def measured(events: DataFrame, layout: SeriesLayout) -> EventIndex:
     return EventIndex(table, heavy_keys.select(layout.key), layout, **bounds.asDict())
 
 
-def attach_events(samples: DataFrame, index: EventIndex, *columns: str) -> DataFrame:
+def attach_events(
+    samples: DataFrame, index: EventIndex, *columns: str, broadcast: bool | None = None
+) -> DataFrame:
     """Add per-event columns to every sample; samples of events not in the index drop out.
 
-    While the index fits a broadcast the samples do not move. Otherwise only the samples of
-    light events are shuffled.
+    While the index fits a broadcast (or as ``broadcast`` says) the samples do not move.
+    Otherwise only the samples of light events are shuffled.
     """
     key = index.layout.key
     side = index.table.select(key, *[col(c) for c in columns])
-    if index.fits_broadcast(len(columns)):
+    if index.fits_broadcast(len(columns)) if broadcast is None else broadcast:
         return samples.join(F.broadcast(side), key)
     heavy_keys = F.broadcast(index.heavy_keys)
     heavy = side.join(heavy_keys, key, "left_semi")

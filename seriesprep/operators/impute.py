@@ -20,7 +20,6 @@ from seriesprep.session import cut_lineage
 
 # Raw rows of one event that may share a task before the event is range-partitioned.
 SEGMENT_ROWS = 1_000_000
-MAX_RANGE_PARTITIONS = 100_000
 
 
 def on_line(at: Column, name: str) -> Column:
@@ -51,8 +50,7 @@ def impute(
     if index.max_steps(seconds) <= size:
         bins, partition, carry = downsample(samples, index, seconds), [layout.key], None
     else:
-        if halo >= size:
-            raise ValueError("a halo must be shorter than a segment")
+        size = max(size, halo + 1)  # as segment_size
         # Three consumers below: written once, so a lost executor costs no second raw scan.
         sparse = cut_lineage(
             downsample(samples, index, seconds, segment_markers(index, seconds, size, halo))
@@ -149,7 +147,7 @@ def interpolation_overlay(
     if index.max_rows <= limit:
         return whole(samples)
     is_long = F.col("n_rows") > limit
-    parts = min(MAX_RANGE_PARTITIONS, -(-index.total_rows // limit))
+    parts = -(-index.total_rows // limit)
     rows = number_long_events(keep_events(samples, index.keep(is_long)), layout, parts)
     carry = segment_carry(rows, rows, layout.key, "pos", sensors, parts)
     split = of(rows, [layout.key, "_seg"], carry)

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from seriesprep.operators.event_index import EventIndex
 from seriesprep.schema import SeriesLayout, col
+from seriesprep.session import cut_lineage
 
-# Below this k the rank filter runs as a per-task group limit before the shuffle.
-MAX_TRIM = 1_000
+# Up to this k the rank filter runs as a per-task group limit before the shuffle and 2 * k rows
+# per sensor are broadcast; beyond it, values are ranked range by range. Same rows either way.
+MAX_LISTED_TRIM = 1_000
 
 
 def event_means(samples: DataFrame, layout: SeriesLayout) -> DataFrame:
@@ -48,8 +50,8 @@ def trimmed_mean(per_event: DataFrame, layout: SeriesLayout, k: int = 0) -> Data
     long = long_form(per_event, layout)
     if k == 0:
         return long.groupBy("variable").agg(F.avg("value").alias("value"))
-    if k > MAX_TRIM:
-        raise ValueError(f"k must not exceed {MAX_TRIM}")
+    if k > MAX_LISTED_TRIM:
+        return ranked_trim(long, layout, k)
 
     def end(order: Column) -> DataFrame:
         window = W.partitionBy("variable").orderBy(order, layout.key)
@@ -68,9 +70,40 @@ def trimmed_mean(per_event: DataFrame, layout: SeriesLayout, k: int = 0) -> Data
     )
 
 
-def as_mapping(per_variable: DataFrame) -> dict[str, float | None]:
-    """Metric of each variable as a dict: one small row per sensor reaches the driver."""
-    return {row["variable"]: row["value"] for row in per_variable.collect()}
+def ranked_trim(long: DataFrame, layout: SeriesLayout, k: int) -> DataFrame:
+    """The trimmed mean for any k: rows are range-partitioned by variable and value, so no task
+    holds a variable, ranked inside their range, and shifted by the rows of the ranges before."""
+    known = long.filter(F.col("value").isNotNull())
+
+    def ranks(order: Column, name: str) -> DataFrame:
+        parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Written before partition numbers are read off it.
+        ranged = cut_lineage(known.repartitionByRange(parts, F.asc("variable"), order, F.asc(layout.key)))
+        ranged = ranged.withColumn("_part", F.spark_partition_id())
+        counts = ranged.groupBy("variable", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+        earlier = W.partitionBy("variable").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        offsets = counts.select(
+            "variable", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+        )
+        within = W.partitionBy("variable", "_part").orderBy(order, layout.key)
+        # offsets: one row per sensor and range.
+        ranked = ranged.join(F.broadcast(offsets), ["variable", "_part"]).withColumn(
+            name, F.col("_offset") + F.row_number().over(within)
+        )
+        return ranked.select("variable", layout.key, "value", name)
+
+    low = ranks(F.asc("value"), "_low")
+    high = ranks(F.desc("value"), "_high").drop("value")
+    kept = low.join(high, ["variable", layout.key]).filter((F.col("_low") > k) & (F.col("_high") > k))
+    means = kept.groupBy("variable").agg(F.avg("value").alias("value"))
+    return long.select("variable").distinct().join(means, "variable", "left")
+
+
+def as_mapping(per_variable: DataFrame, layout: SeriesLayout) -> dict[str, float | None]:
+    """Metric of each sensor as a dict, None where no event gave one: one small row per sensor
+    reaches the driver."""
+    found = {row["variable"]: row["value"] for row in per_variable.collect()}
+    return {sensor: found.get(sensor) for sensor in layout.sensors}
 
 
 def event_stds(
@@ -103,7 +136,7 @@ def metric_table(index: EventIndex, k: int = 0, skip_empty: bool = False) -> Dat
     """``variable, mean_of_means, mean_of_stds``: one row per sensor."""
     layout = index.layout
     means = trimmed_mean(indexed_means(index), layout, k)
-    deviations = event_stds(index, as_mapping(means), skip_empty)
+    deviations = event_stds(index, as_mapping(means, layout), skip_empty)
     stds = trimmed_mean(deviations, layout, k)
     return (
         means.withColumnRenamed("value", "mean_of_means")
@@ -115,8 +148,8 @@ def fitted_metrics(
     index: EventIndex, k: int = 0
 ) -> tuple[dict[str, float | None], dict[str, float | None]]:
     """Both columns of the metric table as dicts, each trimmed mean computed once."""
-    means = as_mapping(trimmed_mean(indexed_means(index), index.layout, k))
-    stds = as_mapping(trimmed_mean(event_stds(index, means), index.layout, k))
+    means = as_mapping(trimmed_mean(indexed_means(index), index.layout, k), index.layout)
+    stds = as_mapping(trimmed_mean(event_stds(index, means), index.layout, k), index.layout)
     return means, stds
 
 

@@ -26,6 +26,15 @@ def drop_invalid_events(samples: DataFrame, index: EventIndex) -> DataFrame:
     return keep_events(samples, index.keep(F.col("valid")))
 
 
+def samples_of_invalid_events(samples: DataFrame, index: EventIndex) -> DataFrame:
+    """Samples of events that are not valid (anti join against the valid ones, J7)."""
+    layout = index.layout
+    valid = index.table.filter(F.col("valid")).select(layout.key)
+    if index.fits_broadcast(1):
+        valid = F.broadcast(valid)
+    return samples.join(valid, layout.key, "left_anti")
+
+
 def flow_state(samples: DataFrame, index: EventIndex) -> DataFrame:
     """Five masked series per sensor, one output row per sample and sensor.
 

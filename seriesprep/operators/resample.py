@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesprep.operators.event_index import EventIndex, attach_events, micros
+from seriesprep.operators.event_index import EventIndex, attach_events, micros, time_at
 from seriesprep.operators.segments import SEGMENT_STEPS, segment_markers, with_halo
 from seriesprep.schema import col
 
@@ -14,9 +14,9 @@ from seriesprep.schema import col
 def assign_bins(samples: DataFrame, index: EventIndex, seconds: int, *columns: str) -> DataFrame:
     """Add ``t0`` and ``bin``, the left-closed interval counted from the event's first sample."""
     width = seconds * 1_000_000
+    attached = attach_events(samples, index, "t0", *columns)
     return (
-        attach_events(samples, index, "t0", *columns)
-        .withColumn("_us", micros(col(index.layout.ts)))
+        attached.withColumn("_us", micros(attached, index.layout.ts))
         .filter(F.col("_us").isNotNull())
         .withColumn("bin", F.expr(f"(_us - t0) div {width}L"))
         .drop("_us")
@@ -47,8 +47,8 @@ def downsample(
 def bin_start(frame: DataFrame, samples: DataFrame, index: EventIndex, seconds: int) -> DataFrame:
     """Replace ``t0`` by the bin's left edge, in the type of the samples' time column."""
     ts = index.layout.ts
-    edge = F.timestamp_micros(F.col("t0") + F.col("bin") * F.lit(seconds * 1_000_000))
-    return frame.withColumn(ts, edge.cast(samples.schema[ts].dataType)).drop("t0", "t1")
+    edge = time_at(F.col("t0") + F.col("bin") * F.lit(seconds * 1_000_000), samples.schema[ts].dataType)
+    return frame.withColumn(ts, edge).drop("t0", "t1")
 
 
 def gap_bins(bins: DataFrame, partition: list[str], values: list[str]) -> DataFrame:

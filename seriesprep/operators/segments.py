@@ -24,6 +24,11 @@ SEGMENT_STEPS = 32_768
 SCAN_BLOCK = 32_768
 
 
+def segment_size(n: int, size: int = SEGMENT_STEPS) -> int:
+    """Positions per segment for windows of ``n``: a segment is never shorter than its halo."""
+    return max(size, n)
+
+
 def exclusive_scan(
     units: DataFrame,
     keys: list[str],

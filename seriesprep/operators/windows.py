@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from seriesprep.functions.labels import fold_transient, one_hot
 from seriesprep.operators.event_index import EventIndex
-from seriesprep.operators.segments import SEGMENT_STEPS, with_halo
+from seriesprep.operators.impute import impute
+from seriesprep.operators.segments import SEGMENT_STEPS, segment_size, with_halo
 from seriesprep.schema import SeriesLayout, col
 
 
@@ -20,12 +21,13 @@ def sliding_windows(
     ``dense`` holds every bin of an event. A column ``_seg`` marks it as already cut into
     segments with a halo of ``n - 1`` bins; see :func:`cut_for_windows`.
     """
+    size = segment_size(n, size)
     cut = "_seg" in dense.columns
     partition = [layout.key, "_seg"] if cut else [layout.key]
     frame = W.partitionBy(*partition).orderBy("bin").rowsBetween(-(n - 1), 0)
     step = F.array(*[col(s) for s in layout.sensors])
     stacked = dense.withColumn("X", F.collect_list(step).over(frame))
-    full = stacked.filter(F.size("X") == n)
+    full = stacked.filter(F.col("bin") >= n - 1)  # bins are dense from 0
     if cut:
         full = full.filter(F.floor(F.col("bin") / size) == F.col("_seg"))
     constants = [c for c in (layout.code, "split") if c in dense.columns]
@@ -42,7 +44,16 @@ def sliding_windows(
 
 def cut_for_windows(dense: DataFrame, n: int, size: int = SEGMENT_STEPS) -> DataFrame:
     """Cut a stored dense table so that long events are windowed segment by segment."""
-    return with_halo(dense, "bin", size, n - 1)
+    return with_halo(dense, "bin", segment_size(n, size), n - 1)
+
+
+def event_windows(
+    samples: DataFrame, index: EventIndex, seconds: int, n: int, size: int = SEGMENT_STEPS
+) -> DataFrame:
+    """Down-sample, impute and window the indexed events; long ones segment by segment."""
+    size = segment_size(n, size)
+    halo = n - 1 if index.max_steps(seconds) > size else 0
+    return sliding_windows(impute(samples, index, seconds, halo, size), index.layout, n, size)
 
 
 def window_counts(index: EventIndex, seconds: int, n: int) -> DataFrame:

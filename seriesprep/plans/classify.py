@@ -29,17 +29,21 @@ def fit_window_classifier(
     n: int,
     layout: SeriesLayout,
     hidden: int = 32,
-    step_size: float = 0.03,
+    step_size: float | None = None,
     max_iter: int = 50,
     seed: int = SPLIT_SEED,
 ):
-    """Perceptron over flattened windows with one output per class, trained on the cluster."""
+    """Perceptron over flattened windows with one output per class, trained on the cluster.
+
+    With ``step_size`` by gradient descent of that rate, else by L-BFGS, which has no rate.
+    """
+    solver = {"solver": "l-bfgs"} if step_size is None else {"solver": "gd", "stepSize": step_size}
     trainer = MultilayerPerceptronClassifier(
         layers=[n * len(layout.sensors), hidden, NUM_CLASSES],
         labelCol="label",
-        stepSize=step_size,
         maxIter=max_iter,
         seed=seed,
+        **solver,
     )
     return trainer.fit(flat_features(windows).select("features", F.col("label").cast("double")))
 
@@ -74,9 +78,11 @@ def search_classifier(
 ) -> tuple[object, list[tuple[dict, float]]]:
     """Best model by accuracy on the validation split, and the accuracy of every candidate.
 
-    The given split is kept: drawing again at random would put windows of one event on both
+    Without any validation window there is nothing to choose by and it fails. The given split is kept: drawing again at random would put windows of one event on both
     sides.
     """
+    if validation.isEmpty():
+        raise ValueError("the validation split has no window")
     results = []
     best = None
     for parameters in grid:

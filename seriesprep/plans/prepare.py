@@ -16,7 +16,7 @@ from seriesprep.operators.event_index import (
 )
 from seriesprep.operators.impute import impute
 from seriesprep.operators.metrics import fitted_metrics
-from seriesprep.operators.segments import SEGMENT_STEPS
+from seriesprep.operators.segments import SEGMENT_STEPS, segment_size
 from seriesprep.operators.split import shuffled
 from seriesprep.operators.tensor_stats import tensor_stats, tensor_summary
 from seriesprep.operators.windows import sliding_windows
@@ -41,6 +41,7 @@ def windows_of(
     size: int = SEGMENT_STEPS,
 ) -> DataFrame:
     """Down-sample, impute, standardize and window the indexed events, in this order."""
+    size = segment_size(n, size)
     segmented = index.max_steps(seconds) > size
     dense = impute(samples, index, seconds, halo=n - 1 if segmented else 0, size=size)
     return sliding_windows(standardize(dense, scaler, index.layout), index.layout, n, size)
@@ -96,6 +97,9 @@ def prepare_split(
 def verify_windows(
     windows: DataFrame, layout: SeriesLayout, seed: int = SPLIT_SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-event tensor statistics in shuffled event order, and their summary over events."""
-    stats = tensor_stats(windows, layout)
+    """Per-event tensor statistics in shuffled event order, and their summary over events.
+
+    The statistics are written once, so using both costs one pass over the windows.
+    """
+    stats = cut_lineage(tensor_stats(windows, layout))
     return shuffled(stats, layout.key, seed), tensor_summary(stats, layout)

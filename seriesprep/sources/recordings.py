@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 
 from seriesprep.functions.naming import (
     class_folder,
+    decoded_path,
     directory_version,
     event_key,
     version_number,
@@ -24,6 +28,12 @@ def list_dataset(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length")
 
 
+def in_folder_of(path: Column, root: str) -> Column:
+    """Whether a file lies in ``<root>/<folder>/``: copies in deeper folders are no recordings."""
+    base = re.escape(urlparse(root).path.rstrip("/"))
+    return path.rlike(f"{base}/[^/]+/[^/]+$")
+
+
 def in_class_folder(path: Column) -> Column:
     return class_folder(path).isNotNull()
 
@@ -40,28 +50,32 @@ def event_files(spark: SparkSession, suffix: str, schema: T.StructType) -> DataF
 def parquet_row_counts(spark: SparkSession, root: str) -> DataFrame:
     """Rows per Parquet file below ``root``, read from no data column."""
     rows = event_files(spark, "parquet", T.StructType([T.StructField("timestamp", T.StringType())]))
+    path = decoded_path(F.col("_metadata.file_path"))
     return (
         rows.parquet(root)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .filter(in_folder_of(path, root))
+        .groupBy(path.alias("path"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
 
 
 def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Catalog of a dataset that keeps one file per event in numeric class folders."""
-    return event_catalog(list_dataset(spark, root), parquet_row_counts(spark, root))
+    listing = list_dataset(spark, root).filter(in_folder_of(F.col("path"), root))
+    return event_catalog(listing, parquet_row_counts(spark, root))
 
 
-def as_samples(files: DataFrame, layout: SeriesLayout) -> DataFrame:
+def as_samples(files: DataFrame, layout: SeriesLayout, root: str) -> DataFrame:
     """Rows of event files as one long samples table keyed by class folder and file name.
 
     Time is parsed and NaN turned to null here, once for all later jobs.
     """
-    rows = files.select("*", F.col("_metadata.file_path").alias("_path")).filter(
-        in_class_folder(F.col("_path"))
+    path = decoded_path(F.col("_metadata.file_path"))
+    rows = files.select("*", path.alias("_path")).filter(
+        in_class_folder(F.col("_path")) & in_folder_of(F.col("_path"), root)
     )
     if "timestamp" in files.columns:
-        rows = rows.withColumn(layout.ts, F.try_to_timestamp("timestamp")).drop("timestamp")
+        rows = rows.withColumn(layout.ts, F.col("timestamp").try_cast("timestamp_ntz")).drop("timestamp")
     keys = {layout.key: event_key(F.col("_path")), layout.code: class_folder(F.col("_path"))}
     return missing_to_null(rows.withColumns(keys).drop("_path"), layout)
 
@@ -74,7 +88,7 @@ def read_csv_recordings(
 ) -> DataFrame:
     """All ``.csv`` recordings in numeric class folders; header names are checked."""
     reader = event_files(spark, "csv", schema).option("header", True).option("enforceSchema", False)
-    return as_samples(reader.csv(root), layout)
+    return as_samples(reader.csv(root), layout, root)
 
 
 def read_parquet_recordings(
@@ -84,7 +98,7 @@ def read_parquet_recordings(
     layout: SeriesLayout = SeriesLayout(),
 ) -> DataFrame:
     """All per-event ``.parquet`` recordings in numeric class folders, time still being text."""
-    return as_samples(event_files(spark, "parquet", schema).parquet(root), layout)
+    return as_samples(event_files(spark, "parquet", schema).parquet(root), layout, root)
 
 
 def convert_csv_dataset(
@@ -105,7 +119,7 @@ def convert_csv_dataset(
 
 def samples_schema(layout: SeriesLayout = SeriesLayout()) -> T.StructType:
     return T.StructType(
-        [T.StructField(layout.key, T.StringType()), T.StructField(layout.ts, T.TimestampType())]
+        [T.StructField(layout.key, T.StringType()), T.StructField(layout.ts, T.TimestampNTZType())]
         + [T.StructField(s, T.DoubleType()) for s in layout.sensors]
         + [
             T.StructField(layout.label, T.DoubleType()),
@@ -127,11 +141,12 @@ def read_event(samples: DataFrame, event_id, layout: SeriesLayout = SeriesLayout
 
 
 def head_of_events(samples: DataFrame, layout: SeriesLayout, n: int) -> DataFrame:
-    """First ``n`` samples of each event in time order.
+    """First ``n`` samples of each event in time order (G5), of equal times by content hash.
 
     The rank filter is applied per task before the shuffle, so a long event sends ``n`` rows.
     """
-    window = W.partitionBy(layout.key).orderBy(col(layout.ts))
+    tie = F.xxhash64(*[col(c) for c in samples.columns])
+    window = W.partitionBy(layout.key).orderBy(col(layout.ts), tie)
     ranked = samples.withColumn("_n", F.row_number().over(window))
     return ranked.filter(F.col("_n") <= n).drop("_n")
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesprep.operators.event_index import attach_events, index_catalog
-from seriesprep.schema import SeriesLayout
+from seriesprep.schema import SeriesLayout, col
 
 NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
@@ -34,6 +35,11 @@ def cached_table(
     return stored
 
 
+def metrics_path(root: str, name: str) -> str:
+    """Folder of a metric table; the name is escaped, so any text is a name of its own."""
+    return f"{root}/metrics-{quote(name, safe='').replace('%', '~')}"
+
+
 def save_metrics(
     spark: SparkSession,
     root: str,
@@ -42,13 +48,13 @@ def save_metrics(
     use_cached: bool = True,
 ) -> DataFrame:
     """Metric table kept under its name; computed once."""
-    cached_table(spark, f"{root}/metrics_name={name}", build, use_cached)
+    cached_table(spark, metrics_path(root, name), build, use_cached)
     return load_metrics(spark, root, name)
 
 
 def load_metrics(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Stored metric table; reads only the folder of that name."""
-    return spark.read.parquet(root).filter(F.col("metrics_name") == name).drop("metrics_name")
+    return spark.read.parquet(metrics_path(root, name))
 
 
 def write_split(samples: DataFrame, divided: DataFrame, layout: SeriesLayout, path: str) -> None:
@@ -77,12 +83,18 @@ def map_event_batches(
     layout: SeriesLayout,
     function: Callable,
     schema: str,
-    max_windows: int = 4_096,
+    max_windows: int,
+    columns: Sequence[str] = ("X", "y", "label"),
+    merge: Sequence[Column] = (),
 ) -> DataFrame:
     """Run a pandas function on batches of one event's windows.
 
-    An event is one batch up to ``max_windows`` windows and several beyond, so memory per call
-    is bounded whatever the length of an event.
+    An event is cut into batches of ``max_windows`` windows, so memory per call is bounded
+    whatever its length. The function gets the event's key, the number of the ``batch``, the
+    ``window_idx`` and the ``columns`` asked for, and returns rows of ``schema``. With ``merge``,
+    aggregates over those rows by event, the batches of an event become one row.
     """
     batch = F.floor(F.col("window_idx") / max_windows).alias("batch")
-    return windows.groupBy(layout.key, batch).applyInPandas(function, schema)
+    narrow = windows.select(layout.key, batch, "window_idx", *[col(c) for c in columns])
+    partial = narrow.groupBy(layout.key, "batch").applyInPandas(function, schema)
+    return partial.groupBy(layout.key).agg(*merge) if merge else partial

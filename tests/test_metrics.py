@@ -33,8 +33,10 @@ def per_event(spark, values):
         ([1e30, 1, 2, 3, -1e30], 1, 2.0),
     ],
 )
-def test_trimmed_mean(spark, values, k, wanted):
-    assert mt.as_mapping(mt.trimmed_mean(per_event(spark, values), ONE, k)) == {"x": wanted}
+@pytest.mark.parametrize("listed", [1_000, 0])
+def test_trimmed_mean(spark, monkeypatch, listed, values, k, wanted):
+    monkeypatch.setattr(mt, "MAX_LISTED_TRIM", listed)
+    assert mt.as_mapping(mt.trimmed_mean(per_event(spark, values), ONE, k), ONE) == {"x": wanted}
 
 
 def test_trimmed_mean_against_pandas(spark):
@@ -44,10 +46,15 @@ def test_trimmed_mean_against_pandas(spark):
     for k in (1, 4, 20):
         drop = set(column.nsmallest(k).index) | set(column.nlargest(k).index)
         wanted = column.drop(list(drop)).mean()
-        found = mt.as_mapping(mt.trimmed_mean(per_event(spark, values), ONE, k))["x"]
+        found = mt.as_mapping(mt.trimmed_mean(per_event(spark, values), ONE, k), ONE)["x"]
         assert found == pytest.approx(wanted)
 
 
+def test_no_event_gives_no_metric(spark):
+    nothing = per_event(spark, [1.0]).limit(0)
+    assert mt.as_mapping(mt.trimmed_mean(nothing, ONE, 2), ONE) == {"x": None}
+
+
 def stds(spark, values, mu, **options):
     rows = [("e", s, None if v is None else float(v), 1.0, 0.0, 0) for s, v in enumerate(values)]
     index = index_events(recording(spark, rows), AB, extra=moment_columns(AB))

@@ -75,7 +75,7 @@ def test_listing_counts_and_empty_file(spark, tmp_path):
     (folder / "DRAWN_2.npz").write_bytes(b"x" * 11)
 
     listing = rec.list_dataset(spark, str(tmp_path))
-    catalog = rec.dataset_catalog(spark, str(tmp_path))
+    catalog = rec.dataset_catalog(spark, str(folder.parent))
     found = {r["source"]: r["num_timesteps"] for r in catalog.collect()}
     assert found == {"REAL": 3, "SIMULATED": 0, "HAND_DRAWN": None}
 
@@ -176,15 +176,44 @@ def test_tensor_round_trip(spark, windows, tmp_path):
     assert stored.exceptAll(windows).isEmpty() and windows.exceptAll(stored).isEmpty()
 
 
-def test_event_batches(spark, windows):
+@pytest.mark.parametrize("bound", [3, 10_000])
+def test_event_batches(spark, windows, bound):
     def batch(frame):
+        assert list(frame.columns) == ["event_id", "batch", "window_idx", "label"]
         return pd.DataFrame({"event_id": [frame["event_id"].iloc[0]], "n": [len(frame)]})
 
-    whole = store.map_event_batches(windows, AB, batch, "event_id string, n long").collect()
     wanted = {r["event_id"]: r["count"] for r in windows.groupBy("event_id").count().collect()}
-    assert {r["event_id"]: r["n"] for r in whole} == wanted
-    parts = store.map_event_batches(windows, AB, batch, "event_id string, n long", 3).collect()
-    assert max(r["n"] for r in parts) <= 3 and sum(r["n"] for r in parts) == sum(wanted.values())
+    asked = (windows, AB, batch, "event_id string, n long", bound, ["label"])
+    parts = store.map_event_batches(*asked).collect()
+    assert max(r["n"] for r in parts) <= bound and sum(r["n"] for r in parts) == sum(wanted.values())
+    merged = store.map_event_batches(*asked, merge=[F.sum("n").alias("n")]).collect()
+    assert {r["event_id"]: r["n"] for r in merged} == wanted and len(merged) == len(wanted)
+
+
+def test_metric_names_are_taken_as_they_are(spark, tmp_path):
+    for k, name in enumerate(["7", "007", "a/b", "a b%"]):
+        store.save_metrics(spark, str(tmp_path), name, lambda k=k: spark.range(k, k + 1))
+    for k, name in enumerate(["7", "007", "a/b", "a b%"]):
+        assert [r[0] for r in store.load_metrics(spark, str(tmp_path), name).collect()] == [k]
+
+
+def test_nested_copies_and_strange_names(spark, tmp_path):
+    rows = spark.createDataFrame([("2020-01-01 00:00:00", 1.0, 2.0, 0.0)], "timestamp string, `P-A` double, `T-B` double, class double")
+    names = ["WELL-00001_20200101000000", "SIMULATED_a b%", "DRAWN_é+1"]
+    frame = rows.toPandas()
+    for folder in ("4", "train/4", "test/4", "other"):
+        (tmp_path / folder).mkdir(parents=True)
+        for name in names:
+            frame.to_parquet(tmp_path / folder / f"{name}.parquet")
+    (tmp_path / "4" / "SIMULATED_1.npz").write_bytes(b"x")
+    (tmp_path / "4" / "notes.txt").write_bytes(b"x")
+    frame.head(0).to_parquet(tmp_path / "4" / "DRAWN_0.parquet")
+    catalog = rec.dataset_catalog(spark, str(tmp_path)).collect()
+    found = {r["path"].rsplit("/", 1)[1]: r["num_timesteps"] for r in catalog}
+    assert found == {**{f"{n}.parquet": 1 for n in names}, "DRAWN_0.parquet": 0, "SIMULATED_1.npz": None}
+    samples = rec.read_parquet_recordings(spark, str(tmp_path), rows.schema, AB)
+    ids = {r["event_id"] for r in catalog if r["num_timesteps"]}
+    assert sorted(r["event_id"] for r in samples.collect()) == sorted(ids) and len(ids) == 3
 
 
 def test_split_store_replaces_an_earlier_draw(spark, tmp_path):
