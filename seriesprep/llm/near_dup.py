@@ -12,7 +12,9 @@ sketch: documents with similarity 0.8 agree in no band with a chance of 5e-8.
    limit are dropped; the others are confirmed on the full sets.
 3. Confirmed links make components. Where a bucket still holds several components, links between
    non-hub members may be missing; those members go through a prefix join: two sets that are
-   similar enough share one of their rarest shingles. Pairs inside a component are never made.
+   similar enough share one of their rarest shingles. Pairs inside a component are never made,
+   and a sample of the pairs comes first, which joins most components before the rest is looked
+   at. The last pass takes every pair that is left, so no link between components is missed.
 
 Defined results: null or empty texts and texts without words have an empty set, link to nothing
 and are kept; a one-word text is one shingle. Rows with the same id and text get the same answer.
@@ -39,6 +41,8 @@ N_BUCKETS = N_BANDS * BAND_ROWS
 LEAST_SET = 4
 #: Estimates have a standard deviation of at most 0.045; four of them below the limit are dropped.
 ESTIMATE_MARGIN = 0.2
+#: Passes of the prefix join: one in 64 pairs, then one in 8, then all.
+DRAWS = (64, 8, 1)
 
 _rng = np.random.Generator(np.random.PCG64(20_240_131))
 _XOR = _rng.integers(0, 2**32, N_BUCKETS, np.uint32)
@@ -227,37 +231,49 @@ def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for node, comp, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "shingles"))):
+        for node, packed in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
             s = np.frombuffer(packed, np.int64)
-            n = len(s)
-            fixed = [pa.array(np.full(n, v, np.int64)) for v in (node, comp, n)]
-            yield pa.RecordBatch.from_arrays([*fixed, pa.array(s)], names=["node", "comp", "n", "shingle"])
+            fixed = [pa.array(np.full(len(s), v, np.int64)) for v in (node, len(s))]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(s)], names=["node", "n", "shingle"])
 
 
-def prefix_pairs(opened: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of ``opened`` nodes of different components that share one of their rarest shingles.
+def prefix_heads(sets: DataFrame) -> DataFrame:
+    """``shingle, node, n, place``: the rarest shingles of every set that others have too.
 
     In any common order of shingles, two sets of similarity t share an element among the first
     ``n - ceil(t*n) + 1`` of each. With the rarest first, a passage that many texts share is not
     among them unless it is most of the text."""
-    rows = stored(
-        opened.join(sets, "node").mapInArrow(_explode_sets, "node long, comp long, n long, shingle long"), "shingles"
-    )
+    rows = stored(sets.mapInArrow(_explode_sets, "node long, n long, shingle long"), "shingles")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
     needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     # Shingles of one node alone come first in the order; they take places but make no pairs.
     shared = rows.join(counts, "shingle").withColumn("rank", rank)
     n_shared = F.count("*").over(Window.partitionBy("node"))
-    heads = shared.withColumn("alone", F.col("n") - n_shared).filter(F.col("rank") + F.col("alone") <= needed)
-    heads = stored(heads.select("shingle", "node", "comp", "n"), "heads")
-    one = lambda x: heads.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n")])
+    heads = shared.withColumn("place", F.col("rank") + F.col("n") - n_shared).filter(F.col("place") <= needed)
+    return stored(heads.select("shingle", "node", "n", "place"), "heads")
+
+
+def prefix_pairs(heads: DataFrame, opened: DataFrame, before: int, now: int) -> DataFrame:
+    """Pairs of ``opened`` nodes (``node, comp``) of different components that share a head and
+    can still reach the limit: what lies behind the places of their first common shingle bounds
+    what they share. Of all pairs those whose hash ``now`` divides and ``before`` does not."""
+    placed = heads.join(opened, "node")
+    one = lambda x: placed.select(
+        "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "place")]
+    )
+    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    drawn = F.xxhash64("node_a", "node_b")
     fits = (
         (F.col("node_a") < F.col("node_b"))
         & (F.col("comp_a") != F.col("comp_b"))
-        & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+        & (100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most))
+        & (F.pmod(drawn, F.lit(now)) == 0)
     )
-    return one("a").join(one("b"), "shingle").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    if before:
+        fits &= F.pmod(drawn, F.lit(before)) != 0
+    pairs = one("a").join(one("b"), "shingle").filter(fits)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -276,9 +292,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     opened = open_nodes(members, labels)
     if not opened.isEmpty():
         sets = full_sets(docs, classes, opened.select("node"))
-        more = stored(estimated(classes, prefix_pairs(opened, sets)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.union(confirmed(more, sets)), "links")
-        labels = components(links)
+        heads = prefix_heads(sets)
+        for before, now in zip((0, *DRAWS), DRAWS):
+            found = stored(estimated(classes, prefix_pairs(heads, opened, before, now)), "pairs")
+            links = stored(links.union(confirmed(found, sets)), "links")
+            labels = components(links)
+            opened = open_nodes(members, labels)
     placed = classes.join(labels, "node", "left").select("node", "lead.doc_id", F.coalesce("comp", "node").alias("comp"))
     names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     names = stored(placed.join(names, "comp").select("node", "component_id"), "names")
