@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesprep.llm import decontaminate, html_text, licenses, near_dup, packing, pii, quality, token_files, toxicity, urls
 from seriesprep.llm.shared import table
 
 
+def rounded(value: Column) -> Column:
+    """Six digits, shifted off rounding ties, where two engines may go either way."""
+    return F.round(value + F.lit(1e-9), 6) + F.lit(0.0)
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -41,7 +46,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = urls.page_outcomes(table(spark, sf_dir, "labels"))
-    return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
+    judged = urls.filter_urls(table(spark, sf_dir, "pages"), outcomes)
+    return judged.withColumns({c: rounded(F.col(c)) for c in ("bad_mean", "bad_low")})
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +79,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged, out = quality.judge_quality(docs, keep=["doc_id"])
-    return judged.select("doc_id", f"{out}.*")
+    flat = judged.select("doc_id", f"{out}.*")
+    return flat.withColumns({c: rounded(F.col(c)) for c in ("class_distance", "word_distance")})
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
