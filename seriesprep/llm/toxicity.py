@@ -84,22 +84,26 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _families(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Every one of ``words`` a document has, once, with the least hash of the document's word
-    pairs, which copies of a text mostly share and other texts do not."""
+    triples, which copies of a text mostly share and other texts do not."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
         for row, end, data, offsets in pieces(batch.column("text")):
             _, counts, features, number = hash_stems(data, offsets, PLAIN, STEMS)
             hashes = features[: counts.sum()]
-            doc = np.repeat(np.arange(end - row), counts)
-            behind = np.append(hashes[1:], np.uint64(0))[: len(hashes)]
-            behind[np.cumsum(counts[counts > 0]) - 1] = 0
-            pairs = mix(mix(hashes) ^ behind)
+            doc_of = np.repeat(np.arange(end - row), counts)
+            triples = hashes
+            for step in (1, 2):
+                behind = np.append(hashes[step:], np.zeros(step, np.uint64))[: len(hashes)]
+                outside = np.append(doc_of[step:], np.full(step, -1))[: len(hashes)] != doc_of
+                behind[outside] = 0
+                triples = mix(triples) ^ behind
+            triples = mix(triples)
             full = np.flatnonzero(counts)
             family = np.zeros(end - row, np.uint64)
-            family[full] = np.minimum.reduceat(pairs, (np.cumsum(counts) - counts)[full]) if len(full) else 0
+            family[full] = np.minimum.reduceat(triples, (np.cumsum(counts) - counts)[full]) if len(full) else 0
             at = np.searchsorted(words, features)
             known = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == features)
-            once = np.unique(np.stack([doc[number[known]], at[known]], axis=1), axis=0)
+            once = np.unique(np.stack([doc_of[number[known]], at[known]], axis=1), axis=0)
             columns = [words[once[:, 1]], family[once[:, 0]], toxic[row:end][once[:, 0]].astype(np.uint64)]
             arrays = [pa.array(c.view(np.int64)) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=["word", "family", "bad"])
