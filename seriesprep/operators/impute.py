@@ -99,11 +99,11 @@ def number_long_events(samples: DataFrame, layout: SeriesLayout, parts: int) ->
     """Add ``pos``, the row position within the event, and ``_seg``, a task-sized part of it.
 
     Rows are range-partitioned by event and time, which splits an event wherever its rows are
-    dense. The result is written before partition numbers are read off it, so a recomputed task
-    cannot shift them.
+    dense. The numbers are written with the rows, so a recomputed task cannot shift them.
     """
-    ranged = cut_lineage(samples.repartitionByRange(parts, layout.key, layout.ts))
-    ranged = ranged.withColumn("_seg", F.spark_partition_id().cast("long"))
+    # The content hash lets rows of one event and time part, too.
+    ranged = samples.repartitionByRange(parts, layout.key, layout.ts, "_tie")
+    ranged = cut_lineage(ranged.withColumn("_seg", F.spark_partition_id().cast("long")))
     # One row per event and range partition.
     counts = ranged.groupBy(layout.key, "_seg").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = W.partitionBy(layout.key).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)

@@ -77,9 +77,9 @@ def ranked_trim(long: DataFrame, layout: SeriesLayout, k: int) -> DataFrame:
 
     def ranks(order: Column, name: str) -> DataFrame:
         parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # Written before partition numbers are read off it.
-        ranged = cut_lineage(known.repartitionByRange(parts, F.asc("variable"), order, F.asc(layout.key)))
-        ranged = ranged.withColumn("_part", F.spark_partition_id())
+        # Partition numbers are written with the rows, so a recomputed task cannot shift them.
+        ranged = known.repartitionByRange(parts, F.asc("variable"), order, F.asc(layout.key))
+        ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
         counts = ranged.groupBy("variable", "_part").agg(F.count(F.lit(1)).alias("_rows"))
         earlier = W.partitionBy("variable").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
         offsets = counts.select(

@@ -79,3 +79,19 @@ def test_no_validation_window_is_no_ranking(spark):
     windows = prepare.prepare_windows(samples, AB, None, 3, 3, {"P-A": (-9.0, 9.0), "T-B": (-9.0, 9.0)})
     with pytest.raises(ValueError, match="validation"):
         classify.search_classifier(windows, windows.limit(0), 3, AB, [{"hidden": 4}])
+
+
+def test_a_job_leaves_no_file_and_reads_only_what_it_uses(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from seriesprep.session import cut_lineage, job_folder
+
+    with job_folder(spark) as folder:
+        frame = cut_lineage(spark.range(9).selectExpr("id", "id * 2 as `a:b`", "id * 3 as c"))
+        narrow = frame.select("`a:b`")
+        assert narrow.agg(F.sum("`a:b`")).first()[0] == 72
+        plan = narrow._jdf.queryExecution().toString()
+        assert "ReadSchema: struct<a:b:bigint>" in plan
+        assert Path(urlparse(folder).path).exists()
+    assert not Path(urlparse(folder).path).exists()
