@@ -1,8 +1,8 @@
 r"""License scan: ordered signature rules with keyword gate, priority and containment.
 
 A text is brought to its words, each between two spaces of its own, and every rule is a regex over
-that form. A rule runs only on texts that have all its keywords as whole words, so most texts run
-none. A detection that lies inside another is suppressed; of two that overlap otherwise, the one
+that form. Its keywords are the words that every match has, so running it only on texts that have
+them all as whole words loses nothing, and most texts run none. A detection that lies inside another is suppressed; of two that overlap otherwise, the one
 with the better priority stays. The stated base phrases are rules too; their detections are
 reported whatever suppresses them.
 
@@ -16,6 +16,8 @@ give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,76 +45,145 @@ class Rule:
 # The stated phrases and their labels.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-#: Families: label, regex of the name, keywords, versions (words between dots). Fixed values.
+#: Families: label, regexes of the names (each without an alternation that decides what words it
+#: has), words that a version may be written onto, versions (words between dots). Fixed values.
 FAMILIES = (
-    ("mit", "(?:mit|expat)(?: x11)?", ("mit",), ()),
-    ("mit-0", "mit 0", ("mit", "0"), ()),
-    ("apache", "apache(?: software)?", ("apache",), ("1 0", "1 1", "2", "2 0")),
-    ("bsd", "(?:new |modified |revised |simplified |original )?bsd", ("bsd",), ()),
-    ("bsd-2", "(?:bsd 2|2|two) clause(?: bsd)?", ("clause",), ()),
-    ("bsd-3", "(?:bsd 3|3|three) clause(?: bsd)?", ("clause",), ()),
-    ("gpl", "gnu general public", ("gnu", "general", "public"), ("1", "2", "2 0", "3", "3 0")),
-    ("gpl", "(?:gnu )?gpl ?", ("gpl",), ("1", "2", "2 0", "3", "3 0")),
-    ("lgpl", "gnu (?:lesser|library) general public", ("gnu", "general", "public"), ("2", "2 1", "3", "3 0")),
-    ("lgpl", "(?:gnu )?lgpl ?", ("lgpl",), ("2", "2 1", "3", "3 0")),
-    ("agpl", "gnu affero general public", ("gnu", "affero"), ("1", "3", "3 0")),
-    ("agpl", "(?:gnu )?agpl ?", ("agpl",), ("1", "3", "3 0")),
-    ("gfdl", "gnu free documentation", ("gnu", "documentation"), ("1 1", "1 2", "1 3")),
-    ("mpl", "mozilla public", ("mozilla",), ("1 0", "1 1", "2", "2 0")),
-    ("mpl", "mpl", ("mpl",), ("1 0", "1 1", "2", "2 0")),
-    ("epl", "eclipse public", ("eclipse",), ("1 0", "2", "2 0")),
-    ("cddl", "common development and distribution", ("development", "distribution"), ("1 0", "1 1")),
-    ("cpl", "common public", ("common", "public"), ("1 0",)),
-    ("eupl", "european union public", ("european", "union"), ("1 0", "1 1", "1 2")),
-    ("osl", "open software", ("open", "software"), ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", ("academic",), ("1 1", "2 1", "3 0")),
-    ("artistic", "artistic", ("artistic",), ("1 0", "2", "2 0")),
-    ("isc", "isc", ("isc",), ()),
-    ("zlib", "zlib(?: libpng)?", ("zlib",), ()),
-    ("boost", "boost software", ("boost",), ("1 0",)),
-    ("ofl", "(?:sil )?open font", ("open", "font"), ("1 0", "1 1")),
-    ("unlicense", "unlicense", ("unlicense",), ()),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", ("wtfpl",), ("2",)),
-    ("odbl", "open database", ("open", "database"), ("1 0",)),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)", ("cc0",), ("1 0",)),
-    ("cc-by", "(?:cc|creative commons) (?:by|attribution)", ("cc", "by"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "(?:cc|creative commons) (?:by sa|attribution share ?alike)", ("cc", "sa"), ("2 0", "3 0", "4 0")),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by nd|attribution no ?derivatives)", ("cc", "nd"), ("3 0", "4 0")),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by nc|attribution non ?commercial)", ("cc", "nc"), ("2 0", "3 0", "4 0")),
-    ("cc-by-nc-sa", "(?:cc|creative commons) by nc sa", ("cc", "nc", "sa"), ("3 0", "4 0")),
-    ("cc-by-nc-nd", "(?:cc|creative commons) by nc nd", ("cc", "nc", "nd"), ("3 0", "4 0")),
+    ("mit", ("mit(?: x11)?", "expat(?: x11)?"), (), ()),
+    ("mit-0", ("mit 0",), (), ()),
+    ("apache", ("apache(?: software)?", "asl"), ("apache", "asl"), ("1 0", "1 1", "2", "2 0")),
+    ("bsd", ("(?:new |modified |revised |simplified |original )?bsd",), (), ()),
+    ("bsd-2", ("bsd 2 clause", "2 clause(?: bsd)?", "bsd two clause", "two clause(?: bsd)?"), (), ()),
+    ("bsd-3", ("bsd 3 clause", "3 clause(?: bsd)?", "bsd three clause", "three clause(?: bsd)?"), (), ()),
+    ("bsd-4", ("bsd 4 clause", "4 clause(?: bsd)?", "bsd four clause", "four clause(?: bsd)?"), (), ()),
+    ("0bsd", ("0bsd", "zero clause bsd"), (), ()),
+    ("gpl", ("gnu general public", "(?:gnu )?gpl"), ("gpl",), ("1", "2", "2 0", "3", "3 0")),
+    ("lgpl", ("gnu lesser general public", "gnu library general public", "(?:gnu )?lgpl"), ("lgpl",), ("2", "2 1", "3", "3 0")),
+    ("agpl", ("gnu affero general public", "(?:gnu )?agpl"), ("agpl",), ("1", "3", "3 0")),
+    ("gfdl", ("gnu free documentation", "(?:gnu )?gfdl", "gnu fdl"), ("gfdl",), ("1 1", "1 2", "1 3")),
+    ("mpl", ("mozilla public", "mpl"), ("mpl",), ("1 0", "1 1", "2", "2 0")),
+    ("epl", ("eclipse public", "epl"), ("epl",), ("1 0", "2", "2 0")),
+    ("cddl", ("common development and distribution", "cddl"), ("cddl",), ("1 0", "1 1")),
+    ("cpl", ("common public", "cpl"), ("cpl",), ("1 0",)),
+    ("eupl", ("european union public", "eupl"), ("eupl",), ("1 0", "1 1", "1 2")),
+    ("osl", ("open software", "osl"), ("osl",), ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", ("academic free", "afl"), ("afl",), ("1 1", "2 1", "3 0")),
+    ("artistic", ("artistic",), ("artistic",), ("1 0", "2", "2 0")),
+    ("isc", ("isc",), (), ()),
+    ("zlib", ("zlib(?: libpng)?",), (), ()),
+    ("boost", ("boost software", "bsl"), (), ("1 0",)),
+    ("ofl", ("(?:sil )?open font", "(?:sil )?ofl"), ("ofl",), ("1 0", "1 1")),
+    ("unlicense", ("unlicense",), (), ()),
+    ("wtfpl", ("wtfpl", "do what the fuck you want to public"), ("wtfpl",), ("2",)),
+    ("odbl", ("open database", "odbl"), ("odbl",), ("1 0",)),
+    ("cc0", ("cc0", "cc zero", "creative commons zero"), (), ("1 0",)),
+    *(
+        (
+            "cc-" + short.replace(" ", "-"),
+            (f"cc {short}", f"creative commons {short}", f"cc {spelt}", f"creative commons {spelt}"),
+            (),
+            ("1 0", "2 0", "2 5", "3 0", "4 0"),
+        )
+        for short, spelt in (
+            ("by", "attribution"),
+            ("by sa", "attribution share ?alike"),
+            ("by nd", "attribution no ?deriv(?:ative)?(?:s|works)?"),
+            ("by nc", "attribution non ?commercial"),
+            ("by nc sa", "attribution non ?commercial share ?alike"),
+            ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?(?:s|works)?"),
+        )
+    ),
 )
-#: Forms a name stands in: regex around it, further keywords, confidence. Better ones first.
+_UNDER = "(?:licensed|released|published|available|provided|distributed) under(?: the)?(?: terms of(?: the)?)? "
+#: Forms a name without a version stands in, and their confidence. Better ones first.
 FORMS = (
-    ("spdx license identifier {name}", ("spdx",), 0.99),
-    ("(?:licensed|released|published|available|provided|distributed) under(?: the)?(?: terms of(?: the)?)? {name}(?: licen[sc]e)?", ("under",), 0.95),
-    ("subject to the(?: terms of the)? {name} licen[sc]e", ("subject",), 0.9),
-    ("under(?: the)? {name}(?: licen[sc]e)?", ("under",), 0.8),
-    ("{name} licen[sc]e", ("license",), 0.6),
-    ("{name} licence", ("licence",), 0.6),
+    ("spdx license identifier {name}", 0.99),
+    (_UNDER + "{name}(?: licen[sc]e)?", 0.95),
+    ("subject to the(?: terms of the)? {name} licen[sc]e", 0.9),
+    ("under(?: the)? {name}(?: licen[sc]e)?", 0.8),
+    ("{name} license", 0.6),
+    ("{name} licence", 0.6),
+)
+#: The same for a name with its version.
+VERSION_FORMS = (
+    ("spdx license identifier {name}", 0.99),
+    (_UNDER + "{name}", 0.98),
+    ("subject to the(?: terms of the)? {name}", 0.93),
+    ("under(?: the)? {name}", 0.83),
+    ("{name}", 0.63),
 )
 #: Labels whose version is part of no name; the version makes a detection surer, not another label.
 UNVERSIONED = ("cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "wtfpl", "boost", "odbl")
 
+#: Sentences of license bodies and of the notices that stand in files, with their labels.
+SIGNATURES = (
+    ("mit", "to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2", "apache org licenses license 2 0"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2", "gnu general public license version 2 as published by the free software foundation"),
+    ("lgpl-2", "gnu library general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ofl", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "creativecommons org publicdomain zero"),
+    *((f"cc-{k.replace(' ', '-')}", f"creativecommons org licenses {k}") for k in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")),
+)
+
+#: Words that many texts have; a rule is anchored at another one where it has one.
+FREQUENT = frozenset(
+    "a all and any as at be by common copy document free general in is it license licence of open or org public person "
+    "software source subject terms the this to under union use v version zero 0 1 2 3 4 5 two three four".split()
+)
+
+
+def implied_words(regex: str) -> tuple[str, ...]:
+    """Words that every match of ``regex`` has, the anchor first: what is optional, joined or one
+    of several is none of them."""
+    while (bare := re.sub(r"\(\?:[^()]*\)\??", lambda m: " * " if m[0].startswith("(?: ") or m[0].rstrip("?").endswith(" )") else "*", regex)) != regex:
+        regex = bare
+    sure = [w for w in re.sub(r"\w+ \?", "*", regex).split() if re.fullmatch("[a-z0-9]+", w)]
+    return tuple(sorted(dict.fromkeys(sure), key=lambda w: w in FREQUENT))
+
 
 def all_rules() -> tuple[Rule, ...]:
-    """Base phrases, then every family in every form, with each of its versions before none."""
+    """Base phrases, then every name in every form, with each of its versions before none, then
+    the signatures. Keywords are the words that the rule's own regex implies."""
+
+    def rule(label: str, regex: str, priority: int, confidence: float) -> Rule:
+        return Rule(label, regex, implied_words(regex), priority, confidence)
 
     def built() -> Iterator[Rule]:
         for label, phrase in BASE:
             anchor = next(w for w in phrase.split() if w in ("mit", "apache", "cc"))
             yield Rule(label, phrase, tuple(dict.fromkeys([anchor, *phrase.split()])), 0, 1.0, base=True)
-        for label, name, keys, versions in FAMILIES:
-            for version in (*reversed(versions), ""):
+        for label, names, joined, versions in FAMILIES:
+            for version in reversed(versions):
                 number = version.removesuffix(" 0").replace(" ", ".")
-                full = label if not version or label in UNVERSIONED else f"{label}-{number}"
-                for k, (form, more, confidence) in enumerate(FORMS):
-                    tail = f"(?: licen[sc]e)? (?:version |v )?{version}" if version else ""
-                    regex = form.format(name=name)
-                    if version:
-                        regex = regex.removesuffix("(?: licen[sc]e)?").removesuffix(" licen[sc]e").removesuffix(" licence") + tail
-                    surer = 0.03 if version else 0.0
-                    yield Rule(full, regex, (*keys, *more), 1 + k + (0 if version else len(FORMS)), min(1.0, confidence + surer))
+                full = label if label in UNVERSIONED else f"{label}-{number}"
+                written = [f"{n}(?: licen[sc]e)? (?:version |v |v)?{version}" for n in names]
+                written += [f"(?:gnu )?{j}{v}{version}" for j in joined for v in ("v", "")]
+                for k, (form, confidence) in enumerate(VERSION_FORMS):
+                    for name in written:
+                        yield rule(full, form.format(name=name), 1 + k, confidence)
+            for k, (form, confidence) in enumerate(FORMS):
+                for name in names:
+                    yield rule(label, form.format(name=name), 1 + k + len(FORMS), confidence)
+        for label, sentence in SIGNATURES:
+            yield rule(label, sentence, 1, 0.97)
 
     return tuple(dict.fromkeys(built()))
 
@@ -129,23 +200,17 @@ def _spaced(regex: str) -> str:
 
 
 def _literal(rules: tuple[Rule, ...]) -> Column:
-    """Rules by their anchor, the first keyword."""
-
-    def row(number: int, r: Rule) -> Column:
-        return F.struct(
-            F.lit(_spaced(r.regex)).alias("regex"),
-            F.array(*map(F.lit, r.keywords)).alias("keywords"),
-            F.lit(r.label).alias("label"),
-            F.lit(r.priority).alias("priority"),
-            F.lit(number).alias("rule"),
-            F.lit(r.confidence).alias("confidence"),
-            F.lit(r.base).alias("base"),
-        )
-
-    groups: dict[str, list[Column]] = {}
+    """Rules by their anchor, the first keyword; one constant, as thousands of calls take minutes."""
+    groups: dict[str, list[dict]] = {}
     for number, r in enumerate(rules):
-        groups.setdefault(r.keywords[0], []).append(row(number, r))
-    return F.array(*[F.struct(F.lit(a).alias("anchor"), F.array(*g).alias("rules")) for a, g in groups.items()])
+        row = {
+            "regex": _spaced(r.regex), "keywords": r.keywords, "label": r.label, "priority": r.priority,
+            "rule": number, "confidence": r.confidence, "base": r.base,
+        }
+        groups.setdefault(r.keywords[0], []).append(row)
+    rule = "regex:string,keywords:array<string>,label:string,priority:int,rule:int,confidence:double,base:boolean"
+    rows = json.dumps([{"anchor": a, "rules": g} for a, g in groups.items()])
+    return F.from_json(F.lit(rows), f"array<struct<anchor:string,rules:array<struct<{rule}>>>>")
 
 
 def _n_words(spaced: Column) -> Column:

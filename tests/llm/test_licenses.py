@@ -67,3 +67,59 @@ def test_hundreds_of_rules_and_awkward_rows(spark, documents):
     rows = lc.summary(lc.scan(documents)).collect()
     assert len(rows) == documents.count()
     assert lc.summary(lc.scan(documents.limit(0))).count() == 0
+
+
+def forms_of(regex):
+    """Texts that the small language of the rules writes out: groups, alternatives, optional parts."""
+    import itertools
+    import re._parser as parser
+
+    def out(tree):
+        parts = []
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                parts.append([chr(arg)])
+            elif name == "IN":
+                parts.append([chr(a) for _, a in arg])
+            elif name == "MAX_REPEAT":
+                parts.append([*out(arg[2]), ""])
+            elif name == "SUBPATTERN":
+                parts.append(out(arg[3]))
+            else:
+                assert name == "BRANCH", name
+                parts.append([t for branch in arg[1] for t in out(branch)])
+        return ["".join(p) for p in itertools.islice(itertools.product(*parts), 200)]
+
+    return out(parser.parse(regex))
+
+
+def test_every_alternative_fires_through_the_gate():
+    for r in lc.RULES:
+        for text in forms_of(r.regex):
+            w = text.split()
+            assert re.search(lc._spaced(r.regex), " " + "  ".join(w) + " "), (r.regex, text)
+            assert set(r.keywords) <= set(w), (r.regex, text)
+
+
+def test_spelt_out_names_joined_versions_and_bodies_are_labelled(spark):
+    wanted = {
+        "Licensed under the Creative Commons Attribution 4.0 License": "cc-by",
+        "Creative Commons Attribution-ShareAlike 3.0": "cc-by-sa",
+        "Creative Commons Attribution Share Alike license": "cc-by-sa",
+        "creative commons attribution non-commercial no derivs 3.0": "cc-by-nc-nd",
+        "under the Creative Commons Zero license": "cc0",
+        "CC Zero licence": "cc0",
+        "under the Expat license": "mit",
+        "do what the fuck you want to public license": "wtfpl",
+        "GPLv2": "gpl-2",
+        "This is GPLv3 code": "gpl-3",
+        "released under LGPLv2.1": "lgpl-2.1",
+        "GNU GPL v3": "gpl-3",
+        "http://www.apache.org/licenses/LICENSE-2.0": "apache-2",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "a text under a cloud, by the general public": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in lc.summary(lc.scan(frame)).collect()}
+    assert [got[i] for i in range(len(wanted))] == list(wanted.values())
