@@ -139,3 +139,37 @@ def test_divergence_rejects_strange_text_and_keeps_the_rest(spark):
 
     got = spark.range(1).select(ql.js_distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
     assert abs(got - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
+
+
+def test_repeats_count_different_pages_of_the_whole_host(spark, monkeypatch):
+    rng = random.Random(6)
+    passages = [" ".join(f"p{k}w{j}" for j in range(rng.randrange(7, 14))) for k in range(12)]
+    pages = []
+    for i in range(60):
+        chosen = [p for k, p in enumerate(passages) if rng.random() < (0.04 if k < 9 else 0.5)]
+        pages.append(f"<div>own story {i}</div>" + "".join(f"<div>{p}</div>" for p in chosen))
+    copied = "<div>a page of many words that is there three times and on no other page</div>"
+    rows = [(i, "http://h.example.org/x", p) for i, p in enumerate(pages)]
+    rows += [(100 + k, "http://h.example.org/y", copied) for k in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wanted = {}
+    tokens, owner, wall = [], [], 0
+    blocks = [[t for _, t in ht.blocks_of(p)] for p in [*pages, copied]]
+    for k, page in enumerate(blocks):
+        for block in page:
+            wall -= 1
+            tokens += [*block.split(" "), wall]
+            owner += [k] * (len(block.split(" ")) + 1)
+    covered, at = plain_repeats(tokens, owner, ht.LEAST_TOKENS, ht.LEAST_PAGES), 0
+    for k, page in enumerate(blocks):
+        kept = []
+        for block in page:
+            words = block.split(" ")
+            kept.append(" ".join(w for j, w in enumerate(words) if not covered[at + j]))
+            at += len(words) + 1
+        wanted[k if k < 60 else 100] = "\n".join(t for t in kept if t)
+    wanted |= {101: wanted[100], 102: wanted[100]}
+    assert wanted[100].startswith("a page of many words")
+    for size in (2, 10, 256):
+        monkeypatch.setattr(ht, "SHARD_PAGES", size)
+        assert {r.page_id: r.text for r in ht.extract(frame).collect()} == wanted, size
