@@ -3,11 +3,11 @@ r"""Personal data: base patterns, and a semi-Markov conditional random field bes
 The field scores whole spans of up to ``MAX_TOKENS`` tokens (counts of digits, letters and marks,
 check digits, what stands at their borders), and dynamic programming over the tokens chooses
 boundaries and kinds of all entities of an area at once. Areas are the tokens around digits and
-``@``; nothing else can hold an entity. It is trained by likelihood on at most ``SAMPLE_AREAS``
-areas of at most ``SAMPLE_ROWS`` texts (of about ``LOOKED_AT``), chosen by hash, where the base patterns and long mixed
-tokens (secrets) are the labels. Spans that it finds beside the base ones are added.
+``@``; nothing else can hold an entity. It is trained by likelihood, where the base patterns and
+long mixed tokens (secrets) are the labels, on distinct areas of all texts: of each labelled kind
+the ``KIND_AREAS`` with the least hash, and ``OTHER_AREAS`` without a label. Spans that it finds beside the base ones are added.
 
-One narrow pass over whole texts; nothing is shuffled but the bounded sample.
+Two narrow passes over whole texts, one to train; nothing is shuffled but the bounded sample.
 
 Defined results: a null or empty text has no spans. Base spans of several kinds may overlap; an
 added span overlaps no other. Without any labelled area nothing is added. Rows that repeat are
@@ -20,11 +20,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from heapq import heappop, heappush
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,9 +36,10 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 MAX_TOKENS = 12
 AROUND = 2
-LOOKED_AT = 50_000
-SAMPLE_ROWS = 2_000
-SAMPLE_AREAS = 400
+KIND_AREAS = 80
+OTHER_AREAS = 240
+#: Groups by hash that order their areas before the groups are put together.
+SAMPLE_GROUPS = 32
 AREA_TOKENS = 40
 
 # The stated patterns, written so that no start is tried twice in one run.
@@ -48,6 +51,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 
 TELLING = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]")
+LONG_TOKEN = re.compile(r"[A-Za-z0-9]{32}")
 SECRET = re.compile(r"(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{32,128}\Z")
 Span = tuple[int, int, str]
 
@@ -247,15 +251,56 @@ def _labels(text: str, tokens: list[tuple[int, int]], base: list[Span]) -> list[
     return gold
 
 
+def area_kinds(piece: str) -> set[str]:
+    """Kinds of the labels in a padded area as :func:`fit` sees them; ``""`` for an area without."""
+    base = base_spans(piece)
+    if not base and not LONG_TOKEN.search(piece):
+        return {""}
+    labels = [_labels(piece, tokens, base) for tokens in areas(piece) if len(tokens) <= AREA_TOKENS]
+    return {KINDS[kind] for gold in labels for *_, kind in gold or ()} or ({""} if labels and None not in labels else set())
+
+
+def _most(kind: str) -> int:
+    return KIND_AREAS if kind else OTHER_AREAS
+
+
+class LeastAreas:
+    """The distinct areas of each kind with the least hash, as many as :func:`_most` says."""
+
+    def __init__(self) -> None:
+        self.heaps: dict[str, list[tuple[int, str]]] = {}
+        self.held: set[tuple[str, str]] = set()
+
+    def add(self, piece: str) -> None:
+        number = int.from_bytes(blake2b(piece.encode(), digest_size=7).digest())
+        # The root of a heap is the greatest of the least.
+        if all(self._full(k) and number > -self.heaps[k][0][0] for k in ("", *KINDS)):
+            return
+        for kind in area_kinds(piece):
+            if (kind, piece) in self.held or self._full(kind) and number > -self.heaps[kind][0][0]:
+                continue
+            heap = self.heaps.setdefault(kind, [])
+            heappush(heap, (-number, piece))
+            self.held.add((kind, piece))
+            if len(heap) > _most(kind):
+                self.held.remove((kind, heappop(heap)[1]))
+
+    def _full(self, kind: str) -> bool:
+        return len(self.heaps.get(kind, ())) >= _most(kind)
+
+
 def _sample_areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least areas of all texts of a task: the least of a table are among those of its tasks."""
+    least = LeastAreas()
     for batch in batches:
-        pieces = []
         for text in batch.column("text").to_pylist():
             for tokens in areas(text or ""):
                 if len(tokens) <= AREA_TOKENS:
                     a, b = max(0, tokens[0][0] - 1), tokens[-1][1] + 1
-                    pieces.append(text[a:b])
-        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string())], names=["area"])
+                    least.add(text[a:b])
+    rows = [(kind, -number, piece) for kind, heap in least.heaps.items() for number, piece in heap]
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+    yield pa.RecordBatch.from_arrays(columns, names=["kind", "number", "area"])
 
 
 def fit(pieces: list[str], rounds: int = 150, ridge: float = 0.02) -> SpanModel | None:
@@ -309,16 +354,20 @@ def fit(pieces: list[str], rounds: int = 150, ridge: float = 0.02) -> SpanModel
     return SpanModel(w)
 
 
+def training_areas(docs: DataFrame) -> list[str]:
+    """Distinct areas of all texts, of each kind those with the least hash."""
+    telling = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
+    found = stored(telling.mapInArrow(_sample_areas, "kind string, number long, area string"), "areas").distinct()
+    most = F.when(F.col("kind") == "", OTHER_AREAS).otherwise(KIND_AREAS)
+    for group in (["kind", F.pmod("number", F.lit(SAMPLE_GROUPS))], ["kind"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("number", "area"))
+        found = found.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    rows = found.select("number", "area").distinct().collect()
+    return [r.area for r in sorted(rows)]
+
+
 def train(docs: DataFrame) -> SpanModel | None:
-    # Of a large table a share by hash is looked at, so that the ordering sees a bounded number
-    # of texts whatever the number of partitions is.
-    looked_at = min(1.0, LOOKED_AT / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= F.lit(int(looked_at * (1 << 30)))
-    telling = docs.select("text").filter(drawn).filter(F.col("text").rlike("[0-9@]"))
-    chosen = telling.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
-    found = stored(chosen.mapInArrow(_sample_areas, "area string"), "areas")
-    rows = found.distinct().orderBy(F.xxhash64("area"), "area").limit(SAMPLE_AREAS).collect()
-    return fit([r.area for r in rows])
+    return fit(training_areas(docs))
 
 
 def find_spans(docs: DataFrame, model: SpanModel | None, keep: list[str] | None = None) -> tuple[DataFrame, str]:

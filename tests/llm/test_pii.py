@@ -76,3 +76,20 @@ def test_awkward_rows_and_masking(spark, documents):
 def test_long_runs_cost_linear_time():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 50_000, "@" * 50_000):
         pii.base_spans(text)
+
+
+def test_copies_and_rarity_empty_no_kind(spark):
+    rng = random.Random(3)
+    secrets = ["".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a7" for _ in range(4)]
+    rare = [f'the key is token = "{s}" and no more of it' for s in secrets]
+    years = [f"in {1000 + k} there were {k * 7} of them and {k} more" for k in range(3_000)]
+    copies = ["a text of the year 1999 that stands here again"] * 3_000
+    docs = spark.createDataFrame(list(enumerate(rare + years + copies)), "doc_id long, text string").repartition(6)
+    model = pii.train(docs)
+    for text, secret in zip(rare, secrets):
+        assert secret not in pii.redact(text, model)
+    assert all(pii.redact(t, model) == t for t in years[:50])
+    pieces = pii.training_areas(docs)
+    assert pieces == pii.training_areas(docs.coalesce(1)) and len(set(pieces)) == len(pieces)
+    assert sum(pii.area_kinds(p) == {"secret"} for p in pieces) == 4
+    assert sum(pii.area_kinds(p) == {""} for p in pieces) == pii.OTHER_AREAS
