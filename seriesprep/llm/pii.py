@@ -17,12 +17,13 @@ searched each; empty tables give no rows. Places are code points, ends exclusive
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from heapq import heappop, heappush
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from seriesprep.llm.shared import fresh, stored
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 MAX_TOKENS = 12
+#: First tokens whose spans are scored at once.
+BLOCK_TOKENS = 512
 AROUND = 2
 KIND_AREAS = 80
 OTHER_AREAS = 240
@@ -100,28 +103,35 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def areas(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token places around tokens with a digit or ``@``; overlapping surroundings are one area."""
+def area_places(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the tokens around tokens with a digit or ``@``; overlapping surroundings are one
+    area."""
     recent: list[tuple[int, int]] = []
-    open_area: list[tuple[int, int]] = []
-    left = 0
+    opened, last, left = -1, 0, 0
     for m in TOKEN.finditer(text):
         place = m.span()
         if TELLING.search(m[0]):
-            open_area = open_area or recent[-AROUND:]
-            open_area.append(place)
-            left = AROUND
-        elif open_area:
-            open_area.append(place)
+            if opened < 0:
+                opened = recent[0][0] if recent else place[0]
+            last, left = place[1], AROUND
+        elif opened >= 0:
+            last = place[1]
             left -= 1
             if not left:
-                # What follows may begin the next area, so the tail stays for it.
-                yield open_area
-                recent, open_area = open_area[-AROUND:], []
-                continue
-        recent = [*recent[-AROUND:], place] if not open_area else recent
-    if open_area:
-        yield open_area
+                yield opened, last
+                opened = -1
+        # What follows may begin the next area, so the tail stays for it.
+        recent = [*recent[1 - AROUND :], place]
+    if opened >= 0:
+        yield opened, last
+
+
+def areas(text: str, most: int | None = None) -> Iterator[list[tuple[int, int]]]:
+    """Token places of every area, or of those of at most ``most`` tokens."""
+    for start, end in area_places(text):
+        found = [m.span() for m in islice(TOKEN.finditer(text, start, end), most and most + 1)]
+        if most is None or len(found) <= most:
+            yield found
 
 
 def _one_of(values: np.ndarray, bounds: list[int]) -> list[np.ndarray]:
@@ -191,28 +201,42 @@ class SpanModel:
 
     weights: np.ndarray
 
-    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
-        """Best segmentation of an area."""
-        may, features = span_features(text, tokens)
-        scores = np.where(may[..., None], features @ self.weights, -np.inf)
-        kind, score = scores.argmax(axis=2), scores.max(axis=2)
-        n = len(tokens)
-        best, back = np.zeros(n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            lengths = np.arange(min(MAX_TOKENS, end))
-            options = best[end - 1 - lengths] + score[end - 1 - lengths, lengths]
-            k = int(options.argmax())
-            best[end], back[end] = best[end - 1], 0
-            if options[k] > best[end]:
-                best[end], back[end] = options[k], k + 1
-        spans, end = [], n
-        while end:
-            if back[end]:
-                first = end - back[end]
-                spans.append((tokens[first][0], tokens[end - 1][1], KINDS[kind[first, back[end] - 1]]))
-                end = first
+    def decode(self, text: str, start: int, end: int) -> list[Span]:
+        """Best segmentation of the area at ``start`` to ``end``. Spans are scored for
+        ``BLOCK_TOKENS`` first tokens at a time; of the tokens before, the last ``MAX_TOKENS`` scores
+        are carried, and a place, length and kind each are kept."""
+        begins, ends, back, kinds = array("i"), array("i"), bytearray(1), bytearray(1)
+        best, score, kind = [0.0], np.zeros((0, MAX_TOKENS)), np.zeros((0, MAX_TOKENS), np.int64)
+        tokens = (m.span() for m in TOKEN.finditer(text, start, end))
+        block = list(islice(tokens, BLOCK_TOKENS + MAX_TOKENS))
+        while block:
+            size = len(block) if len(block) < BLOCK_TOKENS + MAX_TOKENS else BLOCK_TOKENS
+            may, features = span_features(text, block)
+            scores = np.where(may[:size, :, None], features[:size] @ self.weights, -np.inf)
+            # Rows of first tokens before the block, whose spans may end inside it.
+            carried = len(score)
+            kind, score = np.concatenate([kind, scores.argmax(axis=2)]), np.concatenate([score, scores.max(axis=2)])
+            for k in range(carried, carried + size):
+                lengths = np.arange(min(MAX_TOKENS, k + 1))
+                options = np.array(best[-MAX_TOKENS:])[-1 - lengths] + score[k - lengths, lengths]
+                length = int(options.argmax())
+                taken = options[length] > best[-1]
+                best.append(float(options[length]) if taken else best[-1])
+                back.append(length + 1 if taken else 0)
+                kinds.append(int(kind[k - length, length]) if taken else 0)
+            begins.extend(a for a, _ in block[:size])
+            ends.extend(b for _, b in block[:size])
+            best, score, kind = best[-MAX_TOKENS:], score[1 - MAX_TOKENS :], kind[1 - MAX_TOKENS :]
+            block = block[size:]
+            block += islice(tokens, BLOCK_TOKENS + MAX_TOKENS - len(block))
+        spans, at = [], len(begins)
+        while at:
+            if back[at]:
+                first = at - back[at]
+                spans.append((begins[first], ends[at - 1], KINDS[kinds[at]]))
+                at = first
             else:
-                end -= 1
+                at -= 1
         return spans[::-1]
 
 
@@ -224,8 +248,8 @@ def all_spans(text: str, model: SpanModel | None) -> tuple[list[Span], list[Span
     starts = [s for s, _, _ in base]
     reached = list(accumulate((e for _, e, _ in base), max))
     found = list(base)
-    for tokens in areas(text):
-        for start, end, kind in model.decode(text, tokens):
+    for place in area_places(text):
+        for start, end, kind in model.decode(text, *place):
             before = bisect_left(starts, end)
             if not before or reached[before - 1] <= start:
                 found.append((start, end, kind))
@@ -294,10 +318,9 @@ def _sample_areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     least = LeastAreas()
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            for tokens in areas(text or ""):
-                if len(tokens) <= AREA_TOKENS:
-                    a, b = max(0, tokens[0][0] - 1), tokens[-1][1] + 1
-                    least.add(text[a:b])
+            for tokens in areas(text or "", AREA_TOKENS):
+                a, b = max(0, tokens[0][0] - 1), tokens[-1][1] + 1
+                least.add(text[a:b])
     rows = [(kind, -number, piece) for kind, heap in least.heaps.items() for number, piece in heap]
     columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
     yield pa.RecordBatch.from_arrays(columns, names=["kind", "number", "area"])

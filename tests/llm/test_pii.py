@@ -93,3 +93,22 @@ def test_copies_and_rarity_empty_no_kind(spark):
     assert pieces == pii.training_areas(docs.coalesce(1)) and len(set(pieces)) == len(pieces)
     assert sum(pii.area_kinds(p) == {"secret"} for p in pieces) == 4
     assert sum(pii.area_kinds(p) == {""} for p in pieces) == pii.OTHER_AREAS
+
+
+def test_long_areas_are_decoded_in_blocks_of_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    model = pii.fit([t for t in texts()[:120]])
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["12.5", "7", "1999-01-02", "a@b2.c3", "+1 555 123 4567", "f0" * 20]) for _ in range(9_000))
+    [place] = pii.area_places(text)
+    tracemalloc.start()
+    found = model.decode(text, *place)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 30e6
+    short = text[:20_000]
+    [place] = pii.area_places(short)
+    in_blocks = model.decode(short, *place)
+    monkeypatch.setattr(pii, "BLOCK_TOKENS", 10**6)
+    assert in_blocks == model.decode(short, *place)
