@@ -148,9 +148,40 @@ select page_id, host, path, rule, coalesce(case rule {said} end, case when low >
   {_rounded("mean", "bad_mean")}, {_rounded("low", "bad_low")} from judged"""
 
 
+COLLOCATIONS = f"""with p as (
+  select row_number() over () as r, lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array({lowered("text")}, '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+total as (select lang, sum(len(w)) as n from p group by lang),
+counts as (
+  select lang, m, array_to_string(w[s : s + m - 1], ' ') as phrase, count(*) as a
+  from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as s from p, range(1, 6) as lengths(m) where len(w) >= m)
+  group by all),
+frequent as (select * from counts where a >= 100),
+candidates as (select * from frequent where m > 1),
+cuts as (
+  select c.lang, c.phrase, c.a, x.a as l, y.a as r, k, n, 1000::hugeint * c.a * n // (x.a::hugeint * y.a) as score
+  from (select *, unnest(range(1, m)) as k, string_split(phrase, ' ') as w from candidates) c
+  join frequent x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : k], ' ')
+  join frequent y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1 :], ' ')
+  join total on total.lang = c.lang),
+weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+parts as (
+  select lang, a as longer, array_to_string(w[s : s + j - 1], ' ') as phrase
+  from (select *, unnest(range(1, m - j + 2)) as s
+    from (select lang, a, m, string_split(phrase, ' ') as w, unnest(range(2, m)) as j from candidates where m > 2))),
+inside as (select lang, phrase, max(longer) as longer from parts group by all),
+kept as (
+  select weakest.* from weakest left join inside using (lang, phrase) where longer is null or 100 * longer < 100 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r,
+  n::bigint as n, score::bigint as score
+from kept qualify rank <= 2000"""
+
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION,
     "op5_url_filter": _url_filter(),
     "op6_near_dedup": NEAR_DEDUP,
     "op9_quality_rules": QUALITY,
+    "op11_collocations": COLLOCATIONS,
 }

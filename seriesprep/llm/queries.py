@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesprep.llm import decontaminate, html_text, licenses, near_dup, packing, pii, quality, token_files, toxicity, urls
+from seriesprep.llm import (
+    collocations,
+    decontaminate,
+    html_text,
+    licenses,
+    mixture,
+    near_dup,
+    packing,
+    pii,
+    quality,
+    token_files,
+    toxicity,
+    urls,
+    whitening,
+)
 from seriesprep.llm.shared import table
 
 
@@ -88,6 +102,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.select("vec_id", F.inline(white.columns[-1]))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return mixture.pack_mixture(table(spark, sf_dir, "documents"), vocabulary)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -101,5 +131,8 @@ QUERIES = {
         op8_token_files,
         op9_quality_rules,
         op10_html_text,
+        op11_collocations,
+        op12_whitening,
+        op13_mixture_packing,
     )
 }
