@@ -74,11 +74,10 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
             for source, size in zip(rows.column("source").to_pylist(), sizes):
                 places.append(before[source])
                 before[source] += size
-            wide = [np.frombuffer(i, coder.kind).astype("<u2" if coder.kind == "<u2" else "<u4").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), rows.column("source"), pa.array([part] * len(ids), pa.int64()),
-                    pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()),
+                    pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
                 ],
                 names=["doc_id", "source", "part", "before", "n_tokens", "ids"],
             )
@@ -108,25 +107,32 @@ class Phase:
     position: int
     rounds: int
 
+    def _from(self, blocks: np.ndarray, queues: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens served before each block of rounds (rows) of each queue (columns), and what the
+        rounding carries into it: exact, whatever the number of rounds."""
+        rest = [int(t) % self.rounds for t in self.tokens[queues]]
+        pairs = [[divmod(2 * int(b) * ROUND_BLOCK * r + self.rounds, 2 * self.rounds) for r in rest] for b in blocks]
+        exact = np.array(pairs, np.int64).reshape(len(blocks), len(rest), 2)
+        return exact[:, :, 0], exact[:, :, 1]
+
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens of every queue (columns) served after each number of rounds (rows): the nearest
         integer to ``rounds * tokens / self.rounds``, halves up."""
         whole, rest = self.tokens // self.rounds, self.tokens % self.rounds
-        block, inside = rounds // ROUND_BLOCK, rounds % ROUND_BLOCK
-        starts, at = np.unique(block, return_inverse=True)
-        exact = [[divmod(2 * int(b) * ROUND_BLOCK * int(r) + self.rounds, 2 * self.rounds) for r in rest] for b in starts]
-        exact = np.array(exact, np.int64).reshape(len(starts), len(rest), 2)[at.reshape(-1)]
-        more = (exact[:, :, 1] + 2 * inside[:, None] * rest) // (2 * self.rounds)
-        return rounds[:, None] * whole + exact[:, :, 0] + more
+        blocks, at = np.unique(rounds // ROUND_BLOCK, return_inverse=True)
+        served, carried = self._from(blocks, np.arange(len(rest)))
+        if len(blocks) > 1:
+            served, carried = served[at], carried[at]
+        inside = 2 * (rounds % ROUND_BLOCK)
+        return (carried + inside[:, None] * rest) // (2 * self.rounds) + rounds[:, None] * whole + served
 
     def served_of(self, rounds: np.ndarray, queues: np.ndarray) -> np.ndarray:
         """``served`` of one queue for each number of rounds."""
-        found = np.empty(len(rounds), np.int64)
-        for queue in np.unique(queues):
-            mine = queues == queue
-            one = Phase(self.first[[queue]], self.tokens[[queue]], self.position, self.rounds)
-            found[mine] = one.served(rounds[mine])[:, 0]
-        return found
+        whole, rest = self.tokens[queues] // self.rounds, self.tokens[queues] % self.rounds
+        blocks, at = np.unique(rounds // ROUND_BLOCK, return_inverse=True)
+        some, queue = np.unique(queues, return_inverse=True)
+        served, carried = (x[at, queue] for x in self._from(blocks, some))
+        return (carried + 2 * (rounds % ROUND_BLOCK) * rest) // (2 * self.rounds) + rounds * whole + served
 
     def round_of(self, places: np.ndarray, queues: np.ndarray) -> np.ndarray:
         """The round, from 1, that serves the token at each place (from 0) of its queue."""
@@ -230,8 +236,12 @@ def runs_of(plan: list[Phase], queues: np.ndarray, places: np.ndarray, sizes: np
         for at in range(0, len(of), cells):
             some, turn = of[at : at + cells], step[at : at + cells]
             rounds, mine = first[some] + turn, queue[some]
-            until, since = phase.served(rounds), phase.served(rounds - 1)
-            every = np.arange(len(some))
+            # Rounds of a stretch follow each other: the end of one is the start of the next.
+            every, opens = np.arange(len(some)), np.append(True, some[1:] != some[:-1])
+            until = phase.served(rounds)
+            since = np.empty_like(until)
+            since[1:] = until[:-1]
+            since[opens] = phase.served(rounds[opens] - 1)
             own_since, own_until = since[every, mine], until[every, mine]
             ahead = np.where(np.arange(len(phase.tokens)) < mine[:, None], until, since).sum(axis=1) - own_since
             start = np.maximum(low[some], own_since)
@@ -268,21 +278,19 @@ def _place(
             start = np.maximum(position[of], begin(number))
             size = np.minimum(position[of] + size[of], begin(number + 1)) - start
             rows, within = rows[of], place[of] + start - position[of] - places[rows[of]]
-            order = np.lexsort((within, rows))
+            if len(plan) > 1:
+                order = np.lexsort((within, rows))
+                rows, within, size, number, start = (x[order] for x in (rows, within, size, number, start))
             # A piece that goes on where the last one ends, in one sequence, is the same piece.
-            rows, within, size, number, start = (x[order] for x in (rows, within, size, number, start))
             goes_on = np.zeros(len(rows), bool)
             goes_on[1:] = (rows[1:] == rows[:-1]) & (number[1:] == number[:-1]) & (start[1:] == start[:-1] + size[:-1])
             heads = np.flatnonzero(~goes_on)
             size = np.add.reduceat(size, heads) if len(heads) else size
             rows, within, number, start = (x[heads] for x in (rows, within, number, start))
             ids = batch.column("ids").to_pylist()
-            width = [len(i) // n for i, n in zip(ids, sizes.tolist())]
-            wide, row_before, sums = b"", -1, []
-            for row, a, n in zip(rows.tolist(), within.tolist(), size.tolist()):
-                if row != row_before:
-                    wide, row_before = memoryview(np.frombuffer(ids[row], f"<u{width[row]}").astype("<u4").tobytes()), row
-                sums.append(zlib.crc32(wide[4 * a : 4 * (a + n)]))
+            wide = [memoryview(np.frombuffer(i, f"<u{len(i) // n}").astype("<u4").tobytes()) for i, n in zip(ids, sizes.tolist())]
+            ends = 4 * (within + size)
+            sums = [zlib.crc32(wide[r][a:b]) for r, a, b in zip(rows.tolist(), (4 * within).tolist(), ends.tolist())]
             taken = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [
