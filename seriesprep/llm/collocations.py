@@ -43,7 +43,7 @@ MOST_WORDS = 5
 SUPPORT = 100
 ABSORBED_PERCENT = 100
 TOP = 2_000
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 6_000_000
 UNKNOWN_LANGUAGE = "und"
 MOST_BITS = 27
 MOST_LANGUAGES = 100_000
@@ -55,7 +55,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(
     bytes(range(65, 91)) + b"\t" + ENDS, bytes(range(97, 123)) + b" " + BREAK * len(ENDS)
 )
-BLOCK_SCHEMA = "lang string, n_words long, codes binary, vocabulary array<binary>"
+BLOCK_SCHEMA = "lang string, n_words long, codes binary, hashes binary, vocabulary array<binary>"
+ROWS_AT_ONCE = 65_536
 
 
 class _Block:
@@ -74,12 +75,16 @@ class _Block:
         self.n_words += len(tokens) - tokens.count(BREAK)
 
     def row(self, lang: str) -> pa.RecordBatch:
-        words = [b"", *list(self.numbers)[1:]]
+        """The block as a row; each language hashes its words in its own way."""
+        seed = xxhash.xxh3_64_intdigest(lang.encode())
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.numbers), np.uint64, len(self.numbers))
+        words = pa.array(self.numbers, pa.binary(), size=len(self.numbers))
         columns = [
             pa.array([lang]), pa.array([self.n_words], pa.int64()), pa.array([self.codes.tobytes()], pa.binary()),
-            pa.array([words], pa.list_(pa.binary())),
+            pa.array([hashes.tobytes()], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "codes", "vocabulary"])
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "codes", "hashes", "vocabulary"])
 
 
 def _number(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
@@ -136,14 +141,18 @@ def phrases_of(
             hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + own[places + length])
 
 
-def _opened(batch: pa.RecordBatch, row: int) -> tuple[str, np.ndarray, np.ndarray, pa.Array]:
-    """Language, codes, hashes of the words (each language has its own) and words of a block."""
-    lang = batch.column("lang")[row].as_py()
-    codes = np.frombuffer(batch.column("codes")[row].as_buffer(), np.int32)
-    vocabulary = batch.column("vocabulary")[row].values
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
-    return lang, codes, words, vocabulary
+def _opened(batch: pa.RecordBatch, row: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """Language, codes, and hashes of the words of a block."""
+    codes, hashes = (batch.column(c)[row].as_buffer() for c in ("codes", "hashes"))
+    return batch.column("lang")[row].as_py(), np.frombuffer(codes, np.int32), np.frombuffer(hashes, np.uint64)
+
+
+def _told(lang: str, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Rows of one language in batches of bounded size."""
+    names = ["lang", *columns]
+    for at in range(0, len(next(iter(columns.values()))), ROWS_AT_ONCE):
+        parts = [c.slice(at, ROWS_AT_ONCE) for c in columns.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts[0])), *parts], names=names)
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +160,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             owed = batch.column("owed")[row].as_py()
-            lang, codes, words, _ = _opened(batch, row)
+            lang, codes, words = _opened(batch, row)
             found: list[tuple[np.ndarray, np.ndarray]] = []
 
             def frequent(hashes: np.ndarray) -> np.ndarray:
@@ -165,13 +174,10 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return (passing[at] == hashes) & (at < len(passing) - 1)
 
             for _ in phrases_of(codes, words, frequent):
-                pass
-            for values, counts in found:
-                columns = [
-                    pa.array([lang]).take(pa.array(np.zeros(len(values), np.int64))),
-                    pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64) - (owed - 1)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase_hash", "surplus"])
+                while found:
+                    values, counts = found.pop()
+                    surplus = pa.array(counts.astype(np.int64) - (owed - 1))
+                    yield from _told(lang, {"phrase_hash": pa.array(values.view(np.int64)), "surplus": surplus})
 
 
 def language_sizes(blocks: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
@@ -219,16 +225,15 @@ def _count(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int) ->
 
     for batch in batches:
         for row in range(batch.num_rows):
-            lang, codes, words, vocabulary = _opened(batch, row)
+            lang, codes, words = _opened(batch, row)
+            vocabulary = batch.column("vocabulary")[row].values
             for length, places, hashes in phrases_of(codes, words, candidate):
                 first, counts = _groups(codes, places, hashes, length)
                 parts = [vocabulary.take(pa.array(codes[first + j])) for j in range(length)]
                 phrase = pc.binary_join_element_wise(*parts, b" ") if length > 1 else parts[0]
-                columns = [
-                    pa.array([lang]).take(pa.array(np.zeros(len(first), np.int64))), phrase.cast(pa.string()),
-                    pa.array(np.full(len(first), length, np.int32)), pa.array(counts.astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "a"])
+                lengths = pa.array(np.full(len(first), length, np.int32))
+                counted = pa.array(counts.astype(np.int64))
+                yield from _told(lang, {"phrase": phrase.cast(pa.string()), "n_words": lengths, "a": counted})
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -236,10 +241,10 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, block_words: int =
     times or more in their language, with exact counts; and ``lang, n`` with all its words."""
     blocks = word_blocks(docs, block_words)
     owing, sizes = language_sizes(blocks, support)
-    mined = owing.select("lang", "codes", "vocabulary", "owed").mapInArrow(_mine, "lang string, phrase_hash long, surplus long")
+    mined = owing.select("lang", "codes", "hashes", "owed").mapInArrow(_mine, "lang string, phrase_hash long, surplus long")
     bitmap, bits = candidate_bitmap(mined, sizes)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    counted = blocks.select("lang", "codes", "vocabulary").mapInArrow(
+    counted = blocks.select("lang", "codes", "hashes", "vocabulary").mapInArrow(
         lambda b: _count(b, shared.value, bits), "lang string, phrase string, n_words int, a long"
     )
     summed = counted.groupBy("lang", "phrase").agg(F.max("n_words").alias("n_words"), F.sum("a").alias("a"))
