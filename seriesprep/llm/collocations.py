@@ -117,19 +117,20 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def phrases_of(
-    codes: np.ndarray, words: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]
+    codes: np.ndarray, words: np.ndarray, wanted_words: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``length, places, hashes`` of the phrases that ``keep`` wants, by rising length.
+    """``length, places, hashes`` of the phrases that ``keep`` wants, by rising length, beginning
+    with the ``wanted_words`` (true or false by code).
 
     A longer phrase is offered to ``keep`` only where the one without its last and the one without
     its first word were kept.
     """
-    own = words[codes]
-    places = np.flatnonzero(codes)
-    hashes = own[places]
+    places = np.flatnonzero(wanted_words[codes]).astype(np.int32)
+    hashes = words[codes[places]]
     for length in range(1, MOST_WORDS + 1):
-        wanted = keep(hashes)
-        places, hashes = places[wanted], hashes[wanted]
+        if length > 1:
+            wanted = keep(hashes)
+            places, hashes = places[wanted], hashes[wanted]
         if not len(places):
             return
         yield length, places, hashes
@@ -138,7 +139,7 @@ def phrases_of(
         on = kept[places + 1]
         places, hashes = places[on], hashes[on]
         with np.errstate(over="ignore"):
-            hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + own[places + length])
+            hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[codes[places + length]])
 
 
 def _opened(batch: pa.RecordBatch, row: int) -> tuple[str, np.ndarray, np.ndarray]:
@@ -161,7 +162,10 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             owed = batch.column("owed")[row].as_py()
             lang, codes, words = _opened(batch, row)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            times = np.bincount(codes, minlength=len(words))
+            often = times >= owed
+            often[0] = False  # the end of a piece
+            found = [(words[often], times[often])]
 
             def frequent(hashes: np.ndarray) -> np.ndarray:
                 values, counts = np.unique(hashes, return_counts=True)
@@ -173,7 +177,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.searchsorted(passing[:-1], hashes)
                 return (passing[at] == hashes) & (at < len(passing) - 1)
 
-            for _ in phrases_of(codes, words, frequent):
+            for _ in phrases_of(codes, words, often, frequent):
                 while found:
                     values, counts = found.pop()
                     surplus = pa.array(counts.astype(np.int64) - (owed - 1))
@@ -209,6 +213,11 @@ def candidate_bitmap(mined: DataFrame, sizes: DataFrame) -> tuple[np.ndarray, in
 
 def _groups(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and number of the phrases that are equal word by word."""
+    if length == 1:
+        times = np.bincount(codes[places])
+        first = np.empty(len(times), places.dtype)
+        first[codes[places]] = places
+        return first[times > 0], times[times > 0]
     _, first, group, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     same = places[first][group]
     if all(np.array_equal(codes[places + j], codes[same + j]) for j in range(length)):
@@ -227,7 +236,9 @@ def _count(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int) ->
         for row in range(batch.num_rows):
             lang, codes, words = _opened(batch, row)
             vocabulary = batch.column("vocabulary")[row].values
-            for length, places, hashes in phrases_of(codes, words, candidate):
+            wanted = candidate(words)
+            wanted[0] = False
+            for length, places, hashes in phrases_of(codes, words, wanted, candidate):
                 first, counts = _groups(codes, places, hashes, length)
                 parts = [vocabulary.take(pa.array(codes[first + j])) for j in range(length)]
                 phrase = pc.binary_join_element_wise(*parts, b" ") if length > 1 else parts[0]
