@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(
     bytes(range(65, 91)) + b"\t" + ENDS, bytes(range(97, 123)) + b" " + BREAK * len(ENDS)
 )
-BLOCK_SCHEMA = "lang string, n_words long, codes binary, hashes binary, vocabulary array<binary>"
+BLOCK_SCHEMA = "lang string, n_words long, codes binary, vocabulary binary"
 ROWS_AT_ONCE = 65_536
 
 
@@ -75,20 +76,14 @@ class _Block:
         self.n_words += len(tokens) - tokens.count(BREAK)
 
     def row(self, lang: str) -> pa.RecordBatch:
-        """The block as a row; each language hashes its words in its own way."""
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.numbers), np.uint64, len(self.numbers))
-        words = pa.array(self.numbers, pa.binary(), size=len(self.numbers))
-        columns = [
-            pa.array([lang]), pa.array([self.n_words], pa.int64()), pa.array([self.codes.tobytes()], pa.binary()),
-            pa.array([hashes.tobytes()], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "codes", "hashes", "vocabulary"])
+        """The block as a row, packed, so that a block is a few MB wherever Spark holds it."""
+        packed = (zstandard.compress(b, 1) for b in (self.codes.tobytes(), b"\n".join(self.numbers)))
+        columns = [pa.array([lang]), pa.array([self.n_words], pa.int64()), *(pa.array([b], pa.binary()) for b in packed)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "codes", "vocabulary"])
 
 
 def _number(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of a task's texts. All open blocks together hold at most ``block_words``, so a task
+    """Blocks of a task's texts, words parted by line ends, which no word holds. All open blocks together hold at most ``block_words``, so a task
     with thousands of languages needs no more memory than one with a few."""
     blocks: defaultdict[str, _Block] = defaultdict(_Block)
     held = 0
@@ -142,10 +137,13 @@ def phrases_of(
             hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[codes[places + length]])
 
 
-def _opened(batch: pa.RecordBatch, row: int) -> tuple[str, np.ndarray, np.ndarray]:
-    """Language, codes, and hashes of the words of a block."""
-    codes, hashes = (batch.column(c)[row].as_buffer() for c in ("codes", "hashes"))
-    return batch.column("lang")[row].as_py(), np.frombuffer(codes, np.int32), np.frombuffer(hashes, np.uint64)
+def _opened(batch: pa.RecordBatch, row: int) -> tuple[str, np.ndarray, list[bytes], np.ndarray]:
+    """Language, codes, words and their hashes (each language has its own) of a block."""
+    lang = batch.column("lang")[row].as_py()
+    codes, vocabulary = (zstandard.decompress(batch.column(c)[row].as_buffer()) for c in ("codes", "vocabulary"))
+    words, seed = vocabulary.split(b"\n"), xxhash.xxh3_64_intdigest(lang.encode())
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return lang, np.frombuffer(codes, np.int32), words, hashes
 
 
 def _told(lang: str, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +159,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             owed = batch.column("owed")[row].as_py()
-            lang, codes, words = _opened(batch, row)
+            lang, codes, _, words = _opened(batch, row)
             times = np.bincount(codes, minlength=len(words))
             often = times >= owed
             often[0] = False  # the end of a piece
@@ -234,8 +232,8 @@ def _count(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int) ->
 
     for batch in batches:
         for row in range(batch.num_rows):
-            lang, codes, words = _opened(batch, row)
-            vocabulary = batch.column("vocabulary")[row].values
+            lang, codes, vocabulary, words = _opened(batch, row)
+            vocabulary = pa.array(vocabulary, pa.binary())
             wanted = candidate(words)
             wanted[0] = False
             for length, places, hashes in phrases_of(codes, words, wanted, candidate):
@@ -252,10 +250,10 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, block_words: int =
     times or more in their language, with exact counts; and ``lang, n`` with all its words."""
     blocks = word_blocks(docs, block_words)
     owing, sizes = language_sizes(blocks, support)
-    mined = owing.select("lang", "codes", "hashes", "owed").mapInArrow(_mine, "lang string, phrase_hash long, surplus long")
+    mined = owing.select("lang", "codes", "vocabulary", "owed").mapInArrow(_mine, "lang string, phrase_hash long, surplus long")
     bitmap, bits = candidate_bitmap(mined, sizes)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    counted = blocks.select("lang", "codes", "hashes", "vocabulary").mapInArrow(
+    counted = blocks.select("lang", "codes", "vocabulary").mapInArrow(
         lambda b: _count(b, shared.value, bits), "lang string, phrase string, n_words int, a long"
     )
     summed = counted.groupBy("lang", "phrase").agg(F.max("n_words").alias("n_words"), F.sum("a").alias("a"))
