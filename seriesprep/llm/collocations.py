@@ -27,6 +27,7 @@ from __future__ import annotations
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -41,6 +42,8 @@ from seriesprep.llm.shared import checked_broadcast, stored
 from seriesprep.llm.wordhash import mix
 
 MOST_WORDS = 5
+#: Phrases of one word, of two, and then all longer ones are mined, each knowing the candidates before.
+ROUNDS = (1, 2, MOST_WORDS)
 SUPPORT = 100
 ABSORBED_PERCENT = 100
 TOP = 2_000
@@ -111,20 +114,27 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return stored(told.mapInArrow(lambda b: _number(b, block_words), BLOCK_SCHEMA), "blocks")
 
 
-def phrases_of(
-    codes: np.ndarray, words: np.ndarray, wanted_words: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``length, places, hashes`` of the phrases that ``keep`` wants, by rising length, beginning
-    with the ``wanted_words`` (true or false by code).
+#: Which of some phrases, by hash, are wanted.
+Keep = Callable[[np.ndarray], np.ndarray]
 
-    A longer phrase is offered to ``keep`` only where the one without its last and the one without
-    its first word were kept.
+
+def phrases_of(codes: np.ndarray, words: np.ndarray, keep: Callable[[int], Keep | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``length, places, hashes`` of the phrases that ``keep(length)`` wants, by rising length, as
+    long as it is not None.
+
+    A longer phrase is offered only where the one without its last and the one without its first
+    word were kept.
     """
+    wanted_words = keep(1)(words)
+    wanted_words[0] = False  # the end of a piece
     places = np.flatnonzero(wanted_words[codes]).astype(np.int32)
     hashes = words[codes[places]]
     for length in range(1, MOST_WORDS + 1):
         if length > 1:
-            wanted = keep(hashes)
+            wants = keep(length)
+            if wants is None:
+                return
+            wanted = wants(hashes)
             places, hashes = places[wanted], hashes[wanted]
         if not len(places):
             return
@@ -137,6 +147,18 @@ def phrases_of(
             hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[codes[places + length]])
 
 
+@dataclass(frozen=True)
+class Candidates:
+    """Bits of phrase hashes, told by the first ``bits`` bits of a hash."""
+
+    bitmap: np.ndarray
+    bits: int
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _opened(batch: pa.RecordBatch, row: int) -> tuple[str, np.ndarray, list[bytes], np.ndarray]:
     """Language, codes, words and their hashes (each language has its own) of a block."""
     lang = batch.column("lang")[row].as_py()
@@ -154,16 +176,21 @@ def _told(lang: str, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts[0])), *parts], names=names)
 
 
-def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Locally frequent phrases of every block: hash, and by how much they pass ``owed - 1``."""
+def _mine(batches: Iterator[pa.RecordBatch], known: dict[int, Candidates], most: int) -> Iterator[pa.RecordBatch]:
+    """Locally frequent phrases, of more words than those ``known`` and at most ``most``, of every
+    block: hash, and by how much they pass ``owed - 1``. Shorter ones must be candidates."""
     for batch in batches:
         for row in range(batch.num_rows):
             owed = batch.column("owed")[row].as_py()
             lang, codes, _, words = _opened(batch, row)
-            times = np.bincount(codes, minlength=len(words))
-            often = times >= owed
-            often[0] = False  # the end of a piece
-            found = [(words[often], times[often])]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def frequent_words(hashes: np.ndarray) -> np.ndarray:
+                times = np.bincount(codes, minlength=len(hashes))
+                often = times >= owed
+                often[0] = False
+                found.append((hashes[often], times[often]))
+                return often
 
             def frequent(hashes: np.ndarray) -> np.ndarray:
                 values, counts = np.unique(hashes, return_counts=True)
@@ -175,7 +202,12 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.searchsorted(passing[:-1], hashes)
                 return (passing[at] == hashes) & (at < len(passing) - 1)
 
-            for _ in phrases_of(codes, words, often, frequent):
+            def keep(length: int) -> Keep | None:
+                if length in known:
+                    return known[length]
+                return None if length > most else frequent_words if length == 1 else frequent
+
+            for _ in phrases_of(codes, words, keep):
                 while found:
                     values, counts = found.pop()
                     surplus = pa.array(counts.astype(np.int64) - (owed - 1))
@@ -193,9 +225,8 @@ def language_sizes(blocks: DataFrame, support: int) -> tuple[DataFrame, DataFram
     return owing, stored(owing.groupBy("lang").agg(F.max("n").alias("n"), needed), "languages")
 
 
-def candidate_bitmap(mined: DataFrame, sizes: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits of the hashes that can reach the support, and the number of hash bits they are told
-    by. At most ``2**MOST_BITS`` bits, whatever the number of candidates."""
+def candidates(mined: DataFrame, sizes: DataFrame) -> Candidates:
+    """The hashes that can reach the support: at most ``2**MOST_BITS`` bits, whatever their number."""
     summed = mined.groupBy("lang", "phrase_hash").agg(F.sum("surplus").alias("surplus"))
     needed = checked_broadcast(sizes.select("lang", "needed"), MOST_LANGUAGES)
     able = stored(summed.join(needed, "lang").filter("surplus >= needed").select("phrase_hash"), "candidates")
@@ -206,7 +237,7 @@ def candidate_bitmap(mined: DataFrame, sizes: DataFrame) -> tuple[np.ndarray, in
     told = words.toArrow()
     bitmap = np.zeros(1 << (bits - 6), np.uint64)
     bitmap[told.column("word").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
-    return bitmap, bits
+    return Candidates(bitmap, bits)
 
 
 def _groups(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,18 +256,12 @@ def _groups(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, length: i
     return places[first], counts
 
 
-def _count(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    def candidate(hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - bits)
-        return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
+def _count(batches: Iterator[pa.RecordBatch], known: dict[int, Candidates]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             lang, codes, vocabulary, words = _opened(batch, row)
             vocabulary = pa.array(vocabulary, pa.binary())
-            wanted = candidate(words)
-            wanted[0] = False
-            for length, places, hashes in phrases_of(codes, words, wanted, candidate):
+            for length, places, hashes in phrases_of(codes, words, known.get):
                 first, counts = _groups(codes, places, hashes, length)
                 parts = [vocabulary.take(pa.array(codes[first + j])) for j in range(length)]
                 phrase = pc.binary_join_element_wise(*parts, b" ") if length > 1 else parts[0]
@@ -250,11 +275,16 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, block_words: int =
     times or more in their language, with exact counts; and ``lang, n`` with all its words."""
     blocks = word_blocks(docs, block_words)
     owing, sizes = language_sizes(blocks, support)
-    mined = owing.select("lang", "codes", "vocabulary", "owed").mapInArrow(_mine, "lang string, phrase_hash long, surplus long")
-    bitmap, bits = candidate_bitmap(mined, sizes)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    mining = owing.select("lang", "codes", "vocabulary", "owed")
+    context, known = docs.sparkSession.sparkContext, {}
+    for most in ROUNDS:
+        shared = context.broadcast(dict(known))
+        mined = mining.mapInArrow(lambda b: _mine(b, shared.value, most), "lang string, phrase_hash long, surplus long")
+        able = candidates(mined, sizes)
+        known |= {length: able for length in range(len(known) + 1, most + 1)}
+    shared = context.broadcast(known)
     counted = blocks.select("lang", "codes", "vocabulary").mapInArrow(
-        lambda b: _count(b, shared.value, bits), "lang string, phrase string, n_words int, a long"
+        lambda b: _count(b, shared.value), "lang string, phrase string, n_words int, a long"
     )
     summed = counted.groupBy("lang", "phrase").agg(F.max("n_words").alias("n_words"), F.sum("a").alias("a"))
     return stored(summed.filter(F.col("a") >= support), "frequent"), sizes.select("lang", "n")
