@@ -331,6 +331,18 @@ SPLIT_WINDOWS = with_(
         windows("scaled"),
     )
 
+#: Windows of all splits, labelled by the sensor with the largest sum (the first on ties).
+SENSOR_LABELS = (
+    SPLIT_WINDOWS.rstrip()
+    + """,
+totals as (select instance_id, split, window_idx, list_transform(range(0, %(n)d), lambda s: round(coalesce(list_sum(
+    list_transform(range(0, %(steps)d), lambda t: coalesce(flat[t * %(n)d + s + 1], 0.0))), 0.0) + 1e-9, 6) + 0.0) as sums
+  from windows join divided using (instance_id)),
+told as (select instance_id, split, window_idx, (list_position(sums, list_max(sums)) - 1)::int as label from totals)
+"""
+    % {"n": len(SENSORS), "steps": WINDOW}
+)
+
 ORACLES = {
     "downsample": with_(SAMPLES, BINS)
     + f"""select instance_id, bin, strftime(make_timestamp(t0 + bin * {WIDTH}), '%Y-%m-%d %H:%M:%S.%f') as ts,
@@ -510,12 +522,20 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     + """select instance_id, window_idx, round(list_max(list_transform(range(0, 9), lambda c: list_sum(
   list_transform(flat, lambda v, i: coalesce(v, 0) * (((i - 1) * 7 + c * 3) % 11 - 5) / 100.0)))) + 1e-8, 5) + 0.0 as top
   from windows""",
-    "classifier_scores": SPLIT_WINDOWS
-    + """select instance_id, split, window_idx, label, true as sums_to_one, true as is_argmax
-  from windows join divided using (instance_id)""",
-    "classifier_search": SPLIT_WINDOWS
-    + """select c::int as label, coalesce(n, 0)::bigint as n_windows, 0 as n_better
+    "classifier_scores": SENSOR_LABELS
+    + """select instance_id, split, window_idx, label, true as sums_to_one, true as is_argmax, true as beats_majority
+  from told""",
+    "classifier_search": SENSOR_LABELS
+    + """select c::int as label, coalesce(n, 0)::bigint as n_windows, 0 as n_better, true as beats_majority
   from (select unnest(range(0, 9)) as c) left join (select label, count(*) as n
-    from windows join divided using (instance_id) where split = 'test' group by label) on label = c""",
+    from told where split = 'test' group by label) on label = c
+  where exists (from told where split = 'validation')""",
+    "recurrent_scores": SENSOR_LABELS
+    + """select split, count(*)::bigint as n_windows, true as beats_majority from told
+  where exists (from told where split = 'validation') group by split""",
+    "recurrent_search": SENSOR_LABELS
+    + """select candidate, rounds, is_best, n::bigint as n_validation, 5 as window_passes, 3 as scans
+  from (values (0, 1, false), (1, 3, true), (2, 1, false)) as halved(candidate, rounds, is_best),
+    (select count(*) as n from told where split = 'validation') where n > 0""",
 }
 ORACLES |= {"windows_segmented": ORACLES["windows"], "overlay_segmented": ORACLES["interp_overlay"]}

@@ -22,7 +22,7 @@ from seriesprep.operators import windows as wd
 from seriesprep.operators.event_index import attach_events, index_events, minimum_columns, moment_columns
 from seriesprep.operators.impute import impute, interpolation_overlay
 from seriesprep.operators.resample import bin_start, downsample, resample
-from seriesprep.plans import classify, prepare
+from seriesprep.plans import classify, prepare, recurrent
 from seriesprep.schema import SeriesLayout, col
 from seriesprep.session import cut_lineage, shared_folder
 from seriesprep.sources import recordings as rec
@@ -539,13 +539,6 @@ def split_prepare(spark, sf):
     )
 
 
-def stored_windows(spark, sf):
-    """Windows of all splits, written once since training passes over them many times."""
-    path = scratch(spark)
-    store.write_windows(prepared_split(spark, sf), LAYOUT, path)
-    return store.read_windows(spark, path)
-
-
 def fixed_linear_model():
     """A model of the user's own: class scores are fixed linear functions of the window."""
     import numpy as np
@@ -563,40 +556,107 @@ def user_model_scores(spark, sf):
     return scored.select("instance_id", "window_idx", top.alias("top"))
 
 
+def highest_sensor(windows: DataFrame) -> DataFrame:
+    """The windows with a label that their sensors tell: the one with the largest sum over the window."""
+    total = lambda s: off_tie(F.aggregate("X", F.lit(0.0), lambda a, step: a + F.coalesce(F.get(step, F.lit(s)), F.lit(0.0))))
+    return windows.withColumn("label", arg_max(F.array(*[total(s) for s in range(len(SENSORS))])))
+
+
+def sensor_windows(spark, sf):
+    """Windows of all splits labelled by their sensors, written once since training passes over them many times."""
+    path = scratch(spark)
+    store.write_windows(highest_sensor(prepared_split(spark, sf)), LAYOUT, path)
+    return store.read_windows(spark, path)
+
+
+def majority_share(windows: DataFrame) -> float | None:
+    """Share of the commonest label: the accuracy of the best constant model."""
+    row = windows.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share")).first()
+    return row["share"]
+
+
 def classifier_scores(spark, sf):
-    """Every window scored by a trained model, and whether its scores are a distribution."""
-    stored = stored_windows(spark, sf)
+    """Every window scored by a trained model, whether its scores are a distribution, and whether
+    it beats every constant model on its split."""
+    stored = sensor_windows(spark, sf)
     train = stored.filter("split = 'train'")
-    model = classify.fit_window_classifier(train, WINDOW, LAYOUT, hidden=16, max_iter=15)
+    model = classify.fit_window_classifier(train, WINDOW, LAYOUT, hidden=16, max_iter=40)
     scored, _, _ = classify.evaluate_model(model, stored)
+    scored = cut_lineage(scored)
+    right = F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("right")
+    shares = scored.groupBy("split", "label").count().groupBy("split").agg((F.max("count") / F.sum("count")).alias("share"))
+    beaten = scored.groupBy("split").agg(right).join(shares, "split")
+    beaten = beaten.select("split", (F.col("right") > F.col("share")).alias("beats_majority"))  # a row per split
     p = F.col("probability")
     total = F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
-    return scored.select(
+    return scored.join(F.broadcast(beaten), "split").select(
         "instance_id",
         "split",
         "window_idx",
         "label",
         ((F.size(p) == 9) & (F.abs(total - 1) < 1e-9)).alias("sums_to_one"),
         (F.get(p, F.col("predicted")) == F.array_max(p)).alias("is_argmax"),
+        "beats_majority",
     )
 
 
 def classifier_search(spark, sf):
-    """Real labels of the test split, as the chosen model's confusion matrix counts them, and how
-    many candidates would have been better on the validation split."""
-    stored = stored_windows(spark, sf)
+    """Real labels of the test split, as the chosen model's confusion matrix counts them, how many
+    candidates would have been better on the validation split, and whether the chosen one beats
+    every constant model there. Without validation windows nothing is searched: no row."""
+    stored = sensor_windows(spark, sf)
     train, validation, test = (stored.filter(F.col("split") == s) for s in ("train", "validation", "test"))
-    grid = [{"hidden": h, "max_iter": 10} for h in (8, 16)]
-    if validation.isEmpty():  # nothing to choose by, so nothing is ranked
-        model = classify.fit_window_classifier(train, WINDOW, LAYOUT, **grid[0])
-        n_better = 0
-    else:
-        model, ranking = classify.search_classifier(train, validation, WINDOW, LAYOUT, grid)
-        chosen = ev.accuracy_and_loss(classify.score_windows(model, validation)).first()["accuracy"]
-        n_better = sum(accuracy > chosen for _, accuracy in ranking)
+    if validation.isEmpty():
+        return spark.createDataFrame([], "label int, n_windows long, n_better int, beats_majority boolean")
+    grid = [{"hidden": 8, "max_iter": 1}, {"hidden": 16, "max_iter": 40}]
+    model, ranking = classify.search_classifier(train, validation, WINDOW, LAYOUT, grid)
+    chosen = ev.accuracy_and_loss(classify.score_windows(model, validation)).first()["accuracy"]
+    n_better = sum(accuracy > chosen for _, accuracy in ranking)
     cells = classify.evaluate_model(model, test)[1]
     total = sum((F.col(f"p{c}") for c in range(1, 9)), F.col("p0"))
-    return cells.select("label", total.alias("n_windows"), F.lit(n_better).alias("n_better"))
+    beats = F.lit(chosen > majority_share(validation)).alias("beats_majority")
+    return cells.select("label", total.alias("n_windows"), F.lit(n_better).alias("n_better"), beats)
+
+
+def network(**parameters) -> recurrent.Network:
+    return recurrent.Network(WINDOW, len(SENSORS), **{"units": (16,), "dense": 16, "rate": 0.01} | parameters)
+
+
+def recurrent_scores(spark, sf):
+    """Windows of each split, and whether a recurrent classifier, stopped early on the validation
+    split and stored by rounds, beats every constant model there. No row without validation."""
+    stored = sensor_windows(spark, sf)
+    train, validation = (stored.filter(F.col("split") == s) for s in ("train", "validation"))
+    if validation.isEmpty():
+        return spark.createDataFrame([], "split string, n_windows long, beats_majority boolean")
+    run = scratch(spark)
+    recurrent.fit_recurrent(train, validation, network(), max_rounds=6, patience=3, path=run)
+    trained = recurrent.fit_recurrent(train, validation, network(), max_rounds=8, patience=3, path=run)
+    scored = cut_lineage(recurrent.score_recurrent(trained, stored).select("split", "label", "predicted"))
+    cells = scored.groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("right")
+    )
+    return cells.groupBy("split").agg(
+        F.sum("n").alias("n_windows"), (F.sum("right") > F.max("n")).alias("beats_majority")
+    )
+
+
+def recurrent_search(spark, sf):
+    """Three candidates by successive halving, two of which cannot learn: rounds that each ran, which
+    one was chosen, and the validation windows it was chosen by. No row without validation."""
+    stored = sensor_windows(spark, sf)
+    train, validation = (stored.filter(F.col("split") == s) for s in ("train", "validation"))
+    schema = "candidate int, rounds int, is_best boolean, n_validation long, window_passes int, scans int"
+    n = validation.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    grid = [network(rate=1e-9), network(), network(rate=1e-8)]
+    found = recurrent.successive_halving(train, validation, [(grid, 1)], max_rounds=3)
+    rows = [
+        (grid.index(t.network), t.rounds, rank == 0, n, found.window_passes, found.scans)
+        for rank, t in enumerate(found.ranking)
+    ]
+    return spark.createDataFrame(rows, schema)
 
 
 QUERIES = {
@@ -661,4 +721,6 @@ QUERIES = {
     "user_model_scores": user_model_scores,
     "classifier_scores": classifier_scores,
     "classifier_search": classifier_search,
+    "recurrent_scores": recurrent_scores,
+    "recurrent_search": recurrent_search,
 }
