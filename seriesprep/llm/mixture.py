@@ -8,8 +8,8 @@ fixed order inside a round, and the stream is cut into windows of ``length`` tok
 window holds each source's share, up to the tokens by which rounds and windows are out of step
 (half a token per queue).
 
-The counters need not be run through: after ``r`` rounds a queue of ``T`` tokens in ``R`` rounds
-has served ``round(r * T / R)``. Every task therefore opens with the deficits that the partition
+The counters need not be run through: after ``r`` rounds a queue with the quantum ``q`` has served
+``round(r * q)`` tokens. Every task therefore opens with the deficits that the partition
 before it would hand over, and places its documents alone. Ids are made once and written in the
 task that read the text, with their place among that task's ids of the source; places in the
 whole queue follow from one row per task and source. Neither texts nor ids are shuffled.
@@ -48,8 +48,6 @@ LENGTH = 1_024
 MOST_QUEUES = 256
 MOST_BROADCAST = 1_000_000
 TEXTS_AT_ONCE = 256
-#: Rounds that are counted from an exact starting point, so that products stay below 2**63.
-ROUND_BLOCK = 1 << 20
 CELLS_AT_ONCE = 1 << 20
 SCAN_PARTS = 4_096
 IDS_SCHEMA = "doc_id long, source string, part long, before long, n_tokens long, ids binary"
@@ -98,45 +96,60 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 class Phase:
     """A stretch of rounds in which the same queues are served.
 
-    ``first[q]`` tokens of queue ``q`` and ``position`` tokens of the stream were served before it;
-    it serves ``tokens[q]`` of each queue in ``rounds`` rounds.
+    ``first[q]`` tokens of queue ``q`` and ``position`` tokens of the stream were served before it; it
+    serves ``tokens[q]`` of each queue in rounds of ``length`` tokens.
     """
 
     first: np.ndarray
     tokens: np.ndarray
     position: int
-    rounds: int
+    length: int
+
+    @property
+    def total(self) -> int:
+        return int(self.tokens.sum())
+
+    @property
+    def rounds(self) -> int:
+        return -(-self.total // self.length)
+
+    @property
+    def block(self) -> int:
+        """Rounds counted from one exact starting point, so that products stay below 2**63."""
+        return max(1, (1 << 61) // self.total)
 
     def _from(self, blocks: np.ndarray, queues: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens served before each block of rounds (rows) of each queue (columns), and what the
         rounding carries into it: exact, whatever the number of rounds."""
-        rest = [int(t) % self.rounds for t in self.tokens[queues]]
-        pairs = [[divmod(2 * int(b) * ROUND_BLOCK * r + self.rounds, 2 * self.rounds) for r in rest] for b in blocks]
+        total, rest = self.total, [self.length * int(t) % self.total for t in self.tokens[queues]]
+        pairs = [[divmod(2 * int(b) * self.block * r + total, 2 * total) for r in rest] for b in blocks]
         exact = np.array(pairs, np.int64).reshape(len(blocks), len(rest), 2)
         return exact[:, :, 0], exact[:, :, 1]
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens of every queue (columns) served after each number of rounds (rows): the nearest
-        integer to ``rounds * tokens / self.rounds``, halves up."""
-        whole, rest = self.tokens // self.rounds, self.tokens % self.rounds
-        blocks, at = np.unique(rounds // ROUND_BLOCK, return_inverse=True)
+        integer to rounds times quantum, halves up, but never more than the queue has."""
+        whole, rest = np.divmod(self.length * self.tokens, self.total)
+        blocks, at = np.unique(rounds // self.block, return_inverse=True)
         served, carried = self._from(blocks, np.arange(len(rest)))
         if len(blocks) > 1:
             served, carried = served[at], carried[at]
-        inside = 2 * (rounds % ROUND_BLOCK)
-        return (carried + inside[:, None] * rest) // (2 * self.rounds) + rounds[:, None] * whole + served
+        inside = 2 * (rounds % self.block)
+        due = (carried + inside[:, None] * rest) // (2 * self.total) + rounds[:, None] * whole + served
+        return np.minimum(due, self.tokens)
 
     def served_of(self, rounds: np.ndarray, queues: np.ndarray) -> np.ndarray:
         """``served`` of one queue for each number of rounds."""
-        whole, rest = self.tokens[queues] // self.rounds, self.tokens[queues] % self.rounds
-        blocks, at = np.unique(rounds // ROUND_BLOCK, return_inverse=True)
+        whole, rest = np.divmod(self.length * self.tokens[queues], self.total)
+        blocks, at = np.unique(rounds // self.block, return_inverse=True)
         some, queue = np.unique(queues, return_inverse=True)
         served, carried = (x[at, queue] for x in self._from(blocks, some))
-        return (carried + 2 * (rounds % ROUND_BLOCK) * rest) // (2 * self.rounds) + rounds * whole + served
+        due = (carried + 2 * (rounds % self.block) * rest) // (2 * self.total) + rounds * whole + served
+        return np.minimum(due, self.tokens[queues])
 
     def round_of(self, places: np.ndarray, queues: np.ndarray) -> np.ndarray:
         """The round, from 1, that serves the token at each place (from 0) of its queue."""
-        guess = np.ceil((places + 0.5) * (self.rounds / self.tokens[queues])).astype(np.int64)
+        guess = np.ceil((places + 0.5) * (self.total / (self.length * self.tokens[queues]))).astype(np.int64)
         guess = np.clip(guess, 1, self.rounds)
         while True:  # doubles are off by a round at most
             late = self.served_of(guess - 1, queues) > places
@@ -154,8 +167,7 @@ def phases(tokens: list[int], weights: list[Fraction], length: int) -> list[Phas
         weight = {q: weights[q] or Fraction(1) for q in active}
         until = min(left[q] / weight[q] for q in active)  # in units in which a queue gets its weight
         take = [int(until * weight[q]) if q in weight else 0 for q in range(len(left))]
-        rounds = -(-sum(take) // length)
-        found.append(Phase(np.array(first, np.int64), np.array(take, np.int64), position, rounds))
+        found.append(Phase(np.array(first, np.int64), np.array(take, np.int64), position, length))
         first = [a + b for a, b in zip(first, take)]
         left = [a - b for a, b in zip(left, take)]
         position += sum(take)
