@@ -533,9 +533,16 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     "recurrent_scores": SENSOR_LABELS
     + """select split, count(*)::bigint as n_windows, true as beats_majority from told
   where exists (from told where split = 'validation') group by split""",
+    "epoch_reader": with_(SAMPLES, FILLED, windows("filled"))
+    + """select epoch::int as epoch, count(*)::bigint as n_windows, sum(label)::bigint as label_sum
+  from windows, (select unnest([1, 2]) as epoch) group by epoch""",
+    "event_map": with_(SAMPLES)
+    + """select instance_id, count(*)::bigint as n_rows, coalesce(max(gap), 0)::bigint as longest_gap_us from (
+  select instance_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by instance_id order by ts) as gap from samples)
+  group by instance_id""",
     "recurrent_search": SENSOR_LABELS
     + """select candidate, rounds, is_best, n::bigint as n_validation, 5 as window_passes, 3 as scans
   from (values (0, 1, false), (1, 3, true), (2, 1, false)) as halved(candidate, rounds, is_best),
     (select count(*) as n from told where split = 'validation') where n > 0""",
 }
-ORACLES |= {"windows_segmented": ORACLES["windows"], "overlay_segmented": ORACLES["interp_overlay"]}
+ORACLES |= {"windows_segmented": ORACLES["windows"], "overlay_segmented": ORACLES["interp_overlay"], "align_shuffled": ORACLES["align_predictions"]}

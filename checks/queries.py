@@ -88,7 +88,7 @@ def interp_overlay(spark, sf, **limits):
 
 def overlay_segmented(spark, sf):
     """The overlay with every event of over 20 rows cut into parts."""
-    return interp_overlay(spark, sf, limit=20)
+    return interp_overlay(spark, sf, limit=20, parts=64)
 
 
 # --- quality --------------------------------------------------------------------------------
@@ -287,13 +287,60 @@ def verification(spark, sf):
 
 
 def tensor_store(spark, sf):
+    """Windows made from stored blocks of bins."""
     path = scratch(spark)
-    store.write_windows(imputed_windows(spark, sf), LAYOUT, path)
-    return checksum(store.read_windows(spark, path)).select(
+    store.write_window_blocks(imputed(spark, sf), LAYOUT, path, WINDOW, block=64)
+    return checksum(store.read_window_blocks(spark, path, LAYOUT, WINDOW)).select(
         "instance_id", "class_code", "window_idx", "x_sum", "label", "y_text"
     )
 
 
+def epoch_reader(spark, sf):
+    """Windows and labels of two epochs of training batches, per epoch."""
+    path = scratch(spark)
+    store.write_window_blocks(imputed(spark, sf), LAYOUT, path, WINDOW)
+    blocks = spark.read.parquet(path)
+
+    def summed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for rows in batches:
+            labels = [np.frombuffer(b, np.int64) for b in rows.column("labels").to_pylist()]
+            columns = [pa.array([len(b) for b in labels], pa.int64()), pa.array([int(b.sum()) for b in labels], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["n_windows", "label_sum"])
+
+    parts = [
+        store.epoch_batches(blocks, LAYOUT, WINDOW, epoch).mapInArrow(summed, "n_windows long, label_sum long").withColumn("epoch", F.lit(epoch))
+        for epoch in (1, 2)
+    ]
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("epoch").agg(F.sum("n_windows").alias("n_windows"), F.sum("label_sum").alias("label_sum"))
+
+
+def longest_gap(batches):
+    """Rows of an event and its longest time without one, batch by batch."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    event, n, last, longest = None, 0, None, 0
+    for rows in batches:
+        times = rows.column("ts").cast(pa.int64())
+        if last is not None:
+            longest = max(longest, times[0].as_py() - last)
+        steps = pc.subtract(times[1:], times[:-1])
+        longest = max(longest, pc.max(steps).as_py() or 0) if len(steps) else longest
+        event, n, last = rows.column("instance_id")[0], n + len(times), times[-1].as_py()
+    columns = [pa.array([event.as_py()], pa.int64()), pa.array([n], pa.int64()), pa.array([longest], pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, names=["instance_id", "n_rows", "longest_gap_us"])
+
+
+def event_map(spark, sf):
+    """A function of the user's own over every event in time order."""
+    schema = "instance_id long, n_rows long, longest_gap_us long"
+    return store.map_events(fx.samples(spark, sf), LAYOUT, longest_gap, schema, tie=["event_id"])
+
+
 def event_batches(spark, sf):
     def count_batch(batch):
         import pandas as pd
@@ -311,7 +358,7 @@ def event_batches(spark, sf):
         LAYOUT,
         count_batch,
         "instance_id long, n_windows long, label_sum long",
-        max_windows=5,
+        max_windows=64,
         columns=["label"],
         merge=[F.sum(c).alias(c) for c in ("n_windows", "label_sum")],
     )
@@ -493,16 +540,21 @@ def accuracy_logloss(spark, sf):
     return result.select("n_windows", rounded("accuracy"), rounded("loss"))
 
 
-def align_predictions(spark, sf):
+def align_predictions(spark, sf, **limits):
     samples = fx.samples(spark, sf)
     index = index_events(samples, LAYOUT)
     windows = wd.event_windows(samples, index, SECONDS, WINDOW)
     predictions = windows.withColumnRenamed("label", "predicted")
-    aligned = ev.align_predictions(samples, index, predictions, SECONDS, WINDOW, ["predicted"])
+    aligned = ev.align_predictions(samples, index, predictions, SECONDS, WINDOW, ["predicted"], **limits)
     predicted = F.col("predicted").cast("double").alias("predicted")
     return aligned.select("instance_id", time_text(), "bin", predicted)
 
 
+def align_shuffled(spark, sf):
+    """The same by the path for predictions too large to broadcast."""
+    return align_predictions(spark, sf, most_rows=0)
+
+
 def match_labels(spark, sf):
     """Windows of all events as predictions, those of the valid events as labels."""
     predictions = imputed_windows(spark, sf).select(
@@ -692,6 +744,8 @@ QUERIES = {
     "tensor_summary": tensor_summary,
     "verification": verification,
     "tensor_store": tensor_store,
+    "epoch_reader": epoch_reader,
+    "event_map": event_map,
     "event_batches": event_batches,
     "event_catalog": event_catalog,
     "cached_catalog": cached_catalog,
@@ -715,6 +769,7 @@ QUERIES = {
     "confusion_matrix": confusion_matrix,
     "accuracy_logloss": accuracy_logloss,
     "align_predictions": align_predictions,
+    "align_shuffled": align_shuffled,
     "match_labels": match_labels,
     "full_prepare": full_prepare,
     "split_prepare": split_prepare,

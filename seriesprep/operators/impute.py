@@ -118,13 +118,14 @@ def number_long_events(samples: DataFrame, layout: SeriesLayout, parts: int) ->
 
 
 def interpolation_overlay(
-    samples: DataFrame, index: EventIndex, limit: int = SEGMENT_ROWS
+    samples: DataFrame, index: EventIndex, limit: int = SEGMENT_ROWS, parts: int | None = None
 ) -> DataFrame:
     """Interpolated value (by row position) where a sensor is null, null everywhere else.
 
     Nothing is filled before a sensor's first known value; after its last one that value holds.
     Rows of the same time are ordered by a hash of their content, so the result is repeatable.
-    Events up to ``limit`` rows are handled as a whole, longer ones in parts.
+    Events up to ``limit`` rows are handled as a whole, longer ones in ``parts`` ranges of rows, by
+    default of about ``limit`` rows each.
     """
     layout = index.layout
     sensors = list(layout.sensors)
@@ -147,7 +148,7 @@ def interpolation_overlay(
     if index.max_rows <= limit:
         return whole(samples)
     is_long = F.col("n_rows") > limit
-    parts = -(-index.total_rows // limit)
+    parts = parts or -(-index.total_rows // limit)
     rows = number_long_events(keep_events(samples, index.keep(is_long)), layout, parts)
     carry = segment_carry(rows, rows, layout.key, "pos", sensors, parts)
     split = of(rows, [layout.key, "_seg"], carry)
