@@ -546,3 +546,4 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     (select count(*) as n from told where split = 'validation') where n > 0""",
 }
 ORACLES |= {"windows_segmented": ORACLES["windows"], "overlay_segmented": ORACLES["interp_overlay"], "align_shuffled": ORACLES["align_predictions"]}
+ORACLES["csv_incremental"] = ORACLES["csv_conversion"]

@@ -26,7 +26,7 @@ from seriesprep.plans import classify, prepare, recurrent
 from seriesprep.schema import SeriesLayout, col
 from seriesprep.session import cut_lineage, shared_folder
 from seriesprep.sources import recordings as rec
-from seriesprep.sources import store
+from seriesprep.sources import store, versions
 
 
 def off_tie(value: Column, digits: int = 6) -> Column:
@@ -505,6 +505,31 @@ def csv_conversion(spark, sf):
     )
 
 
+def csv_incremental(spark, sf):
+    """CSV recordings converted in two runs, the second after new, changed and lost files."""
+    root, layout, schema = class_folders(spark, sf, "csv", header=True)
+    later, converted = scratch(spark), scratch(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place = lambda of, code: hadoop.Path(f"{of}/{code}")
+    files.mkdirs(hadoop.Path(later))
+    for code in (7, 8):  # not there yet
+        files.rename(place(root, code), place(later, code))
+    rows = spark.read.schema(schema).option("header", True).csv(f"{root}/0")
+    rows.write.option("header", True).csv(f"{root}/9")  # gone in the second run
+    versions.convert_changed(spark, root, converted, schema, layout)
+    for code in (7, 8):
+        files.rename(place(later, code), place(root, code))
+    files.rename(place(root, 9), hadoop.Path(f"{later}/9"))
+    versions.convert_changed(spark, root, converted, schema, layout)
+    samples = versions.read_converted(spark, converted, layout)
+    return samples.groupBy("class_code").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("ts").alias("n_times"),
+        *[off_tie(F.sum(col(s)), 4).alias(s) for s in SENSORS],
+    )
+
+
 def dataset_scan(spark, sf):
     """Parquet recordings scanned in place, next to what their listing and catalog say."""
     root, layout, schema = class_folders(spark, sf, "parquet")
@@ -764,6 +789,7 @@ QUERIES = {
     "shuffled": shuffled,
     "split_store": split_store,
     "csv_conversion": csv_conversion,
+    "csv_incremental": csv_incremental,
     "dataset_scan": dataset_scan,
     "argmax_scores": argmax_scores,
     "confusion_matrix": confusion_matrix,

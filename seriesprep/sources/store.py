@@ -16,6 +16,7 @@ from seriesprep.functions.labels import fold_transient, one_hot
 from seriesprep.operators.event_index import attach_events, index_catalog
 from seriesprep.operators.segments import with_halo
 from seriesprep.schema import SPLIT_SEED, SeriesLayout, col
+from seriesprep.sources.versions import current_version, read_version, write_version
 
 BLOCK_BINS = 1_024
 EPOCH_BUFFER = 16_384
@@ -34,12 +35,12 @@ def read_if_stored(spark: SparkSession, path: str) -> DataFrame | None:
 def cached_table(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], use_cached: bool = True
 ) -> DataFrame:
-    """Stored table at ``path``, built first when absent or when ``use_cached`` is off."""
-    stored = read_if_stored(spark, path) if use_cached else None
-    if stored is None:
-        build().write.mode("overwrite").parquet(path)
-        stored = spark.read.parquet(path)
-    return stored
+    """Stored table at ``path``, built first when absent or when ``use_cached`` is off.
+
+    A table that is built again replaces the old one at once, see :mod:`seriesprep.sources.versions`.
+    """
+    stored = read_version(spark, path) if use_cached else None
+    return spark.read.parquet(write_version(build(), path)) if stored is None else stored
 
 
 def metrics_path(root: str, name: str) -> str:
@@ -61,7 +62,7 @@ def save_metrics(
 
 def load_metrics(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Stored metric table; reads only the folder of that name."""
-    return spark.read.parquet(metrics_path(root, name))
+    return spark.read.parquet(current_version(spark, metrics_path(root, name)) or metrics_path(root, name))
 
 
 def write_split(samples: DataFrame, divided: DataFrame, layout: SeriesLayout, path: str) -> None:
