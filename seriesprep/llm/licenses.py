@@ -264,7 +264,8 @@ def detections(words: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def surviving(found: Column) -> Column:
-    """Sorted detections without contained ones, then without those that overlap a better one."""
+    """Sorted detections without contained ones, then without those that overlap a better one that
+    stays: they are gone through by priority, rule and start."""
 
     def step(state: Column, d: Column) -> Column:
         free = -d["until"] > state["reached"]
@@ -274,16 +275,26 @@ def surviving(found: Column) -> Column:
     start = F.struct(F.lit(0).alias("reached"), F.filter(found, lambda d: F.lit(False)).alias("kept"))
     outer = F.aggregate(found, start, step, lambda s: s["kept"])
 
-    def best(kept: Column) -> Column:
-        def beaten(d: Column, k: Column) -> Column:
-            last, after = F.when(k > 0, F.get(kept, k - 1)), F.get(kept, k + 1)
-            by_last = (-last["until"] > d["start"]) & (last["priority"] <= d["priority"])
-            by_next = (-d["until"] > after["start"]) & (after["priority"] < d["priority"])
-            return F.coalesce(by_last, F.lit(False)) | F.coalesce(by_next, F.lit(False))
+    def best(group: Column) -> Column:
+        """Of detections that hang together: by priority, rule and start, each that overlaps none before it."""
 
-        return F.filter(kept, lambda d, k: ~beaten(d, k))
+        def take(kept: Column, d: Column) -> Column:
+            meets = F.exists(kept, lambda k: (k["start"] < -d["until"]) & (d["start"] < -k["until"]))
+            return F.when(meets, kept).otherwise(F.concat(kept, F.array(d)))
 
-    return let(outer, best)
+        ranked = F.transform(group, lambda d: F.struct(d["priority"].alias("p"), d["rule"].alias("r"), d["start"].alias("s"), d.alias("d")))
+        inner = F.transform(F.array_sort(ranked), lambda x: x["d"])
+        return F.when(F.size(group) == 1, group).otherwise(F.aggregate(inner, F.filter(group, lambda d: F.lit(False)), take))
+
+    def grouped(kept: Column) -> Column:
+        # None holds another, so ends rise with starts: a group ends where the next does not overlap the last.
+        after = F.sequence(F.lit(1), F.size(kept))
+        ends = F.filter(after, lambda k: F.coalesce(F.get(kept, k)["start"] >= -F.get(kept, k - 1)["until"], F.lit(True)))
+        from_ = lambda e, j: F.when(j > 0, F.get(e, j - 1)).otherwise(0)
+        groups = let(ends, lambda e: F.transform(e, lambda k, j: F.slice(kept, from_(e, j) + 1, k - from_(e, j))))
+        return F.when(F.size(kept) > 0, F.array_sort(F.flatten(F.transform(groups, best)))).otherwise(kept)
+
+    return let(outer, grouped)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

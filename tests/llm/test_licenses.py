@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from seriesprep.llm import licenses as lc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -24,12 +27,9 @@ def brute(text):
     found.sort()
     outer = [d for i, d in enumerate(found) if not any(e[1] <= d[1] for e in found[:i])]
     best = []
-    for i, d in enumerate(outer):
-        last = outer[i - 1] if i else None
-        after = outer[i + 1] if i + 1 < len(outer) else None
-        if last and -last[1] > d[0] and last[2] <= d[2] or after and -d[1] > after[0] and after[2] < d[2]:
-            continue
-        best.append(d)
+    for d in sorted(outer, key=lambda d: (d[2], d[3], d[0])):  # the better ones first
+        if all(-k[1] <= d[0] or -d[1] <= k[0] for k in best):
+            best.append(d)
     places = [
         (i, label) for label, p in lc.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()
     ]
@@ -123,3 +123,20 @@ def test_spelt_out_names_joined_versions_and_bodies_are_labelled(spark):
     frame = spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")
     got = {r.doc_id: r.labels for r in lc.summary(lc.scan(frame)).collect()}
     assert [got[i] for i in range(len(wanted))] == list(wanted.values())
+
+
+@pytest.mark.parametrize(
+    "found, kept",
+    [
+        ([(0, 4, 2), (3, 8, 1), (7, 12, 0)], [0, 7]),  # the middle one is gone, so the first stays
+        ([(0, 6, 1), (2, 8, 3), (4, 10, 2)], [0]),  # all overlap: only the best
+        ([(0, 6, 2), (5, 9, 2), (9, 12, 7)], [0, 9]),  # of equal ones the earlier rule, then start
+        ([], []),
+    ],
+)
+def test_overlaps_go_by_priority(spark, found, kept):
+    kind = "array<struct<start:int,until:int,priority:int,rule:int,label:string,confidence:double,base:boolean>>"
+    rows = [(start, -end, priority, 0, "x", 1.0, False) for start, end, priority in found]
+    frame = spark.createDataFrame([(rows,)], f"found {kind}")
+    got = frame.select(lc.surviving(F.col("found")).alias("kept")).first()["kept"]
+    assert [d.start for d in got] == kept

@@ -94,3 +94,10 @@ def test_pipeline_over_nothing(spark, tmp_path, documents):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         extra = stage(spark, extra, str(tmp_path))
         assert extra.columns == documents.columns
+
+
+def test_null_texts_are_no_copies(spark):
+    docs = spark.createDataFrame([(k, None, f"s{k}") for k in range(4)] + [(9, "", "s9")], "doc_id long, text string, source string")
+    copies = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    bins = pk.pack(pk.document_sizes(docs, cluster=copies)).collect()
+    assert len({b.bin_id for b in bins}) == 1
