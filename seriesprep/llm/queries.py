@@ -53,9 +53,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact copies are the duplicate clusters."""
+    """Exact copies are the duplicate clusters; a null text is no copy of another."""
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(packing.document_sizes(docs, cluster=F.xxhash64("text")))
+    copies = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    return packing.pack(packing.document_sizes(docs, cluster=copies))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
