@@ -1,7 +1,8 @@
 """DuckDB twins of the queries of this subpackage that SQL can express.
 
 Not expressible: trained models (op2, op7), hundreds of ordered regexes with containment (op1),
-best-fit bins (op4), a tokenizer (op8), markup with a suffix array (op10). Those are tested
+best-fit bins (op4), a tokenizer (op8, op13), markup with a suffix array (op10), exact components
+(op12). Those are tested
 against brute force, round trips and held-out labels.
 """
 
