@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesprep.operators.event_index import EventIndex, keep_events
 from seriesprep.operators.resample import bin_start, downsample
+from seriesprep.operators.scan import known_neighbours, whole_groups
 from seriesprep.operators.segments import (
     SEGMENT_STEPS,
     neighbours,
@@ -18,8 +22,9 @@ from seriesprep.operators.segments import (
 from seriesprep.schema import SeriesLayout, col
 from seriesprep.session import cut_lineage
 
-# Raw rows of one event that may share a task before the event is range-partitioned.
-SEGMENT_ROWS = 1_000_000
+# Raw rows of one event that may share a task, and be in its memory, before the event is
+# range-partitioned.
+SEGMENT_ROWS = 262_144
 
 
 def on_line(at: Column, name: str) -> Column:
@@ -117,6 +122,46 @@ def number_long_events(samples: DataFrame, layout: SeriesLayout, parts: int) ->
     return numbered.drop("_offset")
 
 
+def overlay_scan(
+    rows: DataFrame, partition: list[str], order: list[str], sensors: list[str], carried: list[str] = []
+) -> DataFrame:
+    """The overlay of groups that lie in one task each, by one sort.
+
+    Rows are numbered in ``order`` unless they have a ``pos``. ``carried`` names the columns with
+    the known values around a group, ``prev_pos:<s>`` and so on; these, ``_seg`` and ``_tie`` are
+    not returned.
+    """
+    helpers = {*sensors, *carried, "pos", "_seg", "_tie"}
+    kept = [c for c in rows.columns if c not in helpers]
+    numbered = "pos" in rows.columns
+
+    def overlaid(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ends = np.append(starts[1:], table.num_rows)
+        first, last = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
+        at = table["pos"].to_numpy() if numbered else np.arange(table.num_rows) - first
+        out = table.select(kept).append_column("pos", pa.array(at.astype(np.int64)))
+        for s in sensors:
+            around = {c.split(":")[0]: table[c] for c in carried if c.split(":", 1)[1] == s}
+            seen = known_neighbours(table[s], at, first, last, around)
+            with np.errstate(all="ignore"):  # as in SQL, infinities give NaN
+                share = (at - seen.prev_pos) / (seen.next_pos - seen.prev_pos)
+                line = seen.prev_val + (seen.next_val - seen.prev_val) * share
+            value = np.where(seen.has_next, line, seen.prev_val)
+            out = out.append_column(s, pa.array(value, pa.float64(), mask=seen.known | ~seen.has_prev))
+        return out
+
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType(
+        [fields[c] for c in kept]
+        + [T.StructField("pos", T.LongType())]
+        + [T.StructField(s, T.DoubleType()) for s in sensors]
+    )
+    placed = rows.repartition(*[col(c) for c in partition]).sortWithinPartitions(
+        *[col(c) for c in [*partition, *order]]
+    )
+    return placed.mapInArrow(whole_groups(partition, overlaid), schema)
+
+
 def interpolation_overlay(
     samples: DataFrame, index: EventIndex, limit: int = SEGMENT_ROWS, parts: int | None = None
 ) -> DataFrame:
@@ -129,27 +174,27 @@ def interpolation_overlay(
     """
     layout = index.layout
     sensors = list(layout.sensors)
-    kept = [c for c in samples.columns if c not in sensors]
-
-    def overlay(name: str) -> Column:
-        value = F.coalesce(on_line(F.col("pos"), name), col(f"prev_val:{name}"))
-        return F.when(col(name).isNull(), value).alias(name)
-
-    def of(rows: DataFrame, partition: list[str], carry: DataFrame | None) -> DataFrame:
-        known = neighbours(rows, partition, "pos", sensors, carry, [layout.ts, "_tie"])
-        return known.select(*[col(c) for c in kept], "pos", *[overlay(s) for s in sensors])
+    samples = samples.withColumns({s: col(s).cast("double") for s in sensors}).withColumn(
+        "_tie", F.xxhash64(*[col(c) for c in samples.columns])
+    )
+    order = [layout.ts, "_tie"]
 
     def whole(rows: DataFrame) -> DataFrame:
-        within = W.partitionBy(layout.key).orderBy(layout.ts, "_tie")
-        numbered = rows.withColumn("pos", F.row_number().over(within).cast("long") - 1)
-        return of(numbered, [layout.key], None)
+        return overlay_scan(rows, [layout.key], order, sensors)
 
-    samples = samples.withColumn("_tie", F.xxhash64(*[col(c) for c in samples.columns]))
     if index.max_rows <= limit:
         return whole(samples)
     is_long = F.col("n_rows") > limit
     parts = parts or -(-index.total_rows // limit)
     rows = number_long_events(keep_events(samples, index.keep(is_long)), layout, parts)
     carry = segment_carry(rows, rows, layout.key, "pos", sensors, parts)
-    split = of(rows, [layout.key, "_seg"], carry)
+    entered = {
+        f"{side}_{part}:{s}": col(f"{side}:{s}")[part]
+        for s in sensors
+        for side in ("prev", "next")
+        for part in ("pos", "val")
+    }
+    carried = carry.select(layout.key, "_seg", *[value.alias(name) for name, value in entered.items()])
+    rows = rows.join(carried, [layout.key, "_seg"], "left")
+    split = overlay_scan(rows, [layout.key, "_seg"], order, sensors, list(entered))
     return whole(keep_events(samples, index.keep(~is_long))).unionByName(split)

@@ -116,18 +116,16 @@ def neighbours(
     pos: str,
     columns: list[str],
     carry: DataFrame | None,
-    order: list[str] | None = None,
 ) -> DataFrame:
     """Add the known value at or before each row and the one after it.
 
-    Per column: ``prev_pos:<c>``, ``prev_val:<c>``, ``next_pos:<c>``, ``next_val:<c>``. ``order``
-    names the columns that ``pos`` was numbered by, whose sort can then be used again.
+    Per column: ``prev_pos:<c>``, ``prev_val:<c>``, ``next_pos:<c>``, ``next_val:<c>``.
 
     Both directions run over growing frames; a frame that shrinks towards the end would be
     recomputed for every row.
     """
     by_partition = W.partitionBy(*partition)
-    behind = by_partition.orderBy(*(order or [pos])).rowsBetween(W.unboundedPreceding, 0)
+    behind = by_partition.orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
     ahead = by_partition.orderBy(F.desc(pos)).rowsBetween(W.unboundedPreceding, -1)
 
     def nearest(side, window):

@@ -255,3 +255,25 @@ def test_plan_moves_bins_and_not_samples(spark):
     assert "partial_avg" in plan and "BroadcastHashJoin" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "unboundedfollowing" not in plan
+
+
+def test_overlay_of_groups_over_many_batches(spark):
+    """Null keys, groups of one row and groups longer than an Arrow batch."""
+    lengths = {"a": 1, "b": 30, None: 7, "d": 1, "e": 12}
+    rows = [
+        (event, s, float(s) if s % 5 == 2 else None, None, 0.0, 0)
+        for event, n in lengths.items()
+        for s in range(n)
+    ]
+    samples = recording(spark, rows).repartition(3)
+    index = ei.index_events(samples, AB)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = {(r.event_id, r.pos): r["P-A"] for r in interpolation_overlay(samples, index).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows)
+    for event, s, x, *_ in rows:
+        last = max((t for e, t, v, *_ in rows if e == event and v is not None), default=None)
+        wanted = None if x is not None or s < 2 or last is None else float(min(s, last))
+        assert found[event, s] == wanted
