@@ -106,20 +106,21 @@ def number_long_events(samples: DataFrame, layout: SeriesLayout, parts: int) ->
     Rows are range-partitioned by event and time, which splits an event wherever its rows are
     dense. The numbers are written with the rows, so a recomputed task cannot shift them.
     """
-    # The content hash lets rows of one event and time part, too.
-    ranged = samples.repartitionByRange(parts, layout.key, layout.ts, "_tie")
-    ranged = cut_lineage(ranged.withColumn("_seg", F.spark_partition_id().cast("long")))
-    # One row per event and range partition.
-    counts = ranged.groupBy(layout.key, "_seg").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = W.partitionBy(layout.key).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        layout.key, "_seg", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+    order = [col(c) for c in (layout.key, layout.ts, "_tie")]  # the hash parts rows of one time
+    ranged = samples.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    ranged = cut_lineage(
+        ranged.withColumns({"_seg": F.spark_partition_id().cast("long"), "_row": row})
     )
-    within = W.partitionBy(layout.key, "_seg").orderBy(layout.ts, "_tie")
-    numbered = ranged.join(offsets, [layout.key, "_seg"]).withColumn(
-        "pos", F.col("_offset") + F.row_number().over(within) - 1
+    # One row per event and range partition.
+    counts = ranged.groupBy(layout.key, "_seg").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_least")
     )
-    return numbered.drop("_offset")
+    earlier = W.partitionBy(layout.key).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_least")
+    offsets = counts.select(layout.key, "_seg", offset.alias("_offset"))
+    numbered = ranged.join(offsets, [layout.key, "_seg"])
+    return numbered.withColumn("pos", F.col("_row") + F.col("_offset")).drop("_row", "_offset")
 
 
 def overlay_scan(
