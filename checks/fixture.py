@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ TRIM = 3
 TEST_SIZE = 0.2
 VALIDATION_SIZE = 0.1
 VERSION = "10101"
+# Files beside the recordings: an event without rows and two of tensors, which a catalog lists ...
+EMPTY_EVENT = "3/DRAWN_00000_empty"
+TENSORS = ("5/SIMULATED_tensor", "7/OTHER_tensor")
+# ... and files that are no events: by suffix, by folder, by depth.
+FOREIGN = ("notes.txt", "4/readme.md", "plots/WELL-00001_20240101000000", "4/old/DRAWN_00004", "DRAWN_00005")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,3 +113,49 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", (F.col("label") % 9).cast("int").alias("label"), raw.alias("scores")
     )
+
+
+def _write_recording(rows: pa.Table, root: str, suffix: str) -> pa.Table:
+    """Write the rows of one recording to ``<root>/<file>.<suffix>``."""
+    import pyarrow.csv
+    import pyarrow.parquet
+    from pyarrow import fs
+
+    local = urlparse(root).scheme in ("", "file")
+    files, base = (fs.LocalFileSystem(), urlparse(root).path) if local else fs.FileSystem.from_uri(root)
+    name = rows["file"][0].as_py()
+    path = f"{base}/{name}" if name.endswith((".txt", ".md", ".npz")) else f"{base}/{name}.{suffix}"
+    data = rows.filter(rows["has_rows"]).drop_columns(["file", "has_rows"])
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(path) as out:
+        if not path.endswith(f".{suffix}"):
+            out.write(b"no samples")
+        elif suffix == "csv":
+            pyarrow.csv.write_csv(data, out)
+        else:
+            pyarrow.parquet.write_table(data, out)
+    return pa.table({"file": [name], "n_rows": [data.num_rows]})
+
+
+def recording_files(spark: SparkSession, sf_dir: str, root: str, suffix: str) -> DataFrame:
+    """Write the samples as raw recordings lie: one file per event in numeric class folders, among
+    files that are none. Returns ``file, n_rows`` of the files written."""
+    stem = F.regexp_extract("path", r"^/data/(.*)\.parquet$", 1)
+    names = files(spark, sf_dir).select("instance_id", stem.alias("file"))
+    rows = samples(spark, sf_dir).join(names, "instance_id").select(
+        "file",
+        F.lit(True).alias("has_rows"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
+        *[F.col(f"`{s}`") for s in SENSORS],
+        "class",
+    )
+    # Foreign files hold samples, so that reading one would show.
+    beside = [(f, True) for f in FOREIGN] + [(EMPTY_EVENT, False)] + [(f"{t}.npz", False) for t in TENSORS]
+    others = spark.createDataFrame(beside, "file string, has_rows boolean").select(
+        "*",
+        F.lit("2024-01-01 00:00:00.000000").alias("timestamp"),
+        *[F.lit(1.0).alias(s) for s in SENSORS],
+        F.lit(0.0).alias("class"),
+    )
+    write = lambda rows: _write_recording(rows, root, suffix)
+    return rows.unionByName(others).groupBy("file").applyInArrow(write, "file string, n_rows long")

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from checks.fixture import KINDS, SECONDS, SENSORS, TEST_SIZE, TRIM, VALIDATION_SIZE, WINDOW
+from checks.fixture import (
+    EMPTY_EVENT,
+    KINDS,
+    SECONDS,
+    SENSORS,
+    TENSORS,
+    TEST_SIZE,
+    TRIM,
+    VALIDATION_SIZE,
+    WINDOW,
+)
 from seriesprep.schema import CLASS_NAMES, SOURCE_NAMES, SPLIT_SEED
 
 WIDTH = SECONDS * 1_000_000
@@ -226,6 +236,12 @@ described as (
   from files)"""
 )
 
+EVENT_SUMS = f"""sums as (
+  select event_key as event_id, s.class_code, count(*)::bigint as n_rows, count(ts)::bigint as n_times,
+    count(class)::bigint as n_labelled, coalesce(sum(class), 0)::double as label_sum,
+    {each("round(sum({s}) + 1e-7, 4) + 0.0 as {s}", ", ")}
+  from samples s join described d using (instance_id) group by event_key, s.class_code)"""
+
 VERSIONS = f"""{FILES},
 listing as (
   select concat(case when instance_id % 5 = 0 then '/data/raw'
@@ -480,12 +496,25 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     "split_store": with_(DIVIDED)
     + """select user_id as instance_id, event_id, cast(user_id % 9 as int) as class_code, split
   from events join divided on user_id = instance_id""",
-    "csv_conversion": with_(SAMPLES)
+    "csv_incremental": with_(SAMPLES)
     + f"""select class_code, count(*)::bigint as n_rows, count(ts)::bigint as n_times,
   {each("round(sum({s}) + 1e-7, 4) + 0.0 as {s}", ", ")} from samples group by 1""",
-    "dataset_scan": with_(SAMPLES)
-    + f"""select class_code, count(*)::bigint as n_rows, count(ts)::bigint as n_times, true as has_data,
-  {each("round(sum({s}) + 1e-7, 4) + 0.0 as {s}", ", ")} from samples group by 1""",
+    "csv_conversion": with_(SAMPLES, DESCRIBED, EVENT_SUMS)
+    + f"""select event_id, class_code, n_rows, n_times, n_labelled, label_sum, {each("{s}", ", ")} from sums""",
+    "dataset_scan": with_(
+        SAMPLES,
+        DESCRIBED,
+        EVENT_SUMS,
+        f"""listed as (
+  select event_key, class_code, source, well_id, num_timesteps from described
+  union all select sha256('{EMPTY_EVENT}'), 3, 'HAND_DRAWN', null, 0
+  union all select sha256('{TENSORS[0]}'), 5, 'SIMULATED', null, null
+  union all select sha256('{TENSORS[1]}'), 7, null, null, null)""",
+    )
+    + f"""select event_key as event_id, l.class_code::int as class_code, {names_case("l.class_code", CLASS_NAMES)} as class_type,
+  source, well_id::double as well_id, num_timesteps::double as num_timesteps, n_times::double as n_times,
+  n_labelled::double as n_labelled, label_sum, {each("{s}", ", ")}, true as has_data
+  from listed l left join sums on event_id = event_key""",
     "argmax_scores": with_(SCORES)
     + "select vec_id, label::int as label, predicted::int as predicted from guessed",
     "confusion_matrix": with_(SCORES)
@@ -546,4 +575,3 @@ select instance_id, sha256(concat('{SPLIT_SEED}|', cast(instance_id as varchar))
     (select count(*) as n from told where split = 'validation') where n > 0""",
 }
 ORACLES |= {"windows_segmented": ORACLES["windows"], "overlay_segmented": ORACLES["interp_overlay"], "align_shuffled": ORACLES["align_predictions"]}
-ORACLES["csv_incremental"] = ORACLES["csv_conversion"]

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import fixture as fx
 from checks.fixture import LAYOUT, RANGES, SECONDS, SENSORS, TRIM, WINDOW
@@ -492,19 +493,33 @@ def class_folders(spark, sf, file_format, **options) -> tuple[str, SeriesLayout,
     return root, SeriesLayout(SENSORS), rows.drop("class_code").schema
 
 
-def csv_conversion(spark, sf):
-    """CSV recordings converted, and counted from the result."""
-    root, layout, schema = class_folders(spark, sf, "csv", header=True)
-    converted = scratch(spark)
-    rec.convert_csv_dataset(spark, root, converted, schema, layout)
-    samples = rec.read_samples(spark, converted, layout)
-    return samples.groupBy("class_code").agg(
+def recordings(spark, sf, suffix) -> tuple[str, SeriesLayout, T.StructType]:
+    """A folder with one file per event, and what a reader has to know of it."""
+    root = scratch(spark)
+    cut_lineage(fx.recording_files(spark, sf, root, suffix))
+    fields = [T.StructField(s, T.DoubleType()) for s in [*SENSORS, "class"]]
+    return root, SeriesLayout(SENSORS), T.StructType([T.StructField("timestamp", T.StringType()), *fields])
+
+
+def event_sums(samples: DataFrame) -> DataFrame:
+    """Per event: rows, times, labels and the sum of each sensor."""
+    return samples.groupBy("event_id", "class_code").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("ts").alias("n_times"),
+        F.count("class").alias("n_labelled"),
+        F.coalesce(F.sum("class"), F.lit(0.0)).alias("label_sum"),
         *[off_tie(F.sum(col(s)), 4).alias(s) for s in SENSORS],
     )
 
 
+def csv_conversion(spark, sf):
+    """CSV recordings, one file per event, converted; each event counted from the result."""
+    root, layout, schema = recordings(spark, sf, "csv")
+    converted = scratch(spark)
+    rec.convert_csv_dataset(spark, root, converted, schema, layout)
+    return event_sums(rec.read_samples(spark, converted, layout))
+
+
 def csv_incremental(spark, sf):
     """CSV recordings converted in two runs, the second after new, changed and lost files."""
     root, layout, schema = class_folders(spark, sf, "csv", header=True)
@@ -531,17 +546,15 @@ def csv_incremental(spark, sf):
 
 
 def dataset_scan(spark, sf):
-    """Parquet recordings scanned in place, next to what their listing and catalog say."""
-    root, layout, schema = class_folders(spark, sf, "parquet")
-    samples = rec.read_parquet_recordings(spark, root, schema, layout)
-    scanned = samples.groupBy("class_code").agg(
-        F.count("ts").alias("n_times"),
-        *[off_tie(F.sum(col(s)), 4).alias(s) for s in SENSORS],
-    )
+    """Parquet recordings scanned in place, next to their catalog: files without rows and files
+    of tensors are events, foreign and nested ones are not."""
+    root, layout, schema = recordings(spark, sf, "parquet")
+    sums = event_sums(rec.read_parquet_recordings(spark, root, schema, layout)).drop("class_code", "n_rows")
     files = rec.dataset_catalog(spark, root)
-    listed = files.groupBy("class_code").agg(F.sum("num_timesteps").alias("n_rows"))
     present = rec.has_converted_data(rec.list_dataset(spark, root))
-    return scanned.join(listed, "class_code").withColumn("has_data", F.lit(present))
+    numbers = {n: F.col(n).cast("double") for n in ("well_id", "num_timesteps", "n_times", "n_labelled")}
+    events = files.select("event_id", "class_code", "class_type", "source", "well_id", "num_timesteps")
+    return events.join(sums, "event_id", "left").withColumns({**numbers, "has_data": F.lit(present)})
 
 
 # --- scoring --------------------------------------------------------------------------------
