@@ -42,14 +42,10 @@ SHARD_PAGES = 256
 ARTICLE, MAIN, OUTSIDE = 2, 1, 0
 _STEP = np.uint64(0xA24BAED4963EE407)
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")  # quotes do not hide its end
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+LETTER = re.compile("[a-zA-Z]")
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form dialog head template svg math object select button menu audio video canvas".split())
@@ -85,6 +81,46 @@ def _left_out(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+class Markup:
+    """The markup of a page from front to back, in time linear in its length.
+
+    Where no ``>`` follows, ``<`` is text. A tag with a quote that nothing closes ends at its first
+    ``>``, and quotes hide nothing in the tags after it. A comment may last to the end of the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_close = page.rfind(">")
+        self.tag = TAG
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """``start, end, is_end_tag, name, attributes``; the name of other markup is empty."""
+        page = self.page
+        while True:
+            at = page.find("<" if at <= self.last_close else "<!--", at)
+            if at < 0:
+                return None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, False, "", ""
+            if at < self.last_close:
+                follows = page[at + 1 : at + 3]
+                if follows[:1] in ("!", "?") or follows[:1] == "/" and not LETTER.match(follows, 1):
+                    return at, page.find(">", at) + 1, False, "", ""
+                if LETTER.match(follows, follows[:1] == "/"):
+                    m = self.tag.match(page, at)
+                    if not m:
+                        self.tag = LOOSE_TAG
+                        m = self.tag.match(page, at)
+                    return at, m.end(), bool(m[1]), m[2].lower(), m[3]
+            at += 1
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Where the text of an element without markup, such as a script, has ended."""
+        end = re.compile(rf"</{re.escape(name)}\b", re.I).search(self.page, at)
+        return self.page.find(">", end.end()) + 1 if end and end.end() <= self.last_close else len(self.page)
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """``zone, text`` of the non-empty blocks in page order."""
     found: list[tuple[int, str]] = []
@@ -102,20 +138,18 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             found.append((block_zone, text))
         parts.clear()
 
+    markup = Markup(page)
     while True:
-        m = MARKUP.search(page, at)
+        m = markup.next(at)
         if not skipped:
-            parts.append(page[at : m.start() if m else len(page)])
+            parts.append(page[at : m[0] if m else len(page)])
         if not m:
             break
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+        _, at, ends, name, attrs = m
         if not name:
             continue
-        ends, attrs = bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
         if not ends and name in RAW:
-            raw_end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = raw_end.end() if raw_end else len(page)
+            at = markup.after_raw(name, at)
             continue
         if skipped:
             if name == skipped and not (not ends and attrs.endswith("/")):

@@ -173,3 +173,25 @@ def test_repeats_count_different_pages_of_the_whole_host(spark, monkeypatch):
     for size in (2, 10, 256):
         monkeypatch.setattr(ht, "SHARD_PAGES", size)
         assert {r.page_id: r.text for r in ht.extract(frame).collect()} == wanted, size
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    def took(page):
+        start = time.perf_counter()
+        found = ht.blocks_of(page)
+        return time.perf_counter() - start, found
+
+    for piece in ("<a ", "<p x='", "</script ", "<!-", "<script></script ", "<p \"'>", "<"):
+        seconds, _ = took(piece * (1_000_000 // len(piece)))
+        assert seconds < 4, piece
+
+
+def test_broken_markup():
+    text = lambda page: [t for _, t in ht.blocks_of(page)]
+    assert text("a < b <p>c <d") == ["a < b", "c <d"]
+    assert text("<p title='x > y'>one</p><p title='open>two</p><p>three") == ["one", "two", "three"]
+    assert text("one<!-- > -->two<!-- three > four") == ["onetwo"]
+    assert text("one<script>two</script three>four</ >five<!DOCTYPE x>six<?p?>") == ["onefourfivesix"]
+    assert text("one<script>two</script") == ["one"]
