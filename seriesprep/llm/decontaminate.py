@@ -157,6 +157,8 @@ def _lists(rows: pa.Table, terms: np.ndarray) -> tuple[np.ndarray, dict[int, np.
 
 
 def _occurs(positions: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(positions):
+        return np.zeros(len(wanted), bool)
     at = np.searchsorted(positions, wanted)
     return (at < len(positions)) & (positions[np.minimum(at, len(positions) - 1)] == wanted)
 
@@ -185,6 +187,27 @@ def nearby(phrase: np.ndarray, counts: np.ndarray, lists: dict[int, np.ndarray],
     return places
 
 
+def _paired(windows: np.ndarray, n_terms: int, lists: dict[int, np.ndarray]) -> np.ndarray:
+    """Windows of which every two neighbouring terms stand side by side somewhere in the block.
+
+    A window that occurs is always among them; the padding counts as side by side.
+    """
+    if not lists:
+        return np.zeros(len(windows), bool)
+    places = np.concatenate(list(lists.values()))
+    terms = np.repeat(np.fromiter(lists, np.int64, len(lists)), [len(p) for p in lists.values()])
+    order = np.argsort(places, kind="stable")
+    places, terms = places[order], terms[order]
+    beside = places[1:] == places[:-1] + 1
+    pairs = np.unique((terms[:-1] * n_terms + terms[1:])[beside])
+    kept = np.ones(len(windows), bool)
+    for k in range(windows.shape[1] - 1):
+        rows = np.flatnonzero(kept)
+        left, right = windows[rows, k], windows[rows, k + 1]
+        kept[rows] = (right < 0) | _occurs(pairs, left * n_terms + right)
+    return kept
+
+
 def _match_block(table: pa.Table, phrases: Phrases, reach: int | None) -> pa.Table:
     import pyarrow.compute as pc
 
@@ -196,7 +219,10 @@ def _match_block(table: pa.Table, phrases: Phrases, reach: int | None) -> pa.Tab
     items: list[set[int]] = [set() for _ in base]
     there = (np.append(counts, 1)[phrases.windows] > 0).all(axis=1)  # the padding is there
     spans: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in np.flatnonzero(there & (phrases.lengths > 0)):
+    there &= phrases.lengths > 0
+    if reach is None:
+        there[there] = _paired(phrases.windows[there], len(phrases.terms), lists)
+    for k in np.flatnonzero(there):
         phrase = phrases.windows[k, : phrases.lengths[k]]
         if reach is None:
             starts = intersect(phrase, counts, lists)

@@ -105,3 +105,35 @@ def test_word_classes_agree_with_the_patterns():
     for kind, pattern in ((PLAIN, WORD), (SPACED, re.compile(r"[^\x20\x09-\x0D]+"))):
         counts = [c for *_, c in word_hashes(pa.array([text, None, "a b"]), kind)]
         assert counts[0].tolist() == [len(pattern.findall(text.translate(LOWER))), 0, 2]
+
+
+def test_many_windows_on_a_large_block():
+    """Nearly every term of 45,500 windows is in a block of a million words; few windows are."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 5_000, 1_000_000)
+    items = [(k, rng.integers(0, 5_000, 100)) for k in range(500)]
+    items[7][1][40:60] = text[700_000:700_020]
+    phrases = dc.make_phrases(items, 10)
+    places = {int(t): np.flatnonzero(text == t) for t in phrases.terms[:5_000]}
+    packed = [np.diff(p, prepend=0).astype("<i4").tobytes() for p in places.values()]
+    index = pa.table(
+        {
+            "block": pa.array([0] * (1 + len(places)), pa.int64()),
+            "term": pa.array([None, *places], pa.int64()),
+            "postings": pa.array([None, *packed], pa.binary()),
+            "doc_id": pa.array([1] + [None] * len(places), pa.int64()),
+            "mark": pa.array([0] + [None] * len(places), pa.int64()),
+            "base": pa.array([0] + [None] * len(places), pa.int64()),
+            "n_words": pa.array([len(text)] + [None] * len(places), pa.int64()),
+        }
+    )
+    start = time.perf_counter()
+    found = dc._match_block(index, phrases, None).to_pylist()[0]
+    took = time.perf_counter() - start
+    assert len(phrases.windows) == 45_500
+    assert (found["items"], found["starts"], found["ends"]) == ([7], [700_000], [700_020])
+    assert took < 5  # all windows one by one take some ten seconds
