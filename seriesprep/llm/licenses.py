@@ -213,33 +213,37 @@ def _literal(rules: tuple[Rule, ...]) -> Column:
     return F.from_json(F.lit(rows), f"array<struct<anchor:string,rules:array<struct<{rule}>>>>")
 
 
-def _n_words(spaced: Column) -> Column:
-    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("int")
+#: Put around a match; control characters are in no word.
+OPEN, CLOSE = "\x01", "\x02"
+#: Detections that one fold goes through: what it keeps grows by copying.
+SCAN_BLOCK = 64
 
 
 def _places(spaced: Column, rule: Column) -> Column:
-    """Detections of one rule: first word, end word and what the rule says."""
-    kind = "array<struct<start:int,until:int,priority:int,rule:int,label:string,confidence:double,base:boolean>>"
-
-    def located(parts: Column) -> Column:
-        def add(state: Column, match: Column) -> Column:
-            k = F.size(state["found"])
-            start = state["at"] + _n_words(F.get(parts["between"], k))
-            end = start + _n_words(match)
-            one = F.struct(
-                start.alias("start"), (-end).alias("until"), rule["priority"].alias("priority"), rule["rule"].alias("rule"),
-                rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base"),
-            )
-            return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-        return F.aggregate(parts["matches"], start, add, lambda s: s["found"])
-
-    parts = F.struct(
-        F.split(spaced, rule["regex"], -1).alias("between"),
-        F.regexp_extract_all(spaced, rule["regex"], F.lit(0)).alias("matches"),
-    )
-    return let(parts, located)
+    """Detections of one rule: first word, end word and what the rule says.
+
+    Every match is put between two marks, and the marks are found among the words: linear in the
+    text, however many matches there are. The j-th match has 2 * j marks before its own."""
+
+    def located(marked: Column) -> Column:
+        tokens = F.array_remove(F.split(marked, " ", -1), "")
+        marks = F.transform(tokens, lambda t, i: F.when(t.isin(OPEN, CLOSE), i))
+        return let(F.array_compact(marks), numbered)
+
+    def numbered(marks: Column) -> Column:
+        def one(j: Column) -> Column:
+            start = F.get(marks, 2 * j) - 2 * j
+            end = F.get(marks, 2 * j + 1) - 2 * j - 1
+            return F.struct(
+                start.cast("int").alias("start"), (-end).cast("int").alias("until"), rule["priority"].alias("priority"),
+                rule["rule"].alias("rule"), rule["label"].alias("label"), rule["confidence"].alias("confidence"),
+                rule["base"].alias("base"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), (F.size(marks) / 2).cast("int") - 1), one)
+
+    marked = F.regexp_replace(spaced, rule["regex"], F.lit(f" {OPEN} $0 {CLOSE} "))
+    return let(marked, lambda m: F.when(F.length(m) > F.length(spaced), located(m)))
 
 
 def detections(words: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -253,7 +257,7 @@ def detections(words: Column, rules: tuple[Rule, ...] = RULES) -> Column:
         near = F.filter(groups, lambda g: F.array_contains(state["anchors"], g["anchor"]))
         near = F.flatten(F.transform(near, lambda g: g["rules"]))
         able = F.filter(near, lambda r: F.size(F.array_except(r["keywords"], state["keys"])) == 0)
-        return F.array_sort(F.flatten(F.transform(able, lambda r: _places(state["text"], r))))
+        return F.array_sort(F.flatten(F.array_compact(F.transform(able, lambda r: _places(state["text"], r)))))
 
     def gated(present: Column) -> Column:
         spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
@@ -272,8 +276,22 @@ def surviving(found: Column) -> Column:
         kept = F.when(free, F.concat(state["kept"], F.array(d))).otherwise(state["kept"])
         return F.struct(F.greatest(state["reached"], -d["until"]).alias("reached"), kept.alias("kept"))
 
-    start = F.struct(F.lit(0).alias("reached"), F.filter(found, lambda d: F.lit(False)).alias("kept"))
-    outer = F.aggregate(found, start, step, lambda s: s["kept"])
+    def unheld(blocks: Column) -> Column:
+        # Blocks are folded on their own, each from the furthest end of the blocks before it.
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda d: -d["until"])))
+
+        def fold(furthest: Column) -> Column:
+            def one(block: Column, i: Column) -> Column:
+                reached = F.when(i > 0, F.array_max(F.slice(furthest, 1, i))).otherwise(0)
+                start = F.struct(reached.alias("reached"), F.filter(block, lambda d: F.lit(False)).alias("kept"))
+                return F.aggregate(block, start, step, lambda s: s["kept"])
+
+            return F.flatten(F.transform(blocks, one))
+
+        return let(ends, fold)
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(SCAN_BLOCK))
+    outer = let(F.transform(firsts, lambda i: F.slice(found, i, SCAN_BLOCK)), unheld)
 
     def best(group: Column) -> Column:
         """Of detections that hang together: by priority, rule and start, each that overlaps none before it."""
