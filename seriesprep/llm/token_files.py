@@ -29,18 +29,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesprep.llm.shared import job_path, stored
+from seriesprep.llm.shared import checked_broadcast, job_path, stored
 
 SEQUENCE = 2_048
 BATCH_SEQUENCES = 256
 END_ID = 0
 ROWS_PER_FILE = 16_384
+#: Files of one range, and most ranges: one row per range is broadcast.
+FILES_PER_RANGE, FILE_RANGES = 2_000, 4_096
+MOST_BROADCAST_FILES = 1_000_000
 CACHE_ENTRIES = 500_000
 INDEX_SCHEMA = "doc_id long, path string, start long, n_tokens long"
 
@@ -225,19 +227,31 @@ def _digests(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], names=["doc_id", "shift", "start", "n_tokens", "ids_crc32"])
 
 
+def file_shifts(index: DataFrame) -> DataFrame:
+    """``path, shift``: the ids in all files before each one.
+
+    Files are dealt over ranges of their first id, summed by range, and counted on inside a
+    range: no task sees all files, and only one row per range is broadcast."""
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
+    files = stored(index.groupBy("path").agg(F.sum("n_tokens").alias("size"), first), "files")
+    n_ranges = min(FILE_RANGES, -(-files.count() // FILES_PER_RANGE) or 1)
+    ranged = files.repartitionByRange(n_ranges, "first.known", "first.doc_id", "path")
+    ranged = stored(ranged.withColumn("range", F.spark_partition_id()), "ranges")  # a lost task cannot renumber them
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("range").agg(F.sum("size").alias("size"))  # at most FILE_RANGES rows
+    ranges = ranges.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("range").orderBy("first.known", "first.doc_id", "path").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    return stored(ranged.join(F.broadcast(ranges), "range").select("path", shift.alias("shift")), "shifts")
+
+
 def read_digests(index: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, its ids read from the files.
 
     ``start`` counts the ids of all documents before it: the start in the file and the sizes of
-    the files before, which are summed from one row per file."""
-    files = index.groupBy("path").agg(
-        F.sum("n_tokens").alias("size"), F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
-    )
-    sizes: pd.DataFrame = files.select("path", "size", "first.known", "first.doc_id").toPandas()
-    sizes = sizes.sort_values(["known", "doc_id", "path"], ignore_index=True)
-    before = [int(v) for v in sizes["size"].cumsum() - sizes["size"]]
-    shifts = index.sparkSession.createDataFrame(list(zip(sizes["path"], before)), "path string, shift long")
-    placed = index.join(F.broadcast(shifts), "path").select("doc_id", "path", "shift", "start", "n_tokens")
+    the files before. Beyond the broadcast bound files meet their documents by shuffle."""
+    shifts = checked_broadcast(file_shifts(index), MOST_BROADCAST_FILES)
+    placed = index.join(shifts, "path").sortWithinPartitions("path", "start").select("doc_id", "path", "shift", "start", "n_tokens")
     schema = "doc_id long, shift long, start long, n_tokens long, ids_crc32 long"
     read = placed.mapInArrow(lambda b: _digests(b, folder), schema)
     return read.select("doc_id", (F.col("start") + F.col("shift")).alias("start"), "n_tokens", "ids_crc32")

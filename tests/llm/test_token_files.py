@@ -27,9 +27,11 @@ def test_parts_give_the_ids_of_whole_texts():
         assert np.frombuffer(coder.encode(text), coder.kind).tolist() == ids[:-1], text
 
 
-@pytest.mark.parametrize("rows_per_file, length", [(16_384, 2_048), (5, 4)])
-def test_round_trip(spark, monkeypatch, documents, rows_per_file, length):
+@pytest.mark.parametrize("rows_per_file, length, broadcast", [(16_384, 2_048, 9), (5, 4, 1_000), (5, 4, 0)])
+def test_round_trip(spark, monkeypatch, documents, rows_per_file, length, broadcast):
     monkeypatch.setattr(tf, "ROWS_PER_FILE", rows_per_file)
+    monkeypatch.setattr(tf, "FILES_PER_RANGE", 3)
+    monkeypatch.setattr(tf, "MOST_BROADCAST_FILES", broadcast)
     monkeypatch.setattr(tf, "BATCH_SEQUENCES", 3)
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["sun", "rain,", "Ünï", "x1"]) for _ in range(rng.randrange(40)))) for i in range(60)]
