@@ -1,6 +1,6 @@
 r"""Near-duplicate detection with HyperMinHash sketches.
 
-A document is its set of distinct 2-word shingles. Its sketch has 128 buckets; a bucket hashes the
+A document is its set of distinct shingles of some words (two in op6, five in the pipeline's stage). Its sketch has 128 buckets; a bucket hashes the
 whole set with a function of its own and keeps of the least 32-bit value only the number of
 leading zeros and the 10 bits after the first one, 16 bits in all. (One function dealt over the
 buckets would leave most of a short text's buckets empty.) Four registers make a band, 32 bands a
@@ -17,7 +17,7 @@ sketch: documents with similarity 0.8 agree in no band with a chance of 5e-8.
    at. The last pass takes every pair that is left, so no link between components is missed.
 
 Defined results: null or empty texts and texts without words have an empty set, link to nothing
-and are kept; a one-word text is one shingle. Rows with the same id and text get the same answer.
+and are kept; a text of fewer words than a shingle is one shingle. Rows with the same id and text get the same answer.
 Rows with null id take part, but never name a component unless all its ids are null.
 Shingles are compared by 64-bit hash. Empty tables give no rows.
 """
@@ -35,6 +35,8 @@ from seriesprep.llm.shared import checked_broadcast, fresh, stored
 from seriesprep.llm.wordhash import SPACED, mix, word_hashes
 
 PERCENT = 80
+#: Words of a shingle where no contract says otherwise, and in op6.
+SHINGLE, PAIR = 5, 2
 N_BANDS, BAND_ROWS, MANTISSA_BITS = 32, 4, 10
 N_BUCKETS = N_BANDS * BAND_ROWS
 #: Sets below this size reach 80 percent only with an equal set.
@@ -53,18 +55,26 @@ _ALONE = np.uint64(0x9FB21C651E98DF25)
 SKETCH_SCHEMA = "doc_id long, mark long, n int, sum long, xor long, bands array<long>"
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of every row; a single word is a shingle of its own."""
+def _chained(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    runs = hashes[: max(len(hashes) - width + 1, 0)]
+    with np.errstate(over="ignore"):
+        for k in range(1, width):
+            runs = mix(runs * _PAIR + hashes[k : k + len(runs)])
+    return runs
+
+
+def shingle_sets(texts: pa.Array, width: int = PAIR) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of every row; the words of a text of fewer are one shingle."""
     for _, _, hashes, counts in word_hashes(texts, SPACED):
-        with np.errstate(over="ignore"):
-            pairs = mix(hashes[:-1] * _PAIR + hashes[1:]) if len(hashes) else hashes
+        runs = _chained(hashes, width)
         at = 0
         for n in counts.tolist():
-            if n == 1:
+            if 0 < n < width:
                 with np.errstate(over="ignore"):
-                    yield mix(hashes[at : at + 1] * _ALONE)
+                    yield mix(_chained(hashes[at : at + n], n) * _ALONE)
             else:
-                yield np.unique(pairs[at : at + max(n - 1, 0)])
+                yield np.unique(runs[at : at + max(n - width + 1, 0)])
             at += n
 
 
@@ -87,10 +97,10 @@ def registers(minima: np.ndarray) -> np.ndarray:
     )
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], width: int = PAIR) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, sums, xors, minima = [], [], [], []
-        for s in shingle_sets(batch.column("text")):
+        for s in shingle_sets(batch.column("text"), width):
             sizes.append(len(s))
             again = mix(s ^ _PAIR)
             sums.append(np.add.reduce(s) if len(s) else np.uint64(0))
@@ -117,9 +127,10 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = PAIR) -> DataFrame:
     """One sketch per row of ``doc_id, text``, in the shared folder."""
-    return stored(_marked(docs).mapInArrow(_sketch, SKETCH_SCHEMA).withColumn("node", F.xxhash64("sum", "xor", "n")), "sketches")
+    sketched = _marked(docs).mapInArrow(lambda b: _sketch(b, width), SKETCH_SCHEMA)
+    return stored(sketched.withColumn("node", F.xxhash64("sum", "xor", "n")), "sketches")
 
 
 def set_classes(sketched: DataFrame) -> DataFrame:
@@ -159,19 +170,19 @@ def estimated(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.filter(fits).select("a", "b")
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
+        sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), width)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "shingles"])
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int = PAIR) -> DataFrame:
     """``node, shingles`` (sorted 64-bit hashes) of some classes, from the text of their lead row."""
     wanted = classes.join(nodes, "node").select("node", F.col("lead.doc_id").alias("id"), F.col("lead.mark").alias("m"))
     wanted = checked_broadcast(stored(wanted, "leads"), 1_000_000)
     rows = _marked(docs)
     rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["mark"] == wanted["m"]))
-    sets = rows.select("node", "text").mapInArrow(_set_rows, "node long, shingles binary")
+    sets = rows.select("node", "text").mapInArrow(lambda b: _set_rows(b, width), "node long, shingles binary")
     return stored(sets.dropDuplicates(["node"]), "sets")
 
 
@@ -276,22 +287,23 @@ def prefix_pairs(heads: DataFrame, opened: DataFrame, before: int, now: int) ->
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, n_shingles, component_id, kept`` of every row of ``doc_id, text``.
+def near_duplicates(docs: DataFrame, width: int = PAIR) -> DataFrame:
+    """``doc_id, mark, n_shingles, component_id, kept`` of every row of ``doc_id, text``, by
+    shingles of ``width`` words.
 
     ``mark`` is a hash of the text that tells rows with one id apart. ``component_id`` is the
     least id of the component, and the row's own id where the set is empty.
     """
-    sketched = sketches(docs)
+    sketched = sketches(docs, width)
     classes = set_classes(sketched)
     members, _ = shared_buckets(classes)
     pairs = stored(estimated(classes, hub_pairs(members)), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    links = confirmed(pairs, full_sets(docs, classes, nodes))
+    links = confirmed(pairs, full_sets(docs, classes, nodes, width))
     labels = components(links)
     opened = open_nodes(members, labels)
     if not opened.isEmpty():
-        sets = full_sets(docs, classes, opened.select("node"))
+        sets = full_sets(docs, classes, opened.select("node"), width)
         heads = prefix_heads(sets)
         for before, now in zip((0, *DRAWS), DRAWS):
             found = stored(estimated(classes, prefix_pairs(heads, opened, before, now)), "pairs")
@@ -308,11 +320,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` of each group of near-duplicates, whole; rows that repeat the kept
+def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` of each group of near-duplicates by shingles of ``width`` words, whole; rows that repeat the kept
     row's id and set are dropped too."""
     mark, drop_id, drop_mark = (fresh(docs, n) for n in ("_mark", "_drop_id", "_drop_mark"))
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, width)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(drop_id), F.col("mark").alias(drop_mark))
     gone = checked_broadcast(stored(gone.distinct(), "dropped"), 1_000_000)
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -9,13 +9,13 @@ from seriesprep.llm import near_dup as nd
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, width=2):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return set(zip(w, w[1:])) if len(w) > 1 else set(w)
+    return {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, width=2):
+    sets = [shingles(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -54,9 +54,9 @@ def corpus(seed=1, families=12, n=150):
     return rows + [(3, rows[3][1]), (200, None), (201, ""), (202, " \n"), (None, rows[5][1]), (203, "Only"), (204, "ONLY")]
 
 
-def found(spark, rows):
+def found(spark, rows, width=2):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = nd.near_duplicates(frame).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    got = nd.near_duplicates(frame, width).select("doc_id", "n_shingles", "component_id", "kept").collect()
     return sorted(map(tuple, got), key=repr)
 
 
@@ -103,3 +103,18 @@ def test_one_of_a_group_stays_and_columns_too(spark, documents):
 def test_sets_of_awkward_texts():
     sets = list(nd.shingle_sets(pa.array([None, "", "one", "a b", "a b a b", "x" * 300_000 + " y z"])))
     assert [len(s) for s in sets] == [0, 0, 1, 1, 2, 2]
+
+
+def test_five_word_shingles_equal_brute_force(spark):
+    rows = corpus(7) + [(300, "one two three"), (301, "one two three"), (302, "two three one"), (303, "One two  THREE four")]
+    assert found(spark, rows, 5) == brute(rows, 5)
+
+
+def test_stage_takes_five_words(spark):
+    """One word changed in 24: alike by pairs of words, not by runs of five."""
+    words = [f"w{i}" for i in range(24)]
+    changed = [*words[:12], "other", *words[13:]]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in nd.keep_one(frame).collect()} == {1, 2}
+    assert {r.doc_id for r in nd.keep_one(frame, nd.PAIR).collect()} == {1}
