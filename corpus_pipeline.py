@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group of near-duplicates."""
+    """One document, the one with the least id, of each group alike by shingles of five words."""
     return near_dup.keep_one(docs)
 
 
