@@ -15,11 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesprep.operators.event_index import EventIndex
+from seriesprep.operators.order_stats import trimmed_by_bounds
 from seriesprep.schema import SeriesLayout, col
-from seriesprep.session import cut_lineage
 
 # Up to this k the rank filter runs as a per-task group limit before the shuffle and 2 * k rows
-# per sensor are broadcast; beyond it, values are ranked range by range. Same rows either way.
+# per sensor are broadcast; beyond it, the k-th values are found by sketches. Same rows either way.
 MAX_LISTED_TRIM = 1_000
 
 
@@ -51,7 +51,7 @@ def trimmed_mean(per_event: DataFrame, layout: SeriesLayout, k: int = 0) -> Data
     if k == 0:
         return long.groupBy("variable").agg(F.avg("value").alias("value"))
     if k > MAX_LISTED_TRIM:
-        return ranked_trim(long, layout, k)
+        return trimmed_by_bounds(long, k)
 
     def end(order: Column) -> DataFrame:
         window = W.partitionBy("variable").orderBy(order, layout.key)
@@ -70,35 +70,6 @@ def trimmed_mean(per_event: DataFrame, layout: SeriesLayout, k: int = 0) -> Data
     )
 
 
-def ranked_trim(long: DataFrame, layout: SeriesLayout, k: int) -> DataFrame:
-    """The trimmed mean for any k: rows are range-partitioned by variable and value, so no task
-    holds a variable, ranked inside their range, and shifted by the rows of the ranges before."""
-    known = long.filter(F.col("value").isNotNull())
-
-    def ranks(order: Column, name: str) -> DataFrame:
-        parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # Partition numbers are written with the rows, so a recomputed task cannot shift them.
-        ranged = known.repartitionByRange(parts, F.asc("variable"), order, F.asc(layout.key))
-        ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
-        counts = ranged.groupBy("variable", "_part").agg(F.count(F.lit(1)).alias("_rows"))
-        earlier = W.partitionBy("variable").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-        offsets = counts.select(
-            "variable", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
-        )
-        within = W.partitionBy("variable", "_part").orderBy(order, layout.key)
-        # offsets: one row per sensor and range.
-        ranked = ranged.join(F.broadcast(offsets), ["variable", "_part"]).withColumn(
-            name, F.col("_offset") + F.row_number().over(within)
-        )
-        return ranked.select("variable", layout.key, "value", name)
-
-    low = ranks(F.asc("value"), "_low")
-    high = ranks(F.desc("value"), "_high").drop("value")
-    kept = low.join(high, ["variable", layout.key]).filter((F.col("_low") > k) & (F.col("_high") > k))
-    means = kept.groupBy("variable").agg(F.avg("value").alias("value"))
-    return long.select("variable").distinct().join(means, "variable", "left")
-
-
 def as_mapping(per_variable: DataFrame, layout: SeriesLayout) -> dict[str, float | None]:
     """Metric of each sensor as a dict, None where no event gave one: one small row per sensor
     reaches the driver."""
