@@ -18,6 +18,7 @@ RANGES = {sensor: (-1.0, 300.0) for sensor in SENSORS}
 SECONDS = 21_600
 WINDOW = 20
 TRIM = 3
+DEEP_TRIM, DEEP_RANKS = 150, (1, 40, 300, -300, -40, -1)
 TEST_SIZE = 0.2
 VALIDATION_SIZE = 0.1
 VERSION = "10101"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from checks.fixture import (
+    DEEP_RANKS,
+    DEEP_TRIM,
     EMPTY_EVENT,
     KINDS,
     SECONDS,
@@ -331,6 +333,14 @@ SCORES = """scores as (
 guessed as (select *, list_position(s, list_max(s)) - 1 as predicted from scores)"""
 
 TRIMMED = with_(SPARSE, metrics("sparse", TRIM))
+RANKED_SAMPLES = with_(SPARSE) + f"""select variable, value,
+    row_number() over (partition by variable order by value) as lo,
+    row_number() over (partition by variable order by value desc) as hi,
+    row_number() over (partition by variable order by value, tie) as low_tie,
+    row_number() over (partition by variable order by value desc, tie) as high_tie
+  from (select variable, value, row_number() over () as tie from (
+    {" union all ".join(f"select '{s}' as variable, {q(s)} as value from sparse" for s in SENSORS)}))
+  where value is not null"""
 PLAIN_METRICS = (
     "select variable, round(mu.value + 1e-9, 6) + 0.0 as mean_of_means,"
     " round(sigma.value + 1e-9, 6) + 0.0 as mean_of_stds from mu full join sigma using (variable)"
@@ -405,6 +415,10 @@ ORACLES = {
     "mean_of_means": with_(SPARSE, metrics("sparse", 0))
     + "select variable, round(value + 1e-9, 6) + 0.0 as value from mu",
     "trimmed_means": TRIMMED + "select variable, round(value + 1e-9, 6) + 0.0 as value from mu",
+    "order_statistics": f"select variable, rank, round(value + 1e-9, 6) + 0.0 as value from ({RANKED_SAMPLES}),"
+    + f" (select unnest({list(DEEP_RANKS)})::int as rank) where lo = rank or hi = -rank",
+    "deep_trimmed_means": f"""select variable, round(avg(case when low_tie > {DEEP_TRIM} and high_tie > {DEEP_TRIM}
+    then value end) + 1e-9, 6) + 0.0 as value from ({RANKED_SAMPLES}) group by variable""",
     "event_stds": TRIMMED + f"select instance_id, {sensor_list()} from event_stds",
     "mean_of_stds": TRIMMED + "select variable, round(value + 1e-9, 6) + 0.0 as value from sigma",
     "metric_table": with_(SAMPLES, metrics("samples", TRIM)) + PLAIN_METRICS,

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import fixture as fx
-from checks.fixture import LAYOUT, RANGES, SECONDS, SENSORS, TRIM, WINDOW
+from checks.fixture import DEEP_RANKS, DEEP_TRIM, LAYOUT, RANGES, SECONDS, SENSORS, TRIM, WINDOW
 from seriesprep.functions import naming
 from seriesprep.functions.labels import arg_max, softmax
 from seriesprep.functions.sensors import sensor_unit, standardize, valid_sample
 from seriesprep.operators import catalog as cat
 from seriesprep.operators import evaluate as ev
 from seriesprep.operators import metrics as mt
+from seriesprep.operators import order_stats
 from seriesprep.operators import quality as ql
 from seriesprep.operators import split as sp
 from seriesprep.operators import tensor_stats as ts
@@ -187,6 +188,18 @@ def trimmed_means(spark, sf):
     return mt.trimmed_mean(means, LAYOUT, TRIM).select("variable", rounded("value"))
 
 
+def order_statistics(spark, sf):
+    """Values of some ranks of every sensor over all samples; the bound is far below their number."""
+    long = fx.sparse_samples(spark, sf).unpivot([], [col(s) for s in SENSORS], "variable", "value")
+    return order_stats.order_statistics(long, DEEP_RANKS, 1_000).select("variable", "rank", rounded("value"))
+
+
+def deep_trimmed_means(spark, sf):
+    """Means of all samples without as many at either end as a ranked list would not hold."""
+    long = fx.sparse_samples(spark, sf).unpivot([], [col(s) for s in SENSORS], "variable", "value")
+    return order_stats.trimmed_by_bounds(long, DEEP_TRIM, 1_000).select("variable", rounded("value"))
+
+
 def sparse_stds(spark, sf):
     index = moments(fx.sparse_samples(spark, sf))
     means = mt.trimmed_mean(mt.indexed_means(index), LAYOUT, TRIM)
@@ -769,6 +782,8 @@ QUERIES = {
     "event_means": event_means,
     "mean_of_means": mean_of_means,
     "trimmed_means": trimmed_means,
+    "order_statistics": order_statistics,
+    "deep_trimmed_means": deep_trimmed_means,
     "event_stds": event_stds,
     "mean_of_stds": mean_of_stds,
     "metric_table": metric_table,
