@@ -26,6 +26,20 @@ def test_gradient_equals_differences(units, both):
         assert abs((up - down) / 2e-5 - by_weights[k]) < 1e-6
 
 
+@pytest.mark.parametrize("units, both", [((16,), False), ((3, 2), False), ((2, 3), True)])
+def test_a_pass_works_in_the_precision_of_its_windows(units, both):
+    rng = np.random.default_rng(2)
+    network = rc.Network(20, 5, units, both, dense=16, dropout=0.5)
+    weights = network.start()
+    x, labels = rng.normal(0, 3, (64, 20, 5)), rng.integers(0, 9, 64)
+    loss, by_weights = rc.gradient(network, weights, x, labels, np.random.default_rng(0))
+    narrow_loss, narrow = rc.gradient(network, weights, x.astype(np.float32), labels, np.random.default_rng(0))
+    assert by_weights.dtype == np.float64 and narrow.dtype == np.float32
+    assert abs(loss - narrow_loss) < 1e-5 and np.allclose(by_weights, narrow, atol=1e-5)
+    far = rc.forward(network, weights, 1e6 * x.astype(np.float32))[0]
+    assert np.isfinite(far).all() and np.allclose(far.sum(axis=1), 1, atol=1e-5)
+
+
 def test_dropout_leaves_out_and_scales():
     network = rc.Network(3, 1, (50,), dropout=0.5)
     x = np.ones((40, 3, 1))
