@@ -31,6 +31,7 @@ from seriesprep.llm.wordhash import PLAIN, hash_stems, mix, pieces
 SAMPLE_ROWS = 20_000
 MODEL_WORDS = 4_096
 LEAST_DOCUMENTS = 5
+PAIRS_AT_ONCE = 1_000_000
 #: Log-likelihood ratio; chance alone reaches it once in some ten million words.
 LEAST_SURPRISE = 30.0
 SENTENCE_ENDS = np.isin(np.arange(256), list(b".!?\n"))
@@ -82,31 +83,63 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _family_words(batch: pa.RecordBatch, words: np.ndarray) -> Iterator[np.ndarray]:
+    """``word, family, bad`` (rows of an array) of every one of ``words`` a document has, once."""
+    toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+    for row, end, data, offsets in pieces(batch.column("text")):
+        _, counts, features, number = hash_stems(data, offsets, PLAIN, STEMS)
+        hashes = features[: counts.sum()]
+        doc_of = np.repeat(np.arange(end - row), counts)
+        triples = hashes
+        for step in (1, 2):
+            behind = np.append(hashes[step:], np.zeros(step, np.uint64))[: len(hashes)]
+            outside = np.append(doc_of[step:], np.full(step, -1))[: len(hashes)] != doc_of
+            behind[outside] = 0
+            triples = mix(triples) ^ behind
+        triples = mix(triples)
+        full = np.flatnonzero(counts)
+        family = np.zeros(end - row, np.uint64)
+        family[full] = np.minimum.reduceat(triples, (np.cumsum(counts) - counts)[full]) if len(full) else 0
+        at = np.searchsorted(words, features)
+        known = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == features)
+        once = np.unique(np.stack([doc_of[number[known]], at[known]], axis=1), axis=0)
+        yield np.stack([words[once[:, 1]], family[once[:, 0]], toxic[row:end][once[:, 0]].astype(np.uint64)])
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """``word, family, bad`` with each pair of word and family once; bad if any was."""
+    word, family, bad = np.concatenate([np.zeros((3, 0), np.uint64), *parts], axis=1)
+    order = np.lexsort((family, word))
+    word, family, bad = word[order], family[order], bad[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (family[1:] != family[:-1])
+    first = np.flatnonzero(new)
+    bad = np.maximum.reduceat(bad, first) if len(first) else bad
+    return np.stack([word[first], family[first], bad])
+
+
 def _families(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every one of ``words`` a document has, once, with the least hash of the document's word
-    triples, which copies of a text mostly share and other texts do not."""
+    """Each of ``words`` with the *families* whose documents have it: the least hash of a document's
+    word triples, which copies of a text mostly share and other texts do not.
+
+    A task tells a word and a family once, however many copies of a text it reads; it holds at most
+    ``PAIRS_AT_ONCE`` pairs and those of one piece of a batch.
+    """
+    def told(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in rows], names=["word", "family", "bad"])
+
+    parts, held = [], 0
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
-        for row, end, data, offsets in pieces(batch.column("text")):
-            _, counts, features, number = hash_stems(data, offsets, PLAIN, STEMS)
-            hashes = features[: counts.sum()]
-            doc_of = np.repeat(np.arange(end - row), counts)
-            triples = hashes
-            for step in (1, 2):
-                behind = np.append(hashes[step:], np.zeros(step, np.uint64))[: len(hashes)]
-                outside = np.append(doc_of[step:], np.full(step, -1))[: len(hashes)] != doc_of
-                behind[outside] = 0
-                triples = mix(triples) ^ behind
-            triples = mix(triples)
-            full = np.flatnonzero(counts)
-            family = np.zeros(end - row, np.uint64)
-            family[full] = np.minimum.reduceat(triples, (np.cumsum(counts) - counts)[full]) if len(full) else 0
-            at = np.searchsorted(words, features)
-            known = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == features)
-            once = np.unique(np.stack([doc_of[number[known]], at[known]], axis=1), axis=0)
-            columns = [words[once[:, 1]], family[once[:, 0]], toxic[row:end][once[:, 0]].astype(np.uint64)]
-            arrays = [pa.array(c.view(np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=["word", "family", "bad"])
+        for part in _family_words(batch, words):
+            parts.append(part)
+            held += part.shape[1]
+            if held > PAIRS_AT_ONCE:
+                merged = _merged(parts)
+                parts, held = [merged], merged.shape[1]
+                if held > PAIRS_AT_ONCE // 2:
+                    yield told(merged)
+                    parts, held = [], 0
+    yield told(_merged(parts))
 
 
 def _telling(counts: DataFrame, share: float, most: int) -> np.ndarray:

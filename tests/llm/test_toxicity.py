@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from seriesprep.llm import toxicity as tx
 
@@ -56,3 +58,19 @@ def test_awkward_rows(spark, documents):
     nothing = tx.train(docs, labels.limit(0))
     assert {r.score for r in tx.score(documents, nothing).collect()} == {0.0}
     assert tx.score(documents.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 30, 1])
+def test_copies_tell_their_words_once_a_task(monkeypatch, at_once):
+    monkeypatch.setattr(tx, "PAIRS_AT_ONCE", at_once)
+    texts = ["filth vermin sun rain"] * 500 + ["sun rain tree road", "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * 499 + [1, 0, 0, 0])], names=["text", "toxic"])
+    words = np.unique(tx.hash_stems(*next(tx.pieces(batch.column("text")))[2:], tx.PLAIN, tx.STEMS)[2])
+    rows = [r for out in tx._families(iter([batch.slice(0, 250), batch.slice(250)]), words) for r in out.to_pylist()]
+    bad, pairs = {}, [(r["word"], r["family"]) for r in rows]
+    for pair, row in zip(pairs, rows):
+        bad[pair] = max(bad.get(pair, 0), row["bad"])
+    families = {family for _, family in pairs}
+    by_family = sorted((sum(f == family for _, f in bad), {b for (_, f), b in bad.items() if f == family}) for family in families)
+    assert [b for _, b in by_family] in ([{0}, {1}], [{1}, {0}]) and sum(n for n, _ in by_family) == len(bad)
+    assert len(rows) <= 2 * len(bad) + (0 if at_once > 1 else 2 * len(words))
