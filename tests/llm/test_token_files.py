@@ -27,6 +27,18 @@ def test_parts_give_the_ids_of_whole_texts():
         assert np.frombuffer(coder.encode(text), coder.kind).tolist() == ids[:-1], text
 
 
+def test_frequent_parts_outlive_a_full_table(monkeypatch):
+    monkeypatch.setattr(tf, "CACHE_ENTRIES", 40)
+    coder, asked = tf.Encoder(VOCABULARY), []
+    make = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda letters: asked.append(letters) or make(letters))
+    texts = ["the sun, " + " ".join("abcdefghij"[int(d)] * 3 + "xyz"[k % 3] * (k // 3 % 40) for d in str(k)) + " sun the" for k in range(600)]
+    for text, ids in zip(texts, whole(texts)):
+        assert np.frombuffer(coder.encode(text), coder.kind).tolist() == ids[:-1]
+    assert len(coder.parts) <= 40 and len(coder.parts.last) <= 40 and len(asked) > 300
+    assert asked.count(coder.space + "sun") == 1 and asked.count(coder.space + "the") == 1
+
+
 @pytest.mark.parametrize("rows_per_file, length, broadcast", [(16_384, 2_048, 9), (5, 4, 1_000), (5, 4, 0)])
 def test_round_trip(spark, monkeypatch, documents, rows_per_file, length, broadcast):
     monkeypatch.setattr(tf, "ROWS_PER_FILE", rows_per_file)
