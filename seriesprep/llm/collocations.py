@@ -1,19 +1,19 @@
-"""Collocations of two to five words by SON partitioning, each language on its own.
+"""Collocations of two to five words by counting in buckets (PCY), each language on its own.
 
 Words are numbered once per *block*: one task's words of one language, at most ``BLOCK_WORDS``
-and one text more. A block is a shard of the SON method:
+and one text more. Then, for phrases of one word, of two, and so on:
 
-1. Every block is mined completely at the support it owes, ``ceil(support * words of the block /
-   words of the language)``: a phrase that reaches the support everywhere reaches what it owes in
-   at least one block. Longer phrases are looked for only where both shorter ones are frequent.
-2. The locally frequent phrases are united by hash. A block that did not name a phrase holds it
-   at most ``owed - 1`` times, so a sum shows which phrases cannot reach the support; they go.
-3. A second pass counts every candidate in every block, and sums by language and phrase.
+1. Every block counts its phrases in buckets of their hashes, as many as the corpus has words for.
+   Longer phrases are looked for only where both shorter ones are candidates. A block tells its
+   buckets as packed arrays, one for each range of buckets: a byte or two a bucket, so what is
+   shuffled grows with the words and not with the number of blocks.
+2. The arrays of a range are summed over all blocks. A phrase is a candidate if its bucket reaches
+   the support, which the bucket of every frequent phrase does.
+3. A last pass counts every candidate in every block, and sums by language and phrase.
 
-Candidates travel as a bitmap of bounded size. It and the hashes of step 1 can only let too much
+Candidates travel as bitmaps of bounded size. Buckets and hashes can only let too much
 through: step 3 groups by the words themselves, so its counts are exact, and phrases below the
-support fall out there. With more than ``support`` blocks of a language a block owes one
-occurrence; step 1 then counts everything and step 2 keeps what is frequent.
+support fall out there.
 
 Text is lower-cased in A-Z and cut into pieces at ``.,;:!?`` and line ends, pieces into words at
 spaces and tabs. A null language is ``und``.
@@ -42,14 +42,15 @@ from seriesprep.llm.shared import checked_broadcast, stored
 from seriesprep.llm.wordhash import mix
 
 MOST_WORDS = 5
-#: Phrases of one word, of two, and then all longer ones are mined, each knowing the candidates before.
-ROUNDS = (1, 2, MOST_WORDS)
 SUPPORT = 100
 ABSORBED_PERCENT = 100
 TOP = 2_000
 BLOCK_WORDS = 6_000_000
 UNKNOWN_LANGUAGE = "und"
-MOST_BITS = 27
+#: Buckets: ``BUCKETS_PER_PHRASE`` for every phrase that the words can make frequent, as a power of two.
+BUCKETS_PER_PHRASE, LEAST_BITS, MOST_BITS = 16, 15, 27
+#: Ranges of buckets: at least 32, and of at most 2**19 buckets.
+LEAST_RANGE_BITS, BITS_IN_A_RANGE = 5, 19
 MOST_LANGUAGES = 100_000
 TOP_SALTS = 32
 
@@ -176,68 +177,81 @@ def _told(lang: str, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts[0])), *parts], names=names)
 
 
-def _mine(batches: Iterator[pa.RecordBatch], known: dict[int, Candidates], most: int) -> Iterator[pa.RecordBatch]:
-    """Locally frequent phrases, of more words than those ``known`` and at most ``most``, of every
-    block: hash, and by how much they pass ``owed - 1``. Shorter ones must be candidates."""
+@dataclass(frozen=True)
+class Buckets:
+    """``2**bits`` buckets of hashes in ``ranges`` ranges of ``2**range_bits`` each."""
+
+    bits: int
+    range_bits: int
+    support: int
+
+    @property
+    def ranges(self) -> int:
+        return 1 << (self.bits - self.range_bits)
+
+    @staticmethod
+    def for_words(n_words: int, support: int) -> Buckets:
+        wanted = (BUCKETS_PER_PHRASE * n_words // support).bit_length()
+        bits = min(MOST_BITS, max(LEAST_BITS, wanted))
+        return Buckets(bits, min(bits - LEAST_RANGE_BITS, BITS_IN_A_RANGE), support)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers, the first bytes of all before the second ones, compressed."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch], known: dict[int, Candidates], length: int, plan: Buckets) -> Iterator[pa.RecordBatch]:
+    """How often phrases of ``length`` words fall in each bucket, for every block and range of
+    buckets: the gaps between the buckets, and the times up to the support."""
     for batch in batches:
         for row in range(batch.num_rows):
-            owed = batch.column("owed")[row].as_py()
-            lang, codes, _, words = _opened(batch, row)
+            _, codes, _, words = _opened(batch, row)
             found: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def frequent_words(hashes: np.ndarray) -> np.ndarray:
-                times = np.bincount(codes, minlength=len(hashes))
-                often = times >= owed
-                often[0] = False
-                found.append((hashes[often], times[often]))
-                return often
-
-            def frequent(hashes: np.ndarray) -> np.ndarray:
-                values, counts = np.unique(hashes, return_counts=True)
-                enough = counts >= owed
-                found.append((values[enough], counts[enough]))
-                if enough.all():
-                    return np.ones(len(hashes), bool)
-                passing = np.append(found[-1][0], np.uint64(0))
-                at = np.searchsorted(passing[:-1], hashes)
-                return (passing[at] == hashes) & (at < len(passing) - 1)
-
-            def keep(length: int) -> Keep | None:
-                if length in known:
-                    return known[length]
-                return None if length > most else frequent_words if length == 1 else frequent
-
-            for _ in phrases_of(codes, words, keep):
-                while found:
-                    values, counts = found.pop()
-                    surplus = pa.array(counts.astype(np.int64) - (owed - 1))
-                    yield from _told(lang, {"phrase_hash": pa.array(values.view(np.int64)), "surplus": surplus})
-
-
-def language_sizes(blocks: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """The blocks with what they owe, and per language its words ``n`` and the surplus ``needed``
-    by a phrase to be able to reach the support."""
-    sizes = stored(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "languages")
-    whole = F.col("n").cast("decimal(20,0)")
-    owed = F.ceil(F.col("n_words").cast("decimal(17,0)") * support / whole).cast("long")
-    owing = blocks.join(checked_broadcast(sizes, MOST_LANGUAGES), "lang").withColumn("owed", owed)
-    needed = (support - F.sum(F.col("owed") - 1)).alias("needed")
-    return owing, stored(owing.groupBy("lang").agg(F.max("n").alias("n"), needed), "languages")
-
-
-def candidates(mined: DataFrame, sizes: DataFrame) -> Candidates:
-    """The hashes that can reach the support: at most ``2**MOST_BITS`` bits, whatever their number."""
-    summed = mined.groupBy("lang", "phrase_hash").agg(F.sum("surplus").alias("surplus"))
-    needed = checked_broadcast(sizes.select("lang", "needed"), MOST_LANGUAGES)
-    able = stored(summed.join(needed, "lang").filter("surplus >= needed").select("phrase_hash"), "candidates")
-    bits = min(MOST_BITS, max(12, (16 * able.count()).bit_length()))
-    at = F.shiftrightunsigned("phrase_hash", 64 - bits)
-    one = F.expr("shiftleft(1L, cast(at & 63L as int))")
-    words = able.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-    told = words.toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[told.column("word").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
-    return Candidates(bitmap, bits)
+            def tell(hashes: np.ndarray) -> np.ndarray:
+                at = (hashes >> np.uint64(64 - plan.bits)).astype(np.uint32)
+                if length > 1:
+                    found.append(np.unique(at, return_counts=True))
+                elif len(at) > 1:
+                    times, order = np.bincount(codes, minlength=len(at)), 1 + np.argsort(at[1:])
+                    buckets, first = np.unique(at[order], return_index=True)
+                    found.append((buckets, np.add.reduceat(times[order], first)))
+                return np.zeros(len(hashes), bool)
+
+            for _ in phrases_of(codes, words, lambda n: tell if n == length else known.get(n)):
+                pass
+            for buckets, times in found:
+                cuts = np.searchsorted(buckets, np.arange(plan.ranges + 1, dtype=np.uint64) << np.uint64(plan.range_bits))
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                times = np.minimum(times, plan.support)
+                gaps = [_packed(np.diff(buckets[cuts[k] : cuts[k + 1]], prepend=np.uint32(k << plan.range_bits))) for k in full]
+                told = [_packed(times[cuts[k] : cuts[k + 1]]) for k in full]
+                arrays = [pa.array(full, pa.int32()), pa.array(gaps, pa.binary()), pa.array(told, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "gaps", "times"])
+
+
+def candidates(counted: DataFrame, plan: Buckets) -> Candidates:
+    """The buckets of ``part, gaps, times`` that reach the support over all blocks."""
+
+    def summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = 0, np.zeros(1 << plan.range_bits, np.int64)
+        for batch in rows:
+            for part, gaps, times in zip(*(batch.column(c).to_pylist() for c in ("part", "gaps", "times"))):
+                total[np.cumsum(_unpacked(gaps))] += _unpacked(times)
+        bits = np.packbits(total >= plan.support, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bits"])
+
+    told = counted.groupBy("part").applyInArrow(summed, "part int, bits binary").toArrow()
+    bitmap = np.zeros((plan.ranges, 1 << (plan.range_bits - 3)), np.uint8)
+    for part, bits in zip(told.column("part").to_pylist(), told.column("bits").to_pylist()):
+        bitmap[part] = np.frombuffer(bits, np.uint8)
+    return Candidates(bitmap.reshape(-1).view("<u8"), plan.bits)
 
 
 def _groups(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,20 +288,20 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, block_words: int =
     """``lang, phrase, n_words, a`` of all phrases of one to five words that occur ``support``
     times or more in their language, with exact counts; and ``lang, n`` with all its words."""
     blocks = word_blocks(docs, block_words)
-    owing, sizes = language_sizes(blocks, support)
-    mining = owing.select("lang", "codes", "vocabulary", "owed")
+    sizes = stored(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "languages")
+    packed = blocks.select("lang", "codes", "vocabulary")
+    plan = Buckets.for_words(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], support)
     context, known = docs.sparkSession.sparkContext, {}
-    for most in ROUNDS:
+    for length in range(1, MOST_WORDS + 1):
         shared = context.broadcast(dict(known))
-        mined = mining.mapInArrow(lambda b: _mine(b, shared.value, most), "lang string, phrase_hash long, surplus long")
-        able = candidates(mined, sizes)
-        known |= {length: able for length in range(len(known) + 1, most + 1)}
+        told = packed.mapInArrow(lambda b: _bucket_counts(b, shared.value, length, plan), "part int, gaps binary, times binary")
+        known[length] = candidates(told, plan)
     shared = context.broadcast(known)
-    counted = blocks.select("lang", "codes", "vocabulary").mapInArrow(
+    counted = packed.mapInArrow(
         lambda b: _count(b, shared.value), "lang string, phrase string, n_words int, a long"
     )
     summed = counted.groupBy("lang", "phrase").agg(F.max("n_words").alias("n_words"), F.sum("a").alias("a"))
-    return stored(summed.filter(F.col("a") >= support), "frequent"), sizes.select("lang", "n")
+    return stored(summed.filter(F.col("a") >= support), "frequent"), sizes
 
 
 def scored(frequent: DataFrame, sizes: DataFrame) -> DataFrame:

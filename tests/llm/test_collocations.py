@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesprep.llm import collocations as cl
@@ -76,3 +77,23 @@ def test_products_may_pass_64_bits(spark):
     sizes = spark.createDataFrame([("en", 9 * 10**13)], "lang string, n long")
     (row,) = cl.scored(frequent, sizes).collect()
     assert row.score == 1000 * 4 * 10**11 * 9 * 10**13 // (4 * 10**11 * 5 * 10**11)
+
+
+@pytest.mark.parametrize("n_blocks", [4, 60])
+def test_what_is_told_of_buckets_grows_with_words_not_with_blocks(n_blocks):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(240)]
+    plan = cl.Buckets.for_words(48_000, 100)
+    told, batches = 0, []
+    for k in range(n_blocks):
+        frame = pa.RecordBatch.from_pydict({"text": texts[k::n_blocks], "lang": ["en"] * len(texts[k::n_blocks])})
+        blocks = list(cl._number(iter([frame]), 10**6))
+        batches += [out for block in blocks for out in cl._bucket_counts(iter([block]), {1: lambda h: np.ones(len(h), bool)}, 2, plan)]
+    rows = [r for b in batches for r in b.to_pylist()]
+    total = np.zeros(1 << plan.bits, int)
+    for r in rows:
+        total[(r["part"] << plan.range_bits) + np.cumsum(cl._unpacked(r["gaps"]))] += cl._unpacked(r["times"])
+        told += len(r["gaps"]) + len(r["times"])
+    assert total.sum() == 240 * 199
+    assert len(rows) <= n_blocks * plan.ranges and told < 4 * 48_000 + 40 * len(rows)
