@@ -9,10 +9,11 @@ and one text more. Then, for phrases of one word, of two, and so on:
    shuffled grows with the words and not with the number of blocks.
 2. The arrays of a range are summed over all blocks. A phrase is a candidate if its bucket reaches
    the support, which the bucket of every frequent phrase does.
-3. A last pass counts every candidate in every block, and sums by language and phrase.
+3. A last pass counts every candidate in every block, tells phrases and counts packed by ranges
+   in the same way, and sums by language and phrase.
 
 Candidates travel as bitmaps of bounded size. Buckets and hashes can only let too much
-through: step 3 groups by the words themselves, so its counts are exact, and phrases below the
+through: step 3 sums by the words themselves, so its counts are exact, and phrases below the
 support fall out there.
 
 Text is lower-cased in A-Z and cut into pieces at ``.,;:!?`` and line ends, pieces into words at
@@ -270,18 +271,39 @@ def _groups(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, length: i
     return places[first], counts
 
 
-def _count(batches: Iterator[pa.RecordBatch], known: dict[int, Candidates]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], known: dict[int, Candidates], plan: Buckets) -> Iterator[pa.RecordBatch]:
+    """How often each candidate occurs in each block, those of a length and range of hashes packed
+    in a row: parted by line ends, which no word holds."""
     for batch in batches:
         for row in range(batch.num_rows):
             lang, codes, vocabulary, words = _opened(batch, row)
             vocabulary = pa.array(vocabulary, pa.binary())
             for length, places, hashes in phrases_of(codes, words, known.get):
                 first, counts = _groups(codes, places, hashes, length)
-                parts = [vocabulary.take(pa.array(codes[first + j])) for j in range(length)]
-                phrase = pc.binary_join_element_wise(*parts, b" ") if length > 1 else parts[0]
-                lengths = pa.array(np.full(len(first), length, np.int32))
-                counted = pa.array(counts.astype(np.int64))
-                yield from _told(lang, {"phrase": phrase.cast(pa.string()), "n_words": lengths, "a": counted})
+                part = (hashes[np.searchsorted(places, first)] >> np.uint64(64 - plan.bits + plan.range_bits)).astype(np.int32)
+                order = np.lexsort((codes[first], part))  # the same words together pack well
+                first, counts, part = first[order], counts[order], part[order]
+                spelt = [vocabulary.take(pa.array(codes[first + j])) for j in range(length)]
+                phrases = (pc.binary_join_element_wise(*spelt, b" ") if length > 1 else spelt[0]).to_pylist()
+                parts, starts = np.unique(part, return_index=True)
+                cuts = [*starts.tolist(), len(first)]
+                packed = [zstandard.compress(b"\n".join(phrases[i:j]), 1) for i, j in zip(cuts, cuts[1:])]
+                times = [_packed(counts[i:j]) for i, j in zip(cuts, cuts[1:])]
+                arrays = [pa.array([lang] * len(parts)), pa.array(parts), pa.array(packed, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "part", "phrases", "times"])
+
+
+def _summed(rows: Iterator[pa.RecordBatch], support: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of one language and range that occur ``support`` times or more in all blocks."""
+    lang, totals = "", defaultdict(int)
+    for batch in rows:
+        for lang, phrases, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrases", "times"))):
+            for phrase, n in zip(zstandard.decompress(phrases).split(b"\n"), _unpacked(times).tolist()):
+                totals[phrase] += n
+    found = [(phrase, n) for phrase, n in totals.items() if n >= support]
+    phrases = pa.array([phrase for phrase, _ in found], pa.binary()).cast(pa.string())
+    lengths = pa.array([phrase.count(b" ") + 1 for phrase, _ in found], pa.int32())
+    yield from _told(lang, {"phrase": phrases, "n_words": lengths, "a": pa.array([n for _, n in found], pa.int64())})
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -297,11 +319,13 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, block_words: int =
         told = packed.mapInArrow(lambda b: _bucket_counts(b, shared.value, length, plan), "part int, gaps binary, times binary")
         known[length] = candidates(told, plan)
     shared = context.broadcast(known)
-    counted = packed.mapInArrow(
-        lambda b: _count(b, shared.value), "lang string, phrase string, n_words int, a long"
-    )
-    summed = counted.groupBy("lang", "phrase").agg(F.max("n_words").alias("n_words"), F.sum("a").alias("a"))
-    return stored(summed.filter(F.col("a") >= support), "frequent"), sizes
+    counted = packed.mapInArrow(lambda b: _count(b, shared.value, plan), "lang string, part int, phrases binary, times binary")
+
+    def summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed(rows, support)
+
+    frequent = counted.groupBy("lang", "part").applyInArrow(summed, "lang string, phrase string, n_words int, a long")
+    return stored(frequent, "frequent"), sizes
 
 
 def scored(frequent: DataFrame, sizes: DataFrame) -> DataFrame:
