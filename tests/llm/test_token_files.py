@@ -1,5 +1,6 @@
 import random
 import zlib
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,19 @@ def test_frequent_parts_outlive_a_full_table(monkeypatch):
     assert asked.count(coder.space + "sun") == 1 and asked.count(coder.space + "the") == 1
 
 
+def test_a_worker_keeps_no_more_than_its_bytes(monkeypatch):
+    """Texts without spaces are long parts: their number alone does not bound the table."""
+    monkeypatch.setattr(tf, "CACHE_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(tf, "LONG_BYTES", 20_000, raising=False)
+    rng, coder = random.Random(2), tf.Encoder(VOCABULARY)
+    texts = [" ".join("".join(rng.choice(["日本", "の、", "été", "ab;", "x9"]) for _ in range(n)) for _ in range(4)) for n in [3, 200] * 60 + [9_000]]
+    held = lambda table: sum(getsizeof(k) + getsizeof(v) for k, v in table.items())
+    for text, ids in zip(texts, whole(texts)):
+        assert np.frombuffer(coder.encode(text), coder.kind).tolist() == ids[:-1]
+        assert held(coder.parts) <= 100_000 and held(coder.parts.last) <= 100_000 and held(coder.pieces) <= 100_000
+    assert len(coder.parts) > 10
+
+
 @pytest.mark.parametrize("rows_per_file, length, broadcast", [(16_384, 2_048, 9), (5, 4, 1_000), (5, 4, 0)])
 def test_round_trip(spark, monkeypatch, documents, rows_per_file, length, broadcast):
     monkeypatch.setattr(tf, "ROWS_PER_FILE", rows_per_file)
